@@ -59,6 +59,7 @@ def _merge(batches):
     held: pa.RecordBatch | None = None
     for batch in batches:
         if held is not None:
+            held = pa.RecordBatch.from_arrays(held.columns, schema=batch.schema)
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         if batch.num_rows == 0:
             continue
