@@ -19,6 +19,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkspark.llm.licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chunkspark.llm.quality_rules import quality_report
 
@@ -38,7 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op6_quality_rules": op6_quality_rules, "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_packing": op1_packing, "op2_license_scan": op2_license_scan, "op6_quality_rules": op6_quality_rules, "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op10_exact_dedup": f"""
