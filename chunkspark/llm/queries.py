@@ -25,6 +25,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkspark.llm.jaccard import linked_components
+
+    return linked_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chunkspark.llm.quality_rules import quality_report
 
@@ -50,7 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_license_scan": op2_license_scan, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_packing": op1_packing, "op2_license_scan": op2_license_scan, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op10_exact_dedup": f"""
