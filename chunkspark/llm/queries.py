@@ -31,6 +31,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkspark.llm.quality_classifier import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chunkspark.llm.quality_rules import quality_report
 
@@ -56,7 +62,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_license_scan": op2_license_scan, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_packing": op1_packing, "op2_license_scan": op2_license_scan, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op5_quality_classifier": op5_quality_classifier, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op10_exact_dedup": f"""
