@@ -55,6 +55,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkspark.llm.token_counts import token_counts
+    from chunkspark.llm.tokens import tokenizer_path
+
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chunkspark.llm.exact_dedup import duplicate_groups
 
@@ -62,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_license_scan": op2_license_scan, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op5_quality_classifier": op5_quality_classifier, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mixing": op8_mixing, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_packing": op1_packing, "op2_license_scan": op2_license_scan, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op5_quality_classifier": op5_quality_classifier, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mixing": op8_mixing, "op9_token_counts": op9_token_counts, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op10_exact_dedup": f"""

@@ -90,11 +90,12 @@ class HashTable:
 class WordEncoder:
     """Ids of blocks of text (see `text.blocks`). Keeps the ids of at most about 2 ** bits / 2 pieces."""
 
-    def __init__(self, path: str, bits: int = 21):
+    def __init__(self, path: str, special: bool = True, bits: int = 21):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
         self.bits = bits
         (self.between,) = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self._forget()
@@ -167,11 +168,11 @@ class WordEncoder:
         return self.pool[at], upto[first]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder of this tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, special: bool = True) -> WordEncoder:
+    """The worker's encoder of this tokenizer file. Unless `special`, special tokens' strings are ordinary text."""
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = WordEncoder(path, special)
+    return _ENCODERS[path, special]
