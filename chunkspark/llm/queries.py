@@ -31,6 +31,13 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkspark.llm.warc import archive_pages
+
+    found = archive_pages(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chunkspark.llm.quality_classifier import classify
 
@@ -69,7 +76,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_license_scan": op2_license_scan, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op5_quality_classifier": op5_quality_classifier, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mixing": op8_mixing, "op9_token_counts": op9_token_counts, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_packing": op1_packing, "op2_license_scan": op2_license_scan, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_warc": op4_warc, "op5_quality_classifier": op5_quality_classifier, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mixing": op8_mixing, "op9_token_counts": op9_token_counts, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {
     "op10_exact_dedup": f"""
