@@ -85,9 +85,10 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, t
     key's partition by `spread`, and the others meet by an ordinary shuffle.
     """
     bar = max(total // ways, 1)
+    # the salt of cold keys is 0, but not a literal: the optimizer would take that out of the join's keys
     values = [c for c in right.columns if c not in keys]
     hot = right.filter(F.col(rows) > bar).select(*keys, F.struct(*values).alias("_hot"))
-    cold = right.filter(F.col(rows) <= bar).select(*keys, F.struct(*values).alias("_cold"), F.lit(0).alias("_salt"))
+    cold = right.filter(F.col(rows) <= bar).select(*keys, F.struct(*values).alias("_cold"), (F.col(rows) > bar).cast("int").alias("_salt"))
     marked = left.join(F.broadcast(hot), keys, "left")
     marked = marked.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")))
     joined = marked.join(cold, [*keys, "_salt"], "left")
