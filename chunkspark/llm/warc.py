@@ -85,7 +85,7 @@ def _zipped(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _write(folder: str):
+def _write(folder: str, roll_at: int):
     def run(batches):
         out, name, size, part = None, None, 0, 0
         for batch in batches:
@@ -99,7 +99,7 @@ def _write(folder: str):
                 payload = (html.as_py() or "").encode()
                 out.write(_zipped(record(page_id, url, payload, digest, ref)))
                 size += len(payload)
-                if size >= ROLL_AT:
+                if size >= roll_at:
                     out.close()
                     out = None
                     done.append(name)
@@ -111,7 +111,7 @@ def _write(folder: str):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", roll_at: int = ROLL_AT) -> DataFrame:
     """Write a record per row of `pages` to archives in `folder`; returns their names (column file).
 
     Of equal payloads of LEAST_SHARED bytes or more the row with the smallest id is the response
@@ -125,7 +125,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     found = lookup_join(slim, materialise(groups, "payload_groups"), ["digest"], "n", slim.count(), F.col("page_id"))
     revisits = found.filter("first is not null and not first <=> page_id").select("name", "digest", F.col("first").alias("refers_to")).distinct()
     marked = rows.withColumn("name", name).join(revisits.hint("shuffle_hash"), ["name", "digest"], "left")
-    return materialise(marked.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_write(folder), "file string"), "archives")
+    return materialise(marked.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_write(folder, roll_at), "file string"), "archives")
 
 
 def read_records(stream) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
