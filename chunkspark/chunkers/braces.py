@@ -77,7 +77,7 @@ class Source:
                 wipe(i, end)
                 i, last = end, c
                 continue
-            if c == "/" and self.language == "typescript" and last in "(,=:[!&|?{};\n" and (m := re.compile(r"/(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/").match(text, i)):
+            if c == "/" and self.language == "typescript" and (last in "(,=:[!&|?{};>" or re.search(r"\b(?:return|typeof|case|in|of)\s*$", text[max(0, i - 12) : i])) and (m := re.compile(r"/(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/").match(text, i)):
                 wipe(i, m.end())
                 i, last = m.end(), "/"
                 continue
@@ -94,6 +94,9 @@ class Source:
             elif quote == "`" and text.startswith("${", i):
                 depth, i = 1, i + 2
                 while i < len(text) and depth:
+                    if text[i] in "\"'`":
+                        i = self._string_end(i, text[i])
+                        continue
                     depth += {"{": 1, "}": -1}.get(text[i], 0)
                     i += 1
             elif text[i] == quote or (text[i] == "\n" and quote != "`"):
@@ -215,7 +218,7 @@ def cpp_chunks(source: str) -> list[Chunk]:
                 name = next((m[1] for m in _CPP_FUNCTION.finditer(head) if m[1] not in _NOT_NAMES and not re.fullmatch(r"[A-Z][A-Z0-9_]*_API", m[1])), None)
                 while end < stop and (m := re.compile(r"\s*,\s*[\w:]+\s*(?=\{)|\s*(?=\{)").match(code, end)) and ":" in head and code[m.end() : m.end() + 1] == "{":
                     end = src.closing(m.end())  # brace initialisers before the body
-                if name and "=" not in head.split("(")[0].replace("operator=", ""):
+                if name and "=" not in re.sub(r"operator[^\w(]+", "", head.split("(")[0]):
                     out.append(src.chunk("function", re.sub(r"\s+", " ", name), start, end, doc(start), meta, at))
             at = max(end, at + 1)
 
