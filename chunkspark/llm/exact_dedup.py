@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkspark.llm.shared import fresh, lookup_join, materialise
+from chunkspark.llm.shared import fresh, lookup_join, materialise, scratch
 
 #: Runs that merge in one round: 2 ** BITS.
 BITS = 4
@@ -130,9 +130,22 @@ def groups_of(signatures: DataFrame, keep: str = "largest") -> DataFrame:
 
 
 def drop_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lower: bool = True, keep: str = "largest") -> DataFrame:
-    """The rows of `df` that `duplicate_groups` keeps, with all their columns."""
-    tag, digest, n_bytes = (fresh(df, c) for c in ("row_tag", "row_digest", "row_bytes"))
-    staged = materialise(with_digests(df, text, tag, digest, n_bytes, lower), "staged")
-    signatures = staged.select(F.col(doc_id).cast("long").alias("id"), F.col(tag).alias("tag"), F.col(digest).alias("digest"), F.col(n_bytes).alias("n_bytes"))
-    losers = groups_of(signatures, keep).filter("not kept").select(F.col("tag").alias(tag))
-    return staged.join(losers.hint("shuffle_hash"), tag, "left_anti").select(*df.columns)
+    """The rows of `df` that `duplicate_groups` keeps, with all their columns.
+
+    Rows to drop are found by id and digest; texts are read a second time and not stored.
+    """
+    key, tag, digest, n_bytes = (fresh(df, c) for c in ("row_key", "row_tag", "row_digest", "row_bytes"))
+    name = F.coalesce(F.col(doc_id).cast("string"), F.lit("none"))
+    with scratch(df.sparkSession) as keep_table:
+        slim = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+        signatures = materialise(with_digests(slim, "text", "tag", "digest", "n_bytes", lower).drop("text"), "digests")
+        found = groups_of(signatures, keep).select(F.coalesce(F.col("id").cast("string"), F.lit("none")).alias(key), F.col("digest").alias(digest), "kept")
+        by_row = found.groupBy(key, digest).agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n")).filter("n > n_kept")
+        changed = keep_table(by_row, "changed")
+    gone = changed.filter("n_kept = 0").select(key, digest)
+    some = changed.filter("n_kept > 0").select(key, digest)  # rows repeated under one id, of which one stays
+    rows = with_digests(df, text, tag, digest, n_bytes, lower).withColumn(key, name)
+    out = rows.join(gone.hint("shuffle_hash"), [key, digest], "left_anti")
+    if some.take(1):
+        out = out.join(some.hint("shuffle_hash"), [key, digest], "left_anti").unionByName(rows.join(some.hint("shuffle_hash"), [key, digest], "left_semi").dropDuplicates([key, digest]))
+    return out.select(*df.columns)

@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _LOCAL: dict[str, str] = {}
+#: Folders of the innermost `scratch` of this thread.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,6 +39,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver ends or by `release`."""
     path = f"{shared_root(spark)}/chunkspark/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append((spark, path))
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     return path
 
 
@@ -51,6 +57,33 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete the tables written within, but for those that go through the function it gives.
+
+    That function materialises a frame, so what it returns reads none of the deleted ones.
+    """
+    own: list[str] = []
+    outer = _SCOPE.get()
+    token = _SCOPE.set(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialise(df, name)
+        kept = own.pop()
+        if outer is not None:
+            outer.append(kept)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        for path in own:
+            delete_folder(spark, path)
+            _WRITTEN.remove((spark, path))
+        drop_shuffles(spark)
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of plans that are done."""
     spark._jvm.System.gc()
