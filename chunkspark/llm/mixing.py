@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkspark.llm.shared import fresh, lookup_join, materialise
+from chunkspark.llm.shared import fresh, lookup_join, materialise, scratch
 
 #: Copies of one document, and multiples of a source's size, at most.
 MOST = 3
@@ -74,7 +74,7 @@ def mix_counts(df: DataFrame, text: str = "text", source: str = "source", doc_id
     total = sized.count()
     targets = source_targets(sized)
     key = [F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source")]
-    means = sized.groupBy("source").agg((F.sum(F.col("size") * F.col("importance")) / F.sum("size")).alias("mean"))
+    means = sized.groupBy("source").agg(F.try_divide(F.sum(F.col("size") * F.col("importance")), F.sum("size")).alias("mean"))
     targets = targets.join(means, targets["source"].eqNullSafe(means["source"])).drop(means["source"])
     stats = targets.select(*key, "n_docs", "source_size", "target", "mean")
     spread = F.struct("doc_id", "size")
@@ -82,9 +82,7 @@ def mix_counts(df: DataFrame, text: str = "text", source: str = "source", doc_id
     copies = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST)), F.col("target") / F.col("source_size") * F.col("importance") / F.col("mean"))).otherwise(0.0)
     docs = docs.withColumn("whole", F.floor(copies).cast("long")).withColumn("p", copies - F.floor(copies))
     u = (F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id", "size"), F.lit(2**52)) + 0.5) / float(2**52)
-    rank = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
     docs = docs.withColumn("_u", u).withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), F.expr("(_u / (1 - _u)) / (p / (1 - p))"))).drop("_u")
-    del rank
     docs = docs.withColumn("place", F.floor(F.col("rank") / (1 + F.col("rank")) * float(2 ** (2 * DIGIT_BITS))).cast("long"))
     docs = docs.withColumn("cell", F.shiftright("place", DIGIT_BITS).cast("int"))
     docs = materialise(docs, "ranked")
@@ -128,8 +126,9 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str =
     its source's whole copies say.
     """
     id_col, size_col, copies = (fresh(df, c) for c in ("mix_id", "mix_size", "mix_copies"))
-    counts = mix_counts(df, text, source, doc_id, seed).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(id_col), F.col("source").alias("_mix_source"), F.col("size").alias(size_col), F.col("copies").alias(copies))
-    counts = counts.groupBy(id_col, "_mix_source", size_col).agg(F.max(copies).alias(copies)).filter(F.col(copies) > 0)
+    with scratch(df.sparkSession) as keep:
+        counts = mix_counts(df, text, source, doc_id, seed).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(id_col), F.col("source").alias("_mix_source"), F.col("size").alias(size_col), F.col("copies").alias(copies))
+        counts = keep(counts.groupBy(id_col, "_mix_source", size_col).agg(F.max(copies).alias(copies)).filter(F.col(copies) > 0), "copies")
     marked = df.withColumn(id_col, F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).withColumn(size_col, word_count(F.col(text)))
     same = (marked[id_col] == counts[id_col]) & (marked[size_col] == counts[size_col]) & marked[source].eqNullSafe(counts["_mix_source"])
     joined = marked.join(counts.hint("shuffle_hash"), same)
