@@ -32,8 +32,13 @@ def test_sql_equals_query(spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+
+    def rows(pdf):
+        return sorted(map(str, pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None)))
+
     for name, sql in queries.SQL.items():
         found = queries.QUERIES[name](spark, sf_dir).toPandas()
         want = con.execute(sql).fetchdf()[list(found.columns)]
-        assert sorted(map(str, found.itertuples(index=False, name=None))) == sorted(map(str, want.itertuples(index=False, name=None)))
+        assert rows(found) == rows(want)
