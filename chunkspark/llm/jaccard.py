@@ -4,9 +4,12 @@ A document is the set of its word n-grams (hashed to 64 bits); documents with on
 node. Sets link if their Jaccard similarity is at least `similarity`.
 
 1. Grouping. Two linked sets of a and b tokens differ in at most D = (1-s)/(1+s) (a+b) tokens.
-   Dealt by hash into D + 2 parts, at least two parts are therefore equal, so each set is filed
-   under the hashes of its parts. Of each file the member with most shared parts leads; nodes
-   that share a leader are a group, and linked nodes always share one.
+   Dealt by hash into parts, at most D parts differ, so a set with more than D filled parts has
+   one in common with any set it links to. Each set is filed under the hashes of its filled
+   parts, and the rare sets with fewer under one name for all of their size class. A set with F
+   filled parts shares F - D of them with any set it links to; sets that share fewer with all
+   others together link with none and are left out. Of each file the member with most shared
+   parts leads; nodes that share a leader are a group, and linked nodes always share one.
 2. Members linked to their leader are settled by that link. The others are queries. The
    token-group matrix holds, for each group and token beyond the leader's, how many members have
    it; with the leader's tokens that is the union of the group. A query's overlap with any other
@@ -14,7 +17,9 @@ node. Sets link if their Jaccard similarity is at least `similarity`.
    stay closed to it.
 3. In opened groups a member is its difference to the leader, and |x ^ y| of two members is that
    of their differences. Linked members share one of the first tokens of their differences, by
-   prefix lengths that hold for settled and unsettled members; such pairs are compared exactly.
+   prefix lengths that hold for settled and unsettled members. Sketches rule out most of the
+   pairs that don't link, one pair of each node is compared exactly, and then those of the rest
+   whose sets are not connected yet.
 
 No step lists all pairs of a group, and no group is gathered in one task.
 """
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkspark.llm.shared import drop_shuffles, lookup_join, materialise
+from chunkspark.llm.shared import drop_shuffles, lookup_join, materialise, scratch
 from chunkspark.llm.text import LOWER, NOT_SPACE, U64, blocks, mix, span_hashes, word_bounds
 
 #: Ids of rows without one start here; they are null again in results.
@@ -54,12 +59,28 @@ class Rule:
         return self.whole * size // self.part
 
     @lru_cache(maxsize=8)  # noqa: B019
-    def classes(self) -> np.ndarray:
-        """First sizes of the size classes; a class spans about three steps of `largest`."""
-        out = [1]
-        while out[-1] < 1 << 40:
-            out.append(max(out[-1] + 1, self.largest(self.largest(self.largest(out[-1]))) + 1))
-        return np.array(out, dtype=np.int64)
+    def classes(self) -> list[tuple[int, int, int]]:
+        """(first size, D, parts) of the size classes. Steps of `largest` span a class: about 1.4 times its first size."""
+        out, first = [], 1
+        steps = max(1, round(np.log(1.4) / np.log(self.whole / self.part)))
+        while first < 1 << 40:
+            last = first
+            for _ in range(steps):
+                last = max(last, self.largest(last))
+            differ = int(self.differ(2 * last))
+            parts = differ + 1
+            while parts < 8 * first:  # filled parts: mean less five deviations
+                empty = parts * np.exp(-first / parts)
+                if parts - empty - 5 * np.sqrt(empty) >= differ + 1:
+                    break
+                parts += 1 + parts // 50
+            out.append((first, differ, parts))
+            first = last + 1
+        return out
+
+    @lru_cache(maxsize=8)  # noqa: B019
+    def firsts(self) -> np.ndarray:
+        return np.array([c[0] for c in self.classes()], dtype=np.int64)
 
 
 def tokens_of(words: np.ndarray, width: int) -> np.ndarray:
@@ -86,57 +107,106 @@ def node_of(tokens: np.ndarray) -> int:
     return int(mix(np.array([total ^ np.bitwise_xor.reduce(tokens)], U64)).view(np.int64)[0])
 
 
-def parts_of(tokens: np.ndarray, rule: Rule) -> list[np.ndarray]:
-    """Names of the parts under which a set is filed, for its size class and perhaps the next."""
+#: Bits of a row's mark: salt, parts that a link needs in common, size class.
+SALT_BITS, NEED_BITS = 10, 32
+
+
+def parts_of(tokens: np.ndarray, rule: Rule) -> list[tuple[np.ndarray, int]]:
+    """(names of the parts under which a set is filed, mark) for its size class and perhaps the next."""
     n, classes = len(tokens), rule.classes()
-    own = int(np.searchsorted(classes, n, "right")) - 1
+    own = int(np.searchsorted(rule.firsts(), n, "right")) - 1
     out = []
     upto = np.concatenate([np.zeros(1, U64), np.cumsum(mix(tokens ^ _K), dtype=U64)])
     for c in (own, own + 1):
-        if c > own and rule.largest(n) < classes[c]:
+        first, differ, k = classes[c]
+        if c > own and rule.largest(n) < first:
             break
-        differ = int(rule.differ(2 * (int(classes[c + 1]) - 1)))
         if differ == 0:
             continue  # linked sets of this class are equal
-        k = differ + 2
         part = ((tokens >> U64(32)) * U64(k)) >> U64(32)
-        bounds = np.searchsorted(part, np.arange(k + 1, dtype=U64))
-        filled = np.flatnonzero(bounds[1:] > bounds[:-1])
-        salt = mix((np.arange(k, dtype=U64) + U64(c << 32)) * _K)
-        out.append(mix((upto[bounds[1:]] - upto[bounds[:-1]])[filled] ^ salt[filled]))
-        empty = np.flatnonzero(bounds[1:] == bounds[:-1])
-        if len(empty) > 1:  # two sets whose equal parts are all empty share a pair of those
-            i, j = np.triu_indices(len(empty), 1)
-            out.append(mix(salt[empty[i]] * U64(3) + salt[empty[j]]))
+        filled, starts = np.unique(part, return_index=True)
+        ends = np.append(starts[1:], n)
+        salt = mix((filled + U64(c << 32)) * _K)
+        names = mix((upto[ends] - upto[starts]) ^ salt)
+        if len(filled) <= differ:
+            names = np.append(names, mix(np.array([c], U64) ^ _K))
+        out.append((names, (c << (SALT_BITS + NEED_BITS)) + (max(0, len(filled) - differ) << SALT_BITS)))
     return out
 
 
-SETS = "id long, doc_id long, n_shingles long, node long, parts array<long>"
+#: One in so many (part, node) rows is in the sample that finds hot parts; it only decides where rows go.
+SAMPLED = 64
+SETS = "id long, doc_id long, n_shingles long, node long, sample array<long>"
+
+
+def _walk(batch: pa.RecordBatch, at: int, rule: Rule):
+    """(rows, token sets) of each block of a batch."""
+    for a, b, raw, offsets in blocks(batch.column(at)):
+        raw = LOWER[raw]
+        starts, ends, first = word_bounds(raw, offsets, NOT_SPACE)
+        words = span_hashes(raw, starts, ends)
+        yield slice(a, b), [tokens_of(words[first[i] : first[i + 1]], rule.words) for i in range(b - a)]
+
+
+class _Seen:
+    """Whether this task has met a node before; forgets when it has met many."""
+
+    def __init__(self):
+        self.nodes: set[int] = set()
+
+    def __call__(self, node: int) -> bool:
+        if node in self.nodes:
+            return True
+        if len(self.nodes) > 500_000:
+            self.nodes.clear()
+        self.nodes.add(node)
+        return False
+
+
+def listed(parts: list[np.ndarray]) -> pa.ListArray:
+    values = np.concatenate([np.zeros(0, np.int64), *(p.view(np.int64) for p in parts)])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(values))
 
 
 def _sets(rule: Rule):
     def run(batches):
-        seen: set[int] = set()
+        seen = _Seen()
+        for batch in batches:
+            for own, sets in _walk(batch, 2, rule):
+                nodes = [node_of(s) if len(s) else 0 for s in sets]
+                sample = []
+                for s, node in zip(sets, nodes, strict=True):
+                    parts = np.concatenate([np.zeros(0, U64), *(p for p, _ in parts_of(s, rule))]) if len(s) and not seen(node) else np.zeros(0, U64)
+                    sample.append(parts[mix(parts ^ np.array([node], np.int64).view(U64)) % U64(SAMPLED) == 0])
+                n = own.stop - own.start
+                columns = [batch.column(0).slice(own.start, n), batch.column(1).slice(own.start, n), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), listed(sample)]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SETS.split(", ")])
+
+    return run
+
+
+def _filed(rule: Rule, hot: list[int]):
+    """part, node and mark of each part of each node, once per task. The marks of hot parts are salted by node."""
+    hottest = np.array(sorted(hot), np.int64)
+
+    def run(batches):
+        seen = _Seen()
         for batch in batches:
-            for a, b, raw, offsets in blocks(batch.column(2)):
-                raw = LOWER[raw]
-                starts, ends, first = word_bounds(raw, offsets, NOT_SPACE)
-                words = span_hashes(raw, starts, ends)
-                sizes, nodes, parts = [], [], []
-                for i in range(b - a):
-                    tokens = tokens_of(words[first[i] : first[i + 1]], rule.words)
-                    node = node_of(tokens) if len(tokens) else 0
-                    own = parts_of(tokens, rule) if len(tokens) and node not in seen else []
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(node)
-                    sizes.append(len(tokens))
-                    nodes.append(node)
-                    parts.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
-                lengths = np.cumsum([0, *map(len, parts)])
-                listed = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(parts)))
-                columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), listed]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "doc_id", "n_shingles", "node", "parts"])
+            for _, sets in _walk(batch, 0, rule):
+                parts, nodes, marks = [], [], []
+                for s in sets:
+                    if len(s) and not seen(node := node_of(s)):
+                        for p, mark in parts_of(s, rule):
+                            parts.append(p.view(np.int64))
+                            nodes.append(np.full(len(p), node, np.int64))
+                            marks.append(np.full(len(p), mark, np.int64))
+                if not parts:
+                    continue
+                part, node, mark = np.concatenate(parts), np.concatenate(nodes), np.concatenate(marks)
+                if len(hottest):
+                    is_hot = hottest[np.minimum(np.searchsorted(hottest, part), len(hottest) - 1)] == part
+                    mark[is_hot] += 1 + (mix(node[is_hot].view(U64)) % U64(512)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(node), pa.array(mark)], names=["part", "node", "mark"])
 
     return run
 
@@ -144,36 +214,63 @@ def _sets(rule: Rule):
 def _tokens(rule: Rule):
     def run(batches):
         for batch in batches:
-            for a, b, raw, offsets in blocks(batch.column(0)):
-                raw = LOWER[raw]
-                starts, ends, first = word_bounds(raw, offsets, NOT_SPACE)
-                words = span_hashes(raw, starts, ends)
-                sets = [tokens_of(words[first[i] : first[i + 1]], rule.words) for i in range(b - a)]
+            for _, sets in _walk(batch, 0, rule):
                 sets = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], names=["node", "tokens", "sketch"])
+
+    return run
+
+
+#: Bits of a sketch.
+SKETCH = 2048
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Size and parities of the tokens in SKETCH cells. Cells in which two sketches differ hold a token of one set only."""
+    parity = np.bincount((mix(tokens + _K) % U64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return len(tokens).to_bytes(8, "little") + np.packbits(parity.astype(np.uint8)).tobytes()
+
+
+def _close_sketches(rule: Rule):
+    """Pairs (a, b, sketch, sketch) that differ in no more cells than linked sets may differ in tokens."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, 1 + SKETCH // 64) for c in batch.columns[2:])
+            cells = np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(axis=1, dtype=np.int64)
+            keep = pa.array(cells <= rule.differ(x[:, 0].astype(np.int64) + y[:, 0].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return run
 
 
 def _shared_parts(batches):
-    """Of rows sorted by part and node: those, once each, whose part several nodes have."""
-    held = None  # last row: part, node, whether an earlier row of its part had another node
+    """Of rows sorted by part and node: those, once each, whose part several nodes have. Hot parts (salted) all have."""
+    held = None  # last row: part, node, mark, whether it stays whatever comes next
+    names = ["part", "node", "mark"]
     for batch in batches:
-        part, node = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        part, node, mark = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if held is not None:
-            part, node = np.concatenate([[held[0]], part]), np.concatenate([[held[1]], node])
+            part, node, mark = np.append(held[0], part), np.append(held[1], node), np.append(held[2], mark)
         if not len(part):
             continue
         near = part[1:] == part[:-1]
-        new = np.concatenate([[True], ~near | (node[1:] != node[:-1])])
-        part, node = part[new], node[new]
+        new = np.append(True, ~near | (node[1:] != node[:-1]))
+        stays = held is not None and held[3]
+        part, node, mark = part[new], node[new], mark[new]
         near = part[1:] == part[:-1]
-        keep = np.concatenate([[held is not None and held[2]], near])
+        keep = np.append(stays, near) | (mark % (1 << SALT_BITS) > 0)
         keep[:-1] |= near
-        held = (part[-1], node[-1], bool(keep[-1]))
-        yield pa.RecordBatch.from_arrays([pa.array(part[:-1][keep[:-1]]), pa.array(node[:-1][keep[:-1]])], names=["part", "node"])
-    if held is not None and held[2]:
-        yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names=["part", "node"])
+        held = (part[-1], node[-1], mark[-1], bool(keep[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in (part, node, mark)], names=names)
+    if held is not None and held[3]:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held[:3]], names=names)
+
+
+def _able(shared: DataFrame) -> DataFrame:
+    """Rows of the sets that share as many parts of a size class as a link needs; the others link with none."""
+    counts = shared.groupBy("node", "size_class").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need")
+    return shared.join(counts.select("node", "size_class"), ["node", "size_class"], "left_semi")
 
 
 DELTAS = "node long, leader long, n long, n_leader long, linked boolean, added array<long>, removed array<long>"
@@ -197,24 +294,27 @@ def _deltas(rule: Rule):
                 added.append(a.view(np.int64))
                 removed.append(r.view(np.int64))
 
-            def listed(parts):
-                return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
-
             yield pa.RecordBatch.from_arrays([node, leader, pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(linked, pa.bool_()), listed(added), listed(removed)], names=[x.split()[0] for x in DELTAS.split(", ")])
 
     return run
 
 
 def _pairs_of(rule: Rule):
-    """Candidate pairs from postings sorted by leader and token: leader, token, node, n, size, place, query."""
+    """Candidate pairs from postings sorted by leader and token: leader, token, node, n, size, place, query, short.
+
+    Two queries share a token of their short prefixes; a query and a settled member one of the
+    query's whole prefix and the member's, which is short.
+    """
     names = ["a", "b"]
 
-    def pairs(node, n, size, place, query):
+    def pairs(node, n, size, place, query, short):
         q = np.flatnonzero(query)
         step = max(1, (1 << 20) // len(node))
         for at in range(0, len(q), step):
             i = q[at : at + step, None]
             ok = (rule.whole * np.minimum(n[i], n) >= rule.part * np.maximum(n[i], n)) & (node[i] != node)
+            early = place < short
+            ok &= ~query | (early[i] & early)
             need = size[i] + size - rule.differ(n[i] + n)
             ok &= 2 * (1 + np.minimum(size[i] - place[i], size - place) - 1) >= need
             x, y = np.nonzero(ok)
@@ -233,16 +333,16 @@ def _pairs_of(rule: Rule):
             new = np.flatnonzero((col["leader"][1:] != col["leader"][:-1]) | (col["token"][1:] != col["token"][:-1])) + 1
             bounds = np.concatenate([[0], new])
             held = table.slice(int(bounds[-1]))
-            yield from listed(col, bounds)
+            yield from grouped(col, bounds)
         if held is not None and held.num_rows:
             col = {c: held.column(c).to_numpy() for c in held.column_names}
-            yield from listed(col, np.array([0, held.num_rows]))
+            yield from grouped(col, np.array([0, held.num_rows]))
 
-    def listed(col, bounds):
+    def grouped(col, bounds):
         out = []
         for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             if e - s > 1 and col["query"][s:e].any():
-                for p in pairs(*(col[c][s:e] for c in ("node", "n", "size", "place", "query"))):
+                for p in pairs(*(col[c][s:e] for c in ("node", "n", "size", "place", "query", "short"))):
                     out.append(p)
                     if sum(len(x) for x, _ in out) > 1 << 18:
                         yield joined(out)
@@ -300,15 +400,15 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def salted_tokens(pairs: DataFrame, key: str, spread: str, tokens: DataFrame, name: str) -> DataFrame:
-    """`pairs` with the token set of the node in `key`; nodes of many pairs are salted."""
+def salted_tokens(pairs: DataFrame, key: str, spread: str, tokens: DataFrame, name: str, column: str = "tokens") -> DataFrame:
+    """`pairs` with the token set (or sketch) of the node in `key`; nodes of many pairs are salted."""
     total = pairs.count()
     bar = max(500, total // 1000)
     counts = materialise(pairs.groupBy(key).agg(F.count("*").alias("_n")), "counts")
     hot = counts.filter(F.col("_n") > bar).select(key, F.ceil(F.col("_n") / bar).cast("int").alias("_ways"))  # under 1000 rows
     left = pairs.join(F.broadcast(hot), key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_ways")).cast("int"), F.lit(0))).drop("_ways")
     ways = counts.select(F.col(key), F.explode(F.sequence(F.lit(0), F.when(F.col("_n") > bar, F.ceil(F.col("_n") / bar).cast("int")).otherwise(1) - 1)).alias("_salt"))
-    right = tokens.select(F.col("node").alias(key), F.col("tokens").alias(name)).join(ways, key)
+    right = tokens.select(F.col("node").alias(key), F.col(column).alias(name)).join(ways, key)
     return left.join(right, [key, "_salt"]).drop("_salt")
 
 
@@ -328,18 +428,28 @@ def linked_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     drop_shuffles(spark)
 
     # 1. files of equal parts, their leaders, groups
-    filed = sets.filter("size(parts) > 0").select(F.explode("parts").alias("part"), "node")
-    sample = sets.sample(0.02, seed=7).select(F.explode("parts").alias("part"))
-    n_sample = sample.count()
-    hot = materialise(sample.groupBy("part").count().filter(F.col("count") > max(20, n_sample // 2000)).select("part"), "hot")  # under 2000 rows
-    cold = filed.join(F.broadcast(hot), "part", "left_anti").repartition("part").sortWithinPartitions("part", "node").mapInArrow(_shared_parts, "part long, node long")
-    shared = materialise(cold.unionByName(filed.join(F.broadcast(hot), "part", "left_semi").distinct()), "shared")
-    drop_shuffles(spark)
-    weights = shared.groupBy("node").agg(F.count("*").alias("weight"))
-    weighted = materialise(shared.join(weights, "node"), "weighted")
-    leaders = weighted.groupBy("part").agg(F.max(F.struct("weight", F.col("node"))).alias("l"), F.count("*").alias("n")).select("part", F.col("l.node").alias("leader"), "n")
-    grouped = lookup_join(weighted.select("part", "node"), materialise(leaders, "leaders"), ["part"], "n", weighted.count(), F.col("node"))
-    pairs = materialise(grouped.select("node", "leader").filter("node != leader").distinct(), "grouped")
+    with scratch(spark) as keep:
+        sample = materialise(sets.select(F.explode("sample").alias("part")).groupBy("part").count(), "sample")
+        bar = max(20, (sample.agg(F.sum("count")).first()[0] or 0) // 2000)  # under 2000 parts have more
+        hot = [r[0] for r in sample.filter(F.col("count") > bar).select("part").collect()]
+        filed = docs.select("text").mapInArrow(_filed(rule, hot), "part long, node long, mark long")
+        filed = filed.repartition("part", F.col("mark") % (1 << SALT_BITS)).sortWithinPartitions("part", "node")
+        found = filed.mapInArrow(_shared_parts, "part long, node long, mark long")
+        need = F.shiftright(F.col("mark"), SALT_BITS).bitwiseAND(F.lit((1 << NEED_BITS) - 1))
+        shared = materialise(found.select("part", "node", need.alias("need"), F.shiftright("mark", SALT_BITS + NEED_BITS).alias("size_class")), "shared")
+        drop_shuffles(spark)
+        for _ in range(2):  # what is left out may leave others alone with a part
+            able = materialise(_able(shared), "able")
+            several = able.groupBy("part").agg(F.count("*").alias("n")).filter("n > 1")
+            shared = materialise(lookup_join(able, materialise(several, "several"), ["part"], "n", able.count(), F.col("node")).filter("n is not null").drop("n"), "shared")
+        shared = _able(shared).select("part", "node")
+        shared = materialise(shared, "shared")
+        drop_shuffles(spark)
+        weights = shared.groupBy("node").agg(F.count("*").alias("weight"))
+        weighted = materialise(shared.join(weights, "node"), "weighted")
+        leaders = weighted.groupBy("part").agg(F.max(F.struct("weight", F.col("node"))).alias("l"), F.count("*").alias("n")).select("part", F.col("l.node").alias("leader"), "n")
+        grouped = lookup_join(weighted.select("part", "node"), materialise(leaders, "leaders"), ["part"], "n", weighted.count(), F.col("node"))
+        pairs = keep(grouped.select("node", "leader").filter("node != leader").distinct(), "grouped")
 
     # token sets of the nodes in groups
     active = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
@@ -347,7 +457,7 @@ def linked_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ids = wanted.select("doc_id").distinct()
     texts = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
     unnamed = tagged.filter(F.col("doc_id").isNull()).select("text")
-    found = texts.unionByName(unnamed).mapInArrow(_tokens(rule), "node long, tokens binary")
+    found = texts.unionByName(unnamed).mapInArrow(_tokens(rule), "node long, tokens binary, sketch binary")
     tokens = materialise(found.dropDuplicates(["node"]), "tokens")
     drop_shuffles(spark)
 
@@ -356,32 +466,60 @@ def linked_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     deltas = materialise(both.select("node", "leader", "own", "lead").mapInArrow(_deltas(rule), DELTAS), "deltas")
     drop_shuffles(spark)
     queries = deltas.filter("not linked")
-    asked = materialise(queries.groupBy("leader").agg(F.count("*").alias("n_queries")), "asked")
-    members = deltas.join(asked.select("leader").hint("shuffle_hash"), "leader", "left_semi")
-    more = materialise(members.select("leader", "node", F.explode("added").alias("token")), "added")
-    matrix = more.groupBy("leader", "token").agg(F.count("*").alias("n_members")).filter("n_members > 1")
-    matrix = materialise(matrix, "matrix")
-    has = lookup_join(more, matrix, ["leader", "token"], "n_members", more.count(), F.col("node")).filter("n_members is not null").groupBy("leader", "node").agg(F.count("*").alias("in_union"))
-    overlap = F.col("n") - F.size("added") + F.coalesce("in_union", F.lit(0))
-    opened = queries.select("leader", "node", "n", "added").join(has, ["leader", "node"], "left").filter(rule.whole * overlap >= rule.part * F.col("n")).select("leader", "node")
-    opened = materialise(opened.withColumn("query", F.lit(True)), "opened")
+    groups = materialise(deltas.groupBy("leader").agg(F.count("*").alias("n_group"), F.count_if(~F.col("linked")).alias("n_queries")), "groups")
+    n_deltas = deltas.count()
+
+    def of_groups(some: DataFrame) -> DataFrame:
+        """Members of the groups in `some` (leader, n_group), however large one of them is."""
+        return lookup_join(deltas, some, ["leader"], "n_group", n_deltas, F.col("node")).filter("n_group is not null").drop("n_group")
+
+    with scratch(spark) as keep:
+        members = of_groups(groups.filter("n_queries > 0").select("leader", "n_group"))
+        more = materialise(members.select("leader", "node", F.explode("added").alias("token")), "added")
+        matrix = more.groupBy("leader", "token").agg(F.count("*").alias("n_members")).filter("n_members > 1")
+        matrix = materialise(matrix, "matrix")
+        drop_shuffles(spark)
+        has = lookup_join(more, matrix, ["leader", "token"], "n_members", more.count(), F.col("node")).filter("n_members is not null").groupBy("leader", "node").agg(F.count("*").alias("in_union"))
+        overlap = F.col("n") - F.size("added") + F.coalesce("in_union", F.lit(0))
+        opened = queries.select("leader", "node", "n", "added").join(has, ["leader", "node"], "left").filter(rule.whole * overlap >= rule.part * F.col("n")).select("leader", "node")
+        opened = keep(opened.withColumn("query", F.lit(True)), "opened")
 
     # 3. pairs in opened groups that share a token of their prefixes
     size = F.size("added") + F.size("removed")
     wide, narrow = rule.whole + rule.part, rule.whole - rule.part
     farthest = F.floor(narrow * (F.col("n") + F.floor(rule.whole * F.col("n") / rule.part)) / wide)
     need_query = F.greatest(F.lit(1), size - farthest)
-    need_settled = F.greatest(F.lit(1), F.ceil((wide * size - narrow * (F.col("n") - F.col("n_leader"))) / (2 * wide)))
-    prefix = (size - F.when(F.col("linked"), need_settled).otherwise(need_query) + 1).cast("int")
-    candidates = deltas.join(opened.select("leader").distinct().hint("shuffle_hash"), "leader", "left_semi").join(opened, ["leader", "node"], "left")
+    # against a query the overlap is over half of the difference, but for the sizes; against a settled member it can be less
+    need_half = F.greatest(F.lit(1), F.ceil((size + 1 - F.ceil(narrow * (F.col("n") - F.col("n_leader")) / wide)) / 2))
+    short = (size - need_half + 1).cast("long")
+    prefix = F.when(F.col("linked"), short).otherwise(F.greatest(short, size - need_query + 1)).cast("int")
+    open_groups = materialise(groups.select("leader", "n_group").join(opened.select("leader").distinct(), "leader", "left_semi"), "open_groups")
+    candidates = of_groups(open_groups).join(opened, ["leader", "node"], "left")
     first = F.slice(F.concat("added", "removed"), 1, F.greatest(prefix, F.lit(0)))
-    postings = candidates.select("leader", "node", "n", size.cast("long").alias("size"), F.coalesce("query", F.lit(False)).alias("query"), F.posexplode(first).alias("place", "token"))
-    postings = postings.select("leader", "token", "node", "n", "size", F.col("place").cast("long").alias("place"), "query")
+    postings = candidates.select("leader", "node", "n", size.cast("long").alias("size"), F.coalesce("query", F.lit(False)).alias("query"), short.alias("short"), F.posexplode(first).alias("place", "token"))
+    postings = postings.select("leader", "token", "node", "n", "size", F.col("place").cast("long").alias("place"), "query", "short")
     close = postings.repartition("leader", "token").sortWithinPartitions("leader", "token").mapInArrow(_pairs_of(rule), "a long, b long").distinct()
     close = materialise(close, "close")
-    sides = salted_tokens(salted_tokens(close, "a", "b", tokens, "left_tokens"), "b", "a", tokens, "right_tokens")
-    links = sides.select("a", "b", "left_tokens", "right_tokens").mapInArrow(_verified(rule), "a long, b long")
-    links = links.unionByName(deltas.filter("linked").select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    drop_shuffles(spark)
+    sketches = salted_tokens(salted_tokens(close, "a", "b", tokens, "x", "sketch"), "b", "a", tokens, "y", "sketch")
+    near = materialise(sketches.select("a", "b", "x", "y").mapInArrow(_close_sketches(rule), "a long, b long"), "near")
+    drop_shuffles(spark)
+
+    def verified(some: DataFrame) -> DataFrame:
+        sides = salted_tokens(salted_tokens(some, "a", "b", tokens, "x"), "b", "a", tokens, "y")
+        out = materialise(sides.select("a", "b", "x", "y").mapInArrow(_verified(rule), "a long, b long"), "links")
+        drop_shuffles(spark)
+        return out
+
+    # first one pair of each node; pairs that are then connected need no comparison
+    one = near.groupBy("a").agg(F.min("b").alias("b")).unionByName(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")).distinct()
+    settled = deltas.filter("linked").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    links = settled.unionByName(verified(materialise(one, "one")))
+    label = components(links)
+    for side in ("a", "b"):
+        near = near.join(label.select(F.col("v").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
+    rest = materialise(near.filter("a_root != b_root").select("a", "b"), "rest")
+    links = links.unionByName(verified(rest))
 
     # components over the smallest id of each node
     names = nodes.select("node", "id")
@@ -400,5 +538,6 @@ def linked_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rule: Rule = Rule(5, 80, 100)) -> DataFrame:
     """The rows of `df` without those whose component has a smaller id. Rows without an id stay."""
-    losers = linked_components(df, text, doc_id, rule).filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    with scratch(df.sparkSession) as keep:
+        losers = keep(linked_components(df, text, doc_id, rule).filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct(), "losers")
     return df.join(losers.hint("shuffle_hash"), doc_id, "left_anti").select(*df.columns)
