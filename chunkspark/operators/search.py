@@ -14,6 +14,8 @@ from chunkspark.functions import vectors as V
 
 #: Queries of one block: as many are sent to every task at a time.
 QUERY_BLOCK = 4096
+#: So many distances a task holds at a time.
+CELLS = 4_000_000
 
 
 def vector_literal(values) -> Column:
@@ -53,37 +55,48 @@ def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(xx + qq - 2 * inner, 0))
 
 
-def batch_nearest(store: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", id_col: str = "id", embedding: str = "embedding", query_id: str = "qid", query_vector: str = "qv") -> DataFrame:
+def batch_nearest(store: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", id_col: str = "id", embedding: str = "embedding", query_id: str = "qid", query_vector: str = "qv", within: str | None = None, digits: int | None = None) -> DataFrame:
     """The k nearest rows of the store to each query: qid, id, dist, rk.
 
     Queries go to the tasks in blocks of QUERY_BLOCK. Each task multiplies matrices and keeps k
-    rows per query, so only tasks x queries x k rows are shuffled.
+    rows per query, so only tasks x queries x k rows are shuffled. `within` names a column of the
+    store: k rows are then kept for each of its values, which comes after qid. Distances that agree
+    after rounding to `digits` are ties.
     """
     parts = []
     rows = queries.select(query_id, query_vector).toLocalIterator()
     block: list = []
+    key = ["qid"] if within is None else ["qid", "within"]
 
     def flush():
         ids, q = [r[0] for r in block], np.array([r[1] for r in block], dtype=np.float64)
 
         def run(batches):
             best: pd.DataFrame | None = None
-            for pdf in batches:
-                pdf = pdf[pdf["v"].notna()]
-                if not len(pdf):
-                    continue
-                d = _distances(np.stack(pdf["v"].to_numpy()).astype(np.float64), q, metric)
-                keys = pdf["id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(keys[:, None], d.shape), d), axis=0)[:k]
-                got = pd.DataFrame({"qid": np.tile(np.arange(len(ids)), len(order)), "id": keys[order].ravel(), "dist": np.take_along_axis(d, order, 0).ravel()}).dropna(subset=["dist"])
-                best = got if best is None else pd.concat([best, got])
-                best = best.sort_values(["qid", "dist", "id"]).groupby("qid").head(k)
+            step = max(1, CELLS // max(1, len(ids)))
+            for whole in batches:
+                whole = whole[whole["v"].notna()]
+                for at in range(0, len(whole), step):
+                    pdf = whole.iloc[at : at + step]
+                    d = _distances(np.stack(pdf["v"].to_numpy()).astype(np.float64), q, metric)
+                    d = d if digits is None else np.round(d, digits) + 0.0
+                    codes = pd.factorize(pdf["within"], use_na_sentinel=False)[0] if within else np.zeros(len(pdf), int)
+                    found = [best] if best is not None else []
+                    for own in np.split(np.argsort(codes, kind="stable"), np.cumsum(np.bincount(codes))[:-1]):
+                        near = d[own]
+                        # all that is as near as the k-th, which ties may make more than k; null distances compare as false
+                        last = np.partition(near, k - 1, axis=0)[k - 1] if len(own) > k else np.full(near.shape[1], np.inf)
+                        r, c = np.nonzero(near <= np.where(np.isnan(last), np.inf, last))
+                        got = pdf.iloc[own[r]].drop(columns="v")
+                        found.append(got.assign(qid=c, dist=near[r, c]))
+                    best = pd.concat(found).sort_values([*key, "dist", "id"])
+                    best = best.groupby(key, dropna=False, sort=False).head(k)
             if best is not None:
                 best["qid"] = [ids[i] for i in best["qid"]]
-                yield best
+                yield best[schema.names]
 
-        slim = store.select(F.col(id_col).alias("id"), F.col(embedding).alias("v"))
-        schema = T.StructType([T.StructField("qid", queries.schema[query_id].dataType), T.StructField("id", store.schema[id_col].dataType), T.StructField("dist", T.DoubleType())])
+        slim = store.select(F.col(id_col).alias("id"), F.col(embedding).alias("v"), *([F.col(within).alias("within")] if within else []))
+        schema = T.StructType([T.StructField("qid", queries.schema[query_id].dataType), *([T.StructField("within", store.schema[within].dataType)] if within else []), T.StructField("id", store.schema[id_col].dataType), T.StructField("dist", T.DoubleType())])
         parts.append(slim.mapInPandas(run, schema))
 
     for row in rows:
@@ -93,8 +106,9 @@ def batch_nearest(store: DataFrame, queries: DataFrame, k: int = 10, metric: str
             block = []
     if block or not parts:
         flush()
-    w = Window.partitionBy("qid").orderBy("dist", "id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+    w = Window.partitionBy(*key).orderBy("dist", "id")
+    out = reduce(DataFrame.unionByName, parts).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+    return out.withColumnRenamed("within", within) if within else out
 
 
 def over_domains(results: dict[str, DataFrame], rerank: bool = False, k: int | None = None) -> DataFrame:

@@ -73,12 +73,20 @@ for _name, _metric, _dist in (
 
 @query("w1_batch_knn", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), r AS (SELECT a.vec_id AS qid, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, b.v), 6), b.vec_id) AS rk FROM e a, e b WHERE a.vec_id < 20) SELECT * FROM r WHERE rk <= 5")
 def w1_batch_knn(spark, sf_dir):
-    """The five nearest vectors of 20 questions; the question set is the operator's own input."""
+    """The five nearest vectors of the first 20 vectors, a fixed case; w1_batch_knn_all asks the whole query set."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = e.filter("id < 20").select(F.col("id").alias("qid"), V.doubles(F.col("embedding")).alias("qv"))
     return batch_nearest(e, asked, 5).select("qid", F.col("id").alias("vec_id"), "rk")
 
 
+@query("w1_batch_knn_all", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), r AS (SELECT a.vec_id AS qid, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, b.v), 6), b.vec_id) AS rk FROM e a, e b WHERE a.vec_id % 50 = 0) SELECT * FROM r WHERE rk <= 5")
+def w1_batch_knn_all(spark, sf_dir):
+    """The five nearest vectors of every vector whose id is divisible by 50, among all rows."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = e.filter("id % 50 = 0").select(F.col("id").alias("qid"), V.doubles(F.col("embedding")).alias("qv"))
+    return batch_nearest(e, asked, 5, digits=6).select("qid", F.col("id").alias("vec_id"), "rk")
+
+
 def _filtered(pre: bool):
     def run(spark, sf_dir):
         e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
