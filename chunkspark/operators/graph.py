@@ -53,13 +53,17 @@ def group_ids(nodes: list[dict], boxes: list[dict], edges: list[dict], transitiv
     Without `transitive` a box takes only the nodes inside it, so a node that an earlier box had
     grouped with them may stay behind.
     """
-    group = list(range(len(nodes)))
+    group, root = list(range(len(nodes))), list(range(len(nodes)))
+
+    def find(a: int) -> int:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
 
     def join(a: int, b: int) -> None:
-        low, high = min(a, b), max(a, b)
-        for i, g in enumerate(group):
-            if g == high:
-                group[i] = low
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
 
     for box in boxes:
         inside = [i for i, n in enumerate(nodes) if box["x_min"] <= n["x"] <= box["x_max"] and box["y_min"] <= n["y"] <= box["y_max"]]
@@ -73,7 +77,7 @@ def group_ids(nodes: list[dict], boxes: list[dict], edges: list[dict], transitiv
         a, b = place.get(e["start_id"]), place.get(e["end_id"])
         if a is not None and b is not None:
             join(group[a], group[b])
-    return group
+    return [find(g) for g in group]
 
 
 def in_boxes(nodes: DataFrame, boxes: DataFrame) -> DataFrame:

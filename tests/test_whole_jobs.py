@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chunkspark.catalog import QUERIES
 from chunkspark.operators import search
+from chunkspark.operators.graph import group_ids
 
 
 def test_batch_asks_every_fiftieth_vector(spark, tmp_path, monkeypatch):
@@ -36,3 +37,45 @@ def test_batch_within_groups(spark):
             own = sorted((np.linalg.norm(vectors[i] - vectors[q]), i) for i, t, v in rows if t == s and v)[:4]
             want |= {(q, s, n + 1): i for n, (_, i) in enumerate(own)}
     assert found == want
+
+
+def brute_components(nodes, boxes, edges):
+    """Group of each node (id, x, y) after boxes and then edges (start, end), by relabelling all nodes each time."""
+    group = list(range(len(nodes)))
+    for x0, x1, y0, y1 in boxes:
+        inside = [i for i, (_, x, y) in enumerate(nodes) if x0 <= x <= x1 and y0 <= y <= y1]
+        for i in inside[1:]:
+            group[i] = group[inside[0]]
+    place = {n[0]: i for i, n in enumerate(nodes)}
+    for s, t in edges:
+        if s in place and t in place:
+            low, high = sorted((group[place[s]], group[place[t]]))
+            group = [low if g == high else g for g in group]
+    return {n[0]: nodes[g][0] for n, g in zip(nodes, group, strict=True)}
+
+
+def test_components_use_every_order(spark, sf_dir):
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").orderBy("c_custkey").collect()
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").orderBy("o_orderkey").collect()
+    boxes = [(x, x + 900, y, y + 40) for x, y in ((0, 0), (500, 20), (6000, 30))]
+    want = {}
+    for nation in {c.c_nationkey for c in customers}:
+        nodes = [(c.c_custkey, c.c_acctbal, c.c_custkey % 97) for c in customers if c.c_nationkey == nation]
+        own = {n[0] for n in nodes}
+        want |= brute_components(nodes, boxes, [(o.o_custkey, o.o_custkey + 25 * (o.o_orderkey % 5 + 1)) for o in orders if o.o_custkey in own])
+    found = {int(r.id): int(r.component) for r in QUERIES["a2_components"](spark, sf_dir).collect()}
+    assert found == want
+
+
+def test_groups_equal_relabelling():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        nodes = [(str(i), float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 10, (40, 2)))]
+        boxes = [(x, x + 4, y, y + 4) for x, y in rng.uniform(0, 8, (3, 2))]
+        edges = [(str(a), str(b)) for a, b in rng.integers(0, 45, (25, 2))]
+        got = group_ids([{"id": i, "x": x, "y": y} for i, x, y in nodes], [dict(zip(("x_min", "x_max", "y_min", "y_max"), b, strict=True)) for b in boxes], [{"start_id": s, "end_id": t} for s, t in edges])
+        assert {n[0]: nodes[g][0] for n, g in zip(nodes, got, strict=True)} == brute_components(nodes, boxes, edges)
+
+
+def test_every_order_is_an_edge(spark, sf_dir):
+    assert QUERIES["j8_edges_all"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
