@@ -396,16 +396,15 @@ def x1_embed(spark, sf_dir):
 
 @query("x9_retrieve")
 def x9_retrieve(spark, sf_dir):
-    """For each question of the benchmark the three nearest documents of two sources."""
+    """For each question of the benchmark the three nearest documents of every source."""
     from chunkspark.config import EmbeddingConfig
     from chunkspark.operators.embed import embedding
-    from chunkspark.plans.retrieve import retrieve
+    from chunkspark.plans.retrieve import retrieve_within
 
     config = EmbeddingConfig(dimension=256)
-    docs = table(spark, sf_dir, "documents")
-    stores = {s: docs.filter(F.col("source") == s).select(F.col("doc_id").alias("id"), embedding(F.col("text"), config).alias("embedding"), F.col("text").alias("content")) for s in ("src0", "src1")}
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("domain"), F.col("doc_id").alias("id"), embedding(F.col("text"), config).alias("embedding"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    return retrieve(asked, stores, 3, config=config).select("qid", "domain", F.col("id").alias("doc_id"), "rk")
+    return retrieve_within(asked, docs, "domain", 3, config=config, digits=6).select("qid", "domain", F.col("id").alias("doc_id"), "rk")
 
 
 @query("x11_tool_json", f"WITH {_SCALED_SQL}, d AS (SELECT vec_id, list_distance(v, qv) AS dist FROM s, q) SELECT '{{\"id\":' || vec_id || ',\"near\":' || (1.0 - dist > -0.2) || '}}' AS result FROM (SELECT * FROM d ORDER BY dist, vec_id LIMIT 10)")

@@ -21,6 +21,12 @@ def retrieve(questions: DataFrame, stores: dict[str, DataFrame], k: int = 10, me
     return over_domains(results).select("qid", "domain", "id", "document", "score", "rk")
 
 
+def retrieve_within(questions: DataFrame, store: DataFrame, domain: str = "domain", k: int = 10, metric: str = "l2", config: EmbeddingConfig | None = None, digits: int | None = None) -> DataFrame:
+    """qid, domain, id, dist, rk: as `retrieve`, for one store whose rows name their domain, in one batch over all domains."""
+    asked = questions.select("qid", embedding(F.col("question"), config, "query").alias("qv"))
+    return batch_nearest(store, asked, k, metric, within=domain, digits=digits).withColumnRenamed(domain, "domain")
+
+
 def prompts(questions: DataFrame, stores: dict[str, DataFrame], k: int = 10, config: EmbeddingConfig | None = None) -> DataFrame:
     """Questions with retrieved_context and prompt, domain after domain."""
     found = retrieve(questions, stores, k, config=config)

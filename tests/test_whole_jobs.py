@@ -4,7 +4,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chunkspark.catalog import QUERIES
+from chunkspark.config import EmbeddingConfig
 from chunkspark.operators import search
+from chunkspark.operators.embed import embed_texts
 from chunkspark.operators.graph import group_ids
 
 
@@ -79,3 +81,24 @@ def test_groups_equal_relabelling():
 
 def test_every_order_is_an_edge(spark, sf_dir):
     assert QUERIES["j8_edges_all"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def test_retrieval_searches_every_source(spark, tmp_path):
+    """With a source without a name, a source of one document, equal and missing texts."""
+    rng = np.random.default_rng(7)
+    words = ["river", "stone", "cloud", "paper", "light", "mill", "data", "été"]
+    texts = [" ".join(rng.choice(words, 1 + i % 9)) for i in range(120)]
+    docs = [(i, "the same text" if i % 8 == 0 else None if i % 31 == 5 else texts[i], "lone" if i == 7 else [None, "src0", "src2", "hot", "hot"][i % 5]) for i in range(120)]
+    asked = [(i, " ".join(rng.choice(words, 4))) for i in range(6)] + [(6, "the same")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {(r.qid, r.domain, r.rk): r.doc_id for r in QUERIES["x9_retrieve"](spark, str(tmp_path)).collect()}
+    config = EmbeddingConfig(dimension=256)
+    v = np.array(embed_texts([t or "" for _, t, _ in docs], config))
+    want = {}
+    for q, text in asked:
+        d = np.round(np.linalg.norm(v - np.array(embed_texts(text, config, "query")), axis=1), 6)
+        for s in {x[2] for x in docs}:
+            own = sorted((d[i], i) for i, _, t in docs if t == s)[:3]
+            want |= {(q, s, n + 1): i for n, (_, i) in enumerate(own)}
+    assert found == want
