@@ -386,12 +386,21 @@ def y5_progress(spark, sf_dir):
     return chat.progress(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")))
 
 
-@query("x1_embed")
-def x1_embed(spark, sf_dir):
+def _embedded(rows: DataFrame, key: str) -> DataFrame:
     from chunkspark.config import EmbeddingConfig
     from chunkspark.operators.embed import embedding
 
-    return table(spark, sf_dir, "benchmark").select("item_id", embedding(F.col("text"), EmbeddingConfig(dimension=64)).alias("embedding"))
+    return rows.select(key, embedding(F.col("text"), EmbeddingConfig(dimension=64)).alias("embedding"))
+
+
+@query("x1_embed")
+def x1_embed(spark, sf_dir):
+    return _embedded(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("x1_embed_questions")
+def x1_embed_questions(spark, sf_dir):
+    return _embedded(table(spark, sf_dir, "benchmark"), "item_id")
 
 
 @query("x9_retrieve")

@@ -1,5 +1,9 @@
 """Queries that take all of their input, against brute force."""
 
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -102,3 +106,17 @@ def test_retrieval_searches_every_source(spark, tmp_path):
             own = sorted((d[i], i) for i, _, t in docs if t == s)[:3]
             want |= {(q, s, n + 1): i for n, (_, i) in enumerate(own)}
     assert found == want
+
+
+def test_embedding_of_every_document(spark, tmp_path):
+    """Long, missing, empty and repeated texts; each vector is counted from the whole text."""
+    texts = ["river stone", None, "", "river stone", " \n", "été Größe " * 30_000 + "last", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.embedding for r in QUERIES["x1_embed"](spark, str(tmp_path)).collect()}
+    assert sorted(found) == list(range(len(texts)))
+    for i, text in enumerate(texts):
+        want = np.zeros(64)
+        for word, n in Counter(re.findall(r"\w+", (text or "").lower())).items():
+            h = zlib.crc32(word.encode())
+            want[h % 64] += n if h >> 31 else -n
+        assert np.allclose(found[i], want / (np.linalg.norm(want) or 1), atol=1e-6)
