@@ -121,12 +121,16 @@ def over_domains(results: dict[str, DataFrame], rerank: bool = False, k: int | N
 
 
 def lsh_model(store: DataFrame, embedding: str = "embedding", bucket: float = 1.0, tables: int = 8, seed: int = 5):
-    """A random-projection index of the store and its transformed rows (columns `features`, `hashes`)."""
+    """A random-projection index of the store and its transformed rows (columns `features`, `hashes`).
+
+    `bucket` is in units of the vectors' mean length, so that recall doesn't depend on their scale.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     rows = store.withColumn("features", array_to_vector(V.doubles(F.col(embedding))))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
+    length = store.agg(F.avg(V.norm(F.col(embedding)))).first()[0] or 1.0
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket * length, numHashTables=tables, seed=seed).fit(rows)
     return model, model.transform(rows)
 
 

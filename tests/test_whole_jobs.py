@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from chunkspark.catalog import QUERIES
@@ -120,3 +121,17 @@ def test_embedding_of_every_document(spark, tmp_path):
             h = zlib.crc32(word.encode())
             want[h % 64] += n if h >> 31 else -n
         assert np.allclose(found[i], want / (np.linalg.norm(want) or 1), atol=1e-6)
+
+
+@pytest.mark.parametrize("scale", [None, 1, 100])
+def test_lsh_recall_of_the_registered_query(spark, sf_dir, scale):
+    """Recall at 10 with the default tables, over every vector whose id is divisible by 50; also for norms of 1 to 3 and of 100 to 300."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    if scale:
+        e = e.withColumn("embedding", F.transform("embedding", lambda x: x * scale * (1 + F.col("vec_id") % 3)))
+    rows = {r.vec_id: np.array(r.embedding, float) for r in e.collect()}
+    asked, hits = [i for i in rows if i % 50 == 0], 0
+    for q in asked:
+        exact = sorted(rows, key=lambda i: (round(float(np.linalg.norm(rows[i] - rows[q])), 6), i))[:10]
+        hits += len(set(exact) & {r.vec_id for r in search.approximate_nearest(e, rows[q], 10, "vec_id").collect()})
+    assert hits >= 0.9 * 10 * len(asked) > 0
