@@ -420,9 +420,15 @@ def linked_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     which links what either does. Rows without an id take part, and a component of such rows
     alone has a null id. An empty table gives no rows.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     tagged = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID) + F.monotonically_increasing_id())).select("id", "doc_id", "text")
+    out = _linked(tagged, rule)
+    return out.select("doc_id", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
+
+
+def _linked(tagged: DataFrame, rule: Rule) -> DataFrame:
+    """id, doc_id, n_shingles, component of rows id, doc_id, text, whose id is never null."""
+    spark = tagged.sparkSession
     sets = materialise(tagged.mapInArrow(_sets(rule), SETS), "sets")
     nodes = materialise(sets.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n_rows")), "nodes")
     drop_shuffles(spark)
@@ -432,7 +438,7 @@ def linked_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
         sample = materialise(sets.select(F.explode("sample").alias("part")).groupBy("part").count(), "sample")
         bar = max(20, (sample.agg(F.sum("count")).first()[0] or 0) // 2000)  # under 2000 parts have more
         hot = [r[0] for r in sample.filter(F.col("count") > bar).select("part").collect()]
-        filed = docs.select("text").mapInArrow(_filed(rule, hot), "part long, node long, mark long")
+        filed = tagged.select("text").mapInArrow(_filed(rule, hot), "part long, node long, mark long")
         filed = filed.repartition("part", F.col("mark") % (1 << SALT_BITS)).sortWithinPartitions("part", "node")
         found = filed.mapInArrow(_shared_parts, "part long, node long, mark long")
         need = F.shiftright(F.col("mark"), SALT_BITS).bitwiseAND(F.lit((1 << NEED_BITS) - 1))
@@ -455,7 +461,7 @@ def linked_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     active = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
     wanted = nodes.join(active, "node").select(F.col("id").alias("doc_id"), "node")
     ids = wanted.select("doc_id").distinct()
-    texts = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
+    texts = tagged.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select("text")
     unnamed = tagged.filter(F.col("doc_id").isNull()).select("text")
     found = texts.unionByName(unnamed).mapInArrow(_tokens(rule), "node long, tokens binary, sketch binary")
     tokens = materialise(found.dropDuplicates(["node"]), "tokens")
@@ -531,13 +537,22 @@ def linked_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     final = nodes.join(roots.withColumnRenamed("v", "id"), "id", "left").filter("root is not null or n_rows > 1").select("node", F.coalesce("root", "id").alias("component"), "n_rows")
     filled = sets.filter("n_shingles > 0").select("id", "doc_id", "n_shingles", "node")
     out = lookup_join(filled, materialise(final, "final"), ["node"], "n_rows", filled.count(), F.col("id"))
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component"))
-    out = out.unionByName(sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("id").alias("component")))
-    return out.select("doc_id", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"))
+    out = out.select("id", "doc_id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    return out.unionByName(sets.filter("n_shingles = 0").select("id", "doc_id", "n_shingles", F.col("id").alias("component")))
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rule: Rule = Rule(5, 80, 100)) -> DataFrame:
-    """The rows of `df` without those whose component has a smaller id. Rows without an id stay."""
-    with scratch(df.sparkSession) as keep:
-        losers = keep(linked_components(df, text, doc_id, rule).filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct(), "losers")
-    return df.join(losers.hint("shuffle_hash"), doc_id, "left_anti").select(*df.columns)
+    """The rows of `df` without those whose component has a smaller id.
+
+    Rows without an id get one above all others, so of a component of such rows alone one stays.
+    """
+    spark, own = df.sparkSession, "_id"
+    numbered = df.filter(F.col(doc_id).isNull()).withColumn(own, F.lit(NO_ID) + F.monotonically_increasing_id())
+    unnamed = materialise(numbered, "unnamed")  # the numbers must stay
+    named = df.filter(F.col(doc_id).isNotNull())
+    tagged = [rows.select(F.col(i).cast("long").alias("id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")) for rows, i in ((named, doc_id), (unnamed, own))]
+    with scratch(spark) as keep:
+        losers = keep(_linked(tagged[0].unionByName(tagged[1]), rule).filter("component < id").select(F.col("id").alias(own)).distinct(), "losers")
+    gone = losers.hint("shuffle_hash")
+    kept = named.join(gone.withColumnRenamed(own, doc_id), doc_id, "left_anti").select(*df.columns)
+    return kept.unionByName(unnamed.join(gone, own, "left_anti").select(*df.columns))
