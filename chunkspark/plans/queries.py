@@ -166,6 +166,12 @@ def p3_size(spark, sf_dir):
     return docs.filter(small_enough(F.lit("text"), F.col("n_chars"), [LanguageConfig("text", (), max_file_size=limit)])).select("doc_id")
 
 
+@query("p3_size_default", "SELECT doc_id FROM documents WHERE n_chars <= 1000000")
+def p3_size_default(spark, sf_dir):
+    """The default limit, where p3_size takes one of the table's own sizes."""
+    return table(spark, sf_dir, "documents").filter(small_enough(F.lit("python"), F.col("n_chars"))).select("doc_id")
+
+
 @query("p8_id_list", "SELECT vec_id, label FROM embeddings WHERE vec_id IN (1, 2, 3, 400, 1000000)")
 def p8_id_list(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").filter(F.col("vec_id").isin(1, 2, 3, 400, 1_000_000)).select("vec_id", "label")
@@ -200,11 +206,21 @@ def f1_location(spark, sf_dir):
 _SUMMED_SQL = "t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN text || chr(10) || 'SUMMARY:' || chr(10) || lang || source ELSE lang || chr(10) || 'SUMMARY:' || chr(10) || text || chr(10) || 'SUMMARY:' || chr(10) END AS t FROM documents)"
 
 
-@query("f2_truncate", f"WITH {_SUMMED_SQL}, p AS (SELECT doc_id, t, string_split(t, chr(10) || 'SUMMARY:' || chr(10)) AS p FROM t), c AS (SELECT *, floor(100 * length(p[1]) / (length(p[1]) + length(p[2])))::INT AS k FROM p) SELECT doc_id, CASE WHEN length(t) <= 100 THEN t WHEN len(p) = 2 THEN substr(p[1], 1, k) || chr(10) || 'SUMMARY:' || chr(10) || substr(p[2], 1, 100 - k) ELSE substr(t, 1, 100) END AS text FROM c")
-def f2_truncate(spark, sf_dir):
+def _truncated(spark: SparkSession, sf_dir: str, *most: int) -> DataFrame:
     mark = F.lit(X.SUMMARY)
     text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat("text", mark, "lang", "source")).otherwise(F.concat(F.col("lang"), mark, F.col("text"), mark))
-    return table(spark, sf_dir, "documents").select("doc_id", X.truncate_chunk(text, 100).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.truncate_chunk(text, *most).alias("text"))
+
+
+@query("f2_truncate", f"WITH {_SUMMED_SQL}, p AS (SELECT doc_id, t, string_split(t, chr(10) || 'SUMMARY:' || chr(10)) AS p FROM t), c AS (SELECT *, floor(100 * length(p[1]) / (length(p[1]) + length(p[2])))::INT AS k FROM p) SELECT doc_id, CASE WHEN length(t) <= 100 THEN t WHEN len(p) = 2 THEN substr(p[1], 1, k) || chr(10) || 'SUMMARY:' || chr(10) || substr(p[2], 1, 100 - k) ELSE substr(t, 1, 100) END AS text FROM c")
+def f2_truncate(spark, sf_dir):
+    """Cut at 100 characters; f2_truncate_default cuts at the operator's own limit."""
+    return _truncated(spark, sf_dir, 100)
+
+
+@query("f2_truncate_default", f"WITH {_SUMMED_SQL}, p AS (SELECT doc_id, t, string_split(t, chr(10) || 'SUMMARY:' || chr(10)) AS p FROM t), c AS (SELECT *, floor({X.MAX_CHARS} * length(p[1]) / (length(p[1]) + length(p[2])))::INT AS k FROM p) SELECT doc_id, CASE WHEN length(t) <= {X.MAX_CHARS} THEN t WHEN len(p) = 2 THEN substr(p[1], 1, k) || chr(10) || 'SUMMARY:' || chr(10) || substr(p[2], 1, {X.MAX_CHARS} - k) ELSE substr(t, 1, {X.MAX_CHARS}) END AS text FROM c")
+def f2_truncate_default(spark, sf_dir):
+    return _truncated(spark, sf_dir)
 
 
 @query("f3_format", "SELECT doc_id, 'CODE:' || chr(10) || text || chr(10) || chr(10) || 'SUMMARY:' || chr(10) || lang AS text FROM documents")

@@ -135,3 +135,22 @@ def test_lsh_recall_of_the_registered_query(spark, sf_dir, scale):
         exact = sorted(rows, key=lambda i: (round(float(np.linalg.norm(rows[i] - rows[q])), 6), i))[:10]
         hits += len(set(exact) & {r.vec_id for r in search.approximate_nearest(e, rows[q], 10, "vec_id").collect()})
     assert hits >= 0.9 * 10 * len(asked) > 0
+
+
+def test_default_limits(spark, tmp_path):
+    """Texts of 9,999 to 10,001 characters and sizes of 999,999 to 1,000,001, in all three shapes of f2_truncate."""
+    mark, sizes = "\nSUMMARY:\n", [9_968, 9_999, 10_000, 10_001, 20_003]
+    rows = [(i, "abcdé" * (n // 5) + "z" * (n % 5), "en", "src0", size) for i, (n, size) in enumerate(((n, s) for n in sizes for s in (999_999, 1_000_000, 1_000_001)), 100)]
+    rows += [(r[0] + shift, *r[1:]) for r in rows for shift in (100, 200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.text for r in QUERIES["f2_truncate_default"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, text, lang, source, _ in rows:
+        t = (text, text + mark + lang + source, lang + mark + text + mark)[i % 3]
+        parts = t.split(mark)
+        if len(t) > 10_000 and len(parts) == 2:
+            k = 10_000 * len(parts[0]) // (len(parts[0]) + len(parts[1]))
+            t = parts[0][:k] + mark + parts[1][: 10_000 - k]
+        want[i] = t if len(t) <= 10_000 or len(parts) == 2 else t[:10_000]
+    assert found == want
+    assert {r.doc_id for r in QUERIES["p3_size_default"](spark, str(tmp_path)).collect()} == {r[0] for r in rows if r[4] <= 1_000_000}
