@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkspark.llm.license_text import PHRASES, TEMPLATES
-from chunkspark.llm.text import LETTERS, LOWER, blocks, hash_text, span_hashes, word_bounds
+from chunkspark.llm.text import LETTERS, LOWER, blocks, equal_spans, hash_text, span_hashes, word_bounds
 
 #: Words of a match that may take part in a chain, and words that a chain may skip.
 MIN_MATCH = 4
@@ -123,6 +123,9 @@ class LicenseScanner:
         hashes = hash_text(vocabulary)
         order = np.argsort(hashes)
         self.hashes, self.numbers = hashes[order], order.astype(np.int32)
+        self.spelling = np.frombuffer(b"".join(vocabulary), np.uint8)
+        self.length = np.array([len(w) for w in vocabulary])
+        self.start = np.cumsum(self.length) - self.length
         # a sieve on low bits lets most words pass without a search
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
@@ -140,7 +143,11 @@ class LicenseScanner:
         maybe = np.flatnonzero(self.sieve[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
         hit = self.hashes[at] == hashes[maybe]
-        out[maybe[hit]] = self.numbers[at[hit]]
+        found, name = maybe[hit], self.numbers[at[hit]]
+        alike = self.length[name] == (ends - starts)[found]
+        found, name = found[alike], name[alike]
+        same = equal_spans(raw, starts[found], self.length[name], self.spelling, self.start[name])
+        out[found[same]] = name[same]
         return out
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkspark.llm.shared import fresh
-from chunkspark.llm.text import NOT_SPACE, U64, blocks, mix, row_of, span_hashes, table, word_bounds
+from chunkspark.llm.text import NOT_SPACE, U64, blocks, equal_spans, mix, row_of, span_hashes, table, word_bounds
 
 #: Buckets of each of the three feature families.
 BITS = 16
@@ -40,17 +40,6 @@ def per_row(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return upto[bounds[1:]] - upto[bounds[:-1]]
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """Which entries have an equal one elsewhere."""
-    order = np.argsort(keys)
-    near = keys[order]
-    same = near[1:] == near[:-1]
-    out = np.zeros(len(keys), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
-
-
 def dup_lines(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Lines with a word that equal an earlier line of their row."""
     breaks = np.flatnonzero(raw == 0x0A)
@@ -63,10 +52,49 @@ def dup_lines(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     full = (ends > starts) & (words[np.maximum(ends, starts)] > words[starts])
     starts, ends, row = starts[full], ends[full], row[full]
     keys = mix(span_hashes(raw, starts, ends) + row.astype(U64) * _K)
-    _, first = np.unique(keys, return_index=True)
+    _, first, name = np.unique(keys, return_index=True, return_inverse=True)
     again = np.ones(len(keys), bool)
     again[first] = False
-    return np.bincount(row[again], minlength=len(offsets) - 1)
+    n = np.bincount(row[again], minlength=len(offsets) - 1)
+    line, like = np.flatnonzero(again), first[name[again]]
+    lengths = ends - starts
+    same = (row[line] == row[like]) & (lengths[line] == lengths[like])
+    same[same] = equal_spans(raw, starts[line[same]], lengths[line[same]], raw, starts[like[same]])
+    for r in np.unique(np.concatenate([row[line[~same]], row[like[~same]]])).tolist():  # hashes clash
+        own = [raw[a:b].tobytes() for a, b in zip(starts[row == r].tolist(), ends[row == r].tolist(), strict=True)]
+        n[r] = len(own) - len(set(own))
+    return n
+
+
+def repeated_windows(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Words in 3-word windows that their row has more than once."""
+    covered = np.zeros(len(words), bool)
+    if len(words) < 3:
+        return covered
+    at = np.flatnonzero(row[2:] == row[:-2])
+
+    def hits(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Repeated windows, and the first window of each one's key."""
+        keys = mix(words[at] + mix(words[at + 1]) * U64(3) + mix(words[at + 2] * U64(5)) + row[at].astype(U64) * _K)
+        _, first, name, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        several = n[name] > 1
+        return at[several], at[first[name[several]]]
+
+    hit, like = hits(words)
+    lengths = ends - starts
+    same = row[hit] == row[like]
+    for k in range(3):
+        x, y = hit + k, like + k
+        alike = lengths[x] == lengths[y]
+        same &= alike & equal_spans(raw, starts[x], np.where(alike, lengths[x], 0), raw, starts[y])
+    if not same.all():  # hashes clash: name windows by their words
+        names: dict[tuple, int] = {}
+        texts = [raw[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        key = np.array([names.setdefault((int(row[i]), *texts[i : i + 3]), len(names)) for i in at.tolist()])
+        hit = at[np.bincount(key)[key] > 1]
+    for k in range(3):
+        covered[hit + k] = True
+    return covered
 
 
 def scan(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray | None):
@@ -74,14 +102,7 @@ def scan(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray | None):
     starts, ends, first = word_bounds(raw, offsets, NOT_SPACE)
     words = span_hashes(raw, starts, ends)
     row = row_of(first)
-    covered = np.zeros(len(words), bool)
-    if len(words) > 2:
-        inside = row[2:] == row[:-2]
-        at = np.flatnonzero(inside)
-        windows = mix(words[at] + mix(words[at + 1]) * U64(3) + mix(words[at + 2] * U64(5)) + row[at].astype(U64) * _K)
-        hit = at[repeated(windows)]
-        for k in range(3):
-            covered[hit + k] = True
+    covered = repeated_windows(raw, starts, ends, words, row)
     counts = (np.diff(first), per_row(INSIDE_CHARS[raw], offsets), per_row(SYMBOLS[raw], offsets), dup_lines(raw, offsets), per_row(covered, first))
     if weights is None:
         return counts, None

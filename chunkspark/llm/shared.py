@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _LOCAL: dict[str, str] = {}
+#: Spark's setting that removes the shuffle files of a query as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of the innermost `scratch` of this thread.
 _SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
@@ -45,10 +47,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write `df` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files of the write go as it ends: nothing else reads them.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,12 +91,6 @@ def scratch(spark: SparkSession):
         for path in own:
             delete_folder(spark, path)
             _WRITTEN.remove((spark, path))
-        drop_shuffles(spark)
-
-
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that are done."""
-    spark._jvm.System.gc()
 
 
 @atexit.register
@@ -113,7 +117,8 @@ def fresh(df: DataFrame, name: str) -> str:
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, spread: Column, ways: int = 512) -> DataFrame:
     """Left join to a table that is unique in `keys`, whatever the skew of the left side.
 
-    `rows` of `right` counts the left rows of its key and `total` all of them. Keys with over
+    `rows` of `right` counts the left rows of its key and `total` all of them; `right` must have
+    every key of many left rows, be it without values. Keys with over
     `total / ways` rows are fewer than `ways`, so they are broadcast; their left rows leave the
     key's partition by `spread`, and the others meet by an ordinary shuffle.
     """

@@ -8,11 +8,11 @@ memory of a task follows the block and not the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK = 1 << 20
 U64 = np.uint64
@@ -71,29 +71,6 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-@lru_cache(maxsize=1)
-def _values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        base = 0xD6E8FEB86659FD93
-        size = max(n, BLOCK + 1)
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, U64)
-            steps[0] = 1
-            out.append(np.cumprod(steps, dtype=U64))
-        if size > 4 * BLOCK:
-            return tuple(out)
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> U64(30))
@@ -103,14 +80,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Spans of more bytes are hashed and compared one by one.
+LONG = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+_SEED = U64(0x9E3779B97F4A7C15)
+
+
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, with zeros after the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    up, down = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_values()[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand.
+
+    Each 8 bytes go through a nonlinear bijection with the hash of those before, so no family of
+    texts collides by construction.
+    """
+    lengths = ends - starts
+    out = mix(lengths.astype(U64) + _SEED)
+    eights = _eights(raw)
+    todo, at = np.flatnonzero((lengths > 0) & (lengths <= LONG)), 0
+    while len(todo):
+        left = lengths[todo] - at
+        out[todo] = mix((out[todo] ^ (eights[starts[todo] + at] & _MASK[np.minimum(left, 8)])) + _SEED)
+        todo, at = todo[left > 8], at + 8
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), 7)
+    return out
+
+
+def equal_spans(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, other: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether the `lengths` bytes of `raw` at each of `starts` are those of `other` at `others`."""
+    x, y = _eights(raw), _eights(other)
+    same = np.ones(len(starts), bool)
+    todo, at = np.flatnonzero((lengths > 0) & (lengths <= LONG)), 0
+    while len(todo):
+        left = lengths[todo] - at
+        same[todo] &= ((x[starts[todo] + at] ^ y[others[todo] + at]) & _MASK[np.minimum(left, 8)]) == 0
+        todo, at = todo[left > 8], at + 8
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        a, b, n = int(starts[i]), int(others[i]), int(lengths[i])
+        same[i] = raw[a : a + n].tobytes() == other[b : b + n].tobytes()
+    return same
 
 
 def row_of(first: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ import os
 
 import numpy as np
 
-from chunkspark.llm.text import LOWER, span_hashes
+from chunkspark.llm.text import LOWER, equal_spans, span_hashes
 
 #: Classes of bytes: white space, letters, apostrophes and all beyond ASCII, digits, the rest.
 SPACE, LETTER, STICKY, DIGIT, SIGN = range(5)
@@ -106,6 +106,11 @@ class WordEncoder:
         self.begin = np.zeros(1 << 12, np.int32)
         self.count = np.zeros(1 << 12, np.int32)
         self.used = 0
+        # the pieces' bytes tell pieces of one hash apart
+        self.bytes = np.zeros(1 << 16, np.uint8)
+        self.start = np.zeros(1 << 12, np.int64)
+        self.size = np.zeros(1 << 12, np.int64)
+        self.stored = 0
 
     def _ids(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word. Words are sent some hundred at a time, with a mark between them."""
@@ -126,20 +131,32 @@ class WordEncoder:
             out.append(one)
         return out
 
-    def _learn(self, words: list[bytes], hashes: np.ndarray) -> None:
+    def _learn(self, words: list[bytes], hashes: np.ndarray | None) -> None:
+        """Keep the ids of `words`, found by hash unless there is none."""
         found = self._ids(words)
         counts = np.fromiter(map(len, found), np.int32, len(found))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         ids = np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))
         n = self.table.n
         while len(self.begin) < n + len(words):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+            self.begin, self.count, self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.start, self.size))
         while len(self.pool) < self.used + len(ids):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while len(self.bytes) < self.stored + sizes.sum():
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        new = slice(n, n + len(words))
         self.pool[self.used : self.used + len(ids)] = ids
-        self.begin[n : n + len(words)] = self.used + np.cumsum(counts) - counts
-        self.count[n : n + len(words)] = counts
+        self.begin[new] = self.used + np.cumsum(counts) - counts
+        self.count[new] = counts
+        self.bytes[self.stored : self.stored + int(sizes.sum())] = np.frombuffer(b"".join(words), np.uint8)
+        self.start[new] = self.stored + np.cumsum(sizes) - sizes
+        self.size[new] = sizes
         self.used += len(ids)
-        self.table.add(hashes)
+        self.stored += int(sizes.sum())
+        if hashes is None:
+            self.table.n += len(words)
+        else:
+            self.table.add(hashes)
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): row i has ids[bounds[i]:bounds[i + 1]]."""
@@ -160,6 +177,13 @@ class WordEncoder:
             data = raw.tobytes()
             self._learn([data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], keys)
             places[new] = self.table.find(hashes[new])
+        lengths = ends - starts
+        wrong = self.size[places] != lengths
+        wrong |= ~equal_spans(raw, starts, np.where(wrong, 0, lengths), self.bytes[: self.stored], self.start[places])
+        if len(clash := np.flatnonzero(wrong)):
+            data, n = raw.tobytes(), self.table.n
+            self._learn([data[a:b] for a, b in zip(starts[clash].tolist(), ends[clash].tolist(), strict=True)], None)
+            places[clash] = np.arange(n, n + len(clash))
         counts = self.count[places]
         upto = np.zeros(len(counts) + 1, np.int32)
         np.cumsum(counts, out=upto[1:])
