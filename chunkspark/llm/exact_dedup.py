@@ -18,14 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkspark.llm.shared import fresh, lookup_join, materialise, scratch
+from chunkspark.llm.shared import fresh, hashed_side, lookup_join, materialise, scratch
 
 #: Runs that merge in one round: 2 ** BITS.
 BITS = 4
 #: Leading digest bits that choose a tree.
 SLOT_BITS = 16
-#: Stands for a null id: no id, with or without its sign changed, is smaller.
-NO_ID = -(2**63)
 RUN = "slot int, node int, digest binary, n_bytes long, id long, tag long, n long"
 
 
@@ -85,13 +83,12 @@ def merge_runs(signatures: DataFrame, bits: int = BITS, keep: str = "largest") -
 
     `signatures` has id, tag, digest, n_bytes; it must be materialised, since tags number the runs.
     """
-    sign = F.lit(1 if keep == "largest" else -1)
     runs = signatures.select(
         F.conv(F.substring(F.hex("digest"), 1, SLOT_BITS // 4), 16, 10).cast("int").alias("slot"),
-        F.shiftright("tag", 33).cast("int").alias("node"), "digest", "n_bytes",
-        F.coalesce(F.col("id") * sign, F.lit(NO_ID)).alias("id"), (F.col("tag") * sign).alias("tag"), F.lit(1).cast("long").alias("n"),
+        F.shiftright("tag", 33).cast("int").alias("node"), "digest", "n_bytes", "id", "tag", F.lit(1).cast("long").alias("n"),
     )
-    order = ["slot", "node", "digest", "n_bytes", "id", "tag"]
+    best_last = F.col("id").asc_nulls_first() if keep == "largest" else F.col("id").desc_nulls_first()
+    order = ["slot", "node", "digest", "n_bytes", best_last, "tag"]
     out = runs.sortWithinPartitions(*order).mapInArrow(_merge, RUN)
     left = signatures.agg(F.max(F.shiftright("tag", 33))).first()[0] or 0
     while True:
@@ -100,7 +97,7 @@ def merge_runs(signatures: DataFrame, bits: int = BITS, keep: str = "largest") -
         left >>= bits
         if left == 0:
             break
-    return out.select("digest", "n_bytes", F.when(F.col("id") != NO_ID, F.col("id") * sign).alias("keep_id"), (F.col("tag") * sign).alias("keep_tag"), F.col("n").alias("group_size"))
+    return out.select("digest", "n_bytes", F.col("id").alias("keep_id"), F.col("tag").alias("keep_tag"), F.col("n").alias("group_size"))
 
 
 def duplicate_groups(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lower: bool = True, keep: str = "largest") -> DataFrame:
@@ -132,7 +129,8 @@ def groups_of(signatures: DataFrame, keep: str = "largest") -> DataFrame:
 def drop_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lower: bool = True, keep: str = "largest") -> DataFrame:
     """The rows of `df` that `duplicate_groups` keeps, with all their columns.
 
-    Rows to drop are found by id and digest; texts are read a second time and not stored.
+    Rows to drop are found by id and digest; texts are read a second time and not stored. Of equal
+    texts under one id any one row stays.
     """
     key, tag, digest, n_bytes = (fresh(df, c) for c in ("row_key", "row_tag", "row_digest", "row_bytes"))
     name = F.coalesce(F.col(doc_id).cast("string"), F.lit("none"))
@@ -145,7 +143,8 @@ def drop_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", l
     gone = changed.filter("n_kept = 0").select(key, digest)
     some = changed.filter("n_kept > 0").select(key, digest)  # rows repeated under one id, of which one stays
     rows = with_digests(df, text, tag, digest, n_bytes, lower).withColumn(key, name)
-    out = rows.join(gone.hint("shuffle_hash"), [key, digest], "left_anti")
+    n = changed.count()
+    out = rows.join(hashed_side(gone, n), [key, digest], "left_anti")
     if some.take(1):
-        out = out.join(some.hint("shuffle_hash"), [key, digest], "left_anti").unionByName(rows.join(some.hint("shuffle_hash"), [key, digest], "left_semi").dropDuplicates([key, digest]))
+        out = out.join(hashed_side(some, n), [key, digest], "left_anti").unionByName(rows.join(hashed_side(some, n), [key, digest], "left_semi").dropDuplicates([key, digest]))
     return out.select(*df.columns)

@@ -122,14 +122,21 @@ def mix_counts(df: DataFrame, text: str = "text", source: str = "source", doc_id
 def mix(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = 17) -> DataFrame:
     """The rows of `df`, each as often as `mix_counts` takes it (0 to 3 times); columns stay.
 
-    Rows that share an id and a size are one draw. A document without words is taken as often as
-    its source's whole copies say.
+    Rows that share an id, a source and a size are one draw; null ids and null sources are values
+    like others. A document without words is taken as often as its source's whole copies say.
     """
-    id_col, size_col, copies = (fresh(df, c) for c in ("mix_id", "mix_size", "mix_copies"))
+    names = ["mix_id", "mix_no_id", "mix_source", "mix_no_source", "mix_size"]
+    key, copies, rows, copy = [fresh(df, c) for c in names], fresh(df, "mix_copies"), fresh(df, "mix_rows"), fresh(df, "mix_copy")
+
+    def keyed(frame: DataFrame, i: Column, s: Column, n: Column) -> DataFrame:
+        i = i.cast("string")
+        values = (F.coalesce(i, F.lit("")), i.isNull(), F.coalesce(s.cast("string"), F.lit("")), s.isNull(), n)
+        return frame.withColumns(dict(zip(key, values, strict=True)))
+
     with scratch(df.sparkSession) as keep:
-        counts = mix_counts(df, text, source, doc_id, seed).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(id_col), F.col("source").alias("_mix_source"), F.col("size").alias(size_col), F.col("copies").alias(copies))
-        counts = keep(counts.groupBy(id_col, "_mix_source", size_col).agg(F.max(copies).alias(copies)).filter(F.col(copies) > 0), "copies")
-    marked = df.withColumn(id_col, F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).withColumn(size_col, word_count(F.col(text)))
-    same = (marked[id_col] == counts[id_col]) & (marked[size_col] == counts[size_col]) & marked[source].eqNullSafe(counts["_mix_source"])
-    joined = marked.join(counts.hint("shuffle_hash"), same)
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[marked[c] for c in df.columns])
+        counts = keyed(mix_counts(df, text, source, doc_id, seed), F.col("doc_id"), F.col("source"), F.col("size"))
+        counts = keep(counts.groupBy(*key).agg(F.max("copies").alias(copies), F.count("*").alias(rows)), "copies")
+    marked = keyed(df, F.col(doc_id), F.col(source), word_count(F.col(text)))
+    total = counts.agg(F.sum(rows)).first()[0] or 0
+    joined = lookup_join(marked, counts, key, rows, total, F.xxhash64(text)).filter(F.col(copies) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*df.columns)

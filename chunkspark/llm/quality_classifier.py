@@ -170,11 +170,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(df: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str) -> RuleEnsemble:
-    """Rules from a bounded sample of labelled rows that aren't held out."""
-    texts, y = labelled_sample(df, labels, text, doc_id, label, TRAIN_ROWS, lambda c: ~held_out(c))
+    """Rules from a bounded sample of labelled rows that aren't held out. The driver sees the sample's statistics only."""
+    sample = labelled_sample(df, labels, text, doc_id, label, TRAIN_ROWS, lambda c: ~held_out(c)).select("_id", F.col("_label").cast("int"), "_text")
+    schema = T.StructType([*sample.schema.fields[:2], *(T.StructField(s, T.DoubleType()) for s in STATS)])
+    rows = sample.mapInArrow(_statistics(2, list(STATS)), schema).orderBy(F.xxhash64("_id"), "_id").collect()
+    y = np.array([r["_label"] for r in rows], dtype=np.int64)
     if not 0 < y.sum() < len(y):
         return RuleEnsemble([], np.zeros(0), 0.0)
-    x = np.concatenate([statistics(raw, offsets) for _, _, raw, offsets in blocks(pa.array(texts, pa.large_string()))])
+    x = np.array([r[2:] for r in rows], dtype=np.float64)
     usable = labels.filter(F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     n = dict(usable.filter(F.col(label).isin(0, 1)).groupBy(label).count().collect())  # two rows
     weight = np.where(y == 1, n.get(1, 1) / max(y.sum(), 1), n.get(0, 1) / max((1 - y).sum(), 1)).astype(np.float64)

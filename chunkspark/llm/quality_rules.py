@@ -1,8 +1,9 @@
 """Quality rules: counts over whole texts and a hashed n-gram model with fixed thresholds.
 
-The model is a logistic regression over the frequencies of hashed words, word pairs and byte
+The model is a logistic regression over the frequencies of hashed words, word pairs and character
 4-grams of a text, trained on a bounded sample of labelled rows and calibrated on rows that it
-was not trained on. It is scored in Arrow batches.
+was not trained on. Executors hash the sample's texts; the driver sees hashed frequencies only.
+It is scored in Arrow batches.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from chunkspark.llm.text import NOT_SPACE, U64, blocks, equal_spans, mix, row_of
 
 #: Buckets of each of the three feature families.
 BITS = 16
-#: Labelled rows of each label that the model is trained on, at most.
-TRAIN_ROWS = 1500
+#: Labelled rows of each label that the model is trained on, at most and at least.
+TRAIN_ROWS, FEWEST_ROWS = 1500, 8
 #: A document stays if its calibrated probability of good quality is at least this.
 KEEP_FROM = 0.5
 MIN_WORDS = 50
@@ -114,7 +115,7 @@ def scan(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray | None):
 
 
 def features(raw, offsets, words, first, row):
-    """(buckets, bounds by row) of words, word pairs and byte 4-grams."""
+    """(buckets, bounds by row) of words, word pairs and character 4-grams."""
     drop = U64(64 - BITS)
     yield (words >> drop).astype(np.int32), first
     if len(words) > 1:
@@ -123,20 +124,36 @@ def features(raw, offsets, words, first, row):
         yield pairs, np.searchsorted(at, first)
     else:
         yield np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-    if len(raw) > 3:
-        b = raw.astype(np.uint32)
-        grams = b[:-3] | (b[1:-2] << np.uint32(8)) | (b[2:-1] << np.uint32(16)) | (b[3:] << np.uint32(24))
-        grams = ((grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32)
-        inside = np.ones(len(grams), bool)
-        for k in range(1, 4):  # grams that reach into the next row
-            edge = offsets[1:-1] - k
-            inside[edge[(edge >= 0) & (edge < len(grams))]] = False
+    chars, of_row = characters(raw, offsets)
+    if len(chars) > 3:
+        grams = chars[:-3].copy()
+        for k in range(1, 4):
+            grams = grams * _K + chars[k : len(chars) - 3 + k]
+        grams = ((grams * _K) >> drop).astype(np.int32)
+        starts = np.arange(len(grams))
+        # grams that reach into the next row
+        inside = starts + 3 < of_row[np.searchsorted(of_row, starts, "right")]
         at = np.flatnonzero(inside)
-        yield grams[at], np.searchsorted(at, offsets)
+        yield grams[at], np.searchsorted(at, of_row)
     else:
         yield np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
 
 
+def characters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the UTF-8 bytes of each character as one number, first character of each row)."""
+    wide = raw >= 0x80
+    if not wide.any():
+        return raw.astype(U64), offsets
+    begins = ~(wide & (raw < 0xC0))
+    at = np.flatnonzero(begins)
+    chars = raw[at].astype(U64)
+    ends = np.append(at[1:], len(raw))
+    for k in range(1, 4):
+        more = np.flatnonzero(ends - at > k)
+        chars[more] |= raw[at[more] + k].astype(U64) << U64(8 * k)
+    return chars, np.searchsorted(at, offsets)
+
+
 @dataclass
 class NgramModel:
     weights: np.ndarray  # (3, 2 ** BITS)
@@ -164,59 +181,86 @@ def _platt(score: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def train(texts: list[str], good: np.ndarray, steps: int = 150) -> NgramModel | None:
-    """The model of labelled texts; None where a label has fewer than 8 rows."""
+def frequencies(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(buckets of all families, their frequencies) of each row."""
+    starts, ends, first = word_bounds(raw, offsets, NOT_SPACE)
+    words = span_hashes(raw, starts, ends)
+    idx, val, of = [], [], []
+    for family, (values, bounds) in enumerate(features(raw, offsets, words, first, row_of(first))):
+        row = row_of(bounds)
+        keys, n = np.unique(row.astype(np.int64) << 32 | (values.astype(np.int64) + family * (1 << BITS)), return_counts=True)
+        r = keys >> 32
+        idx.append((keys & 0xFFFFFFFF).astype(np.uint32))
+        val.append((n / np.maximum(np.diff(bounds), 1)[r]).astype(np.float32))
+        of.append(r)
+    order = np.argsort(np.concatenate(of), kind="stable")
+    idx, val, of = (np.concatenate(x)[order] for x in (idx, val, of))
+    cuts = np.searchsorted(of, np.arange(len(offsets)))
+    return [(idx[a:b], val[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def train(sample: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps: int = 150) -> NgramModel | None:
+    """The model of labelled texts, given their `frequencies`; None where a label has fewer than FEWEST_ROWS rows."""
     good = np.asarray(good, bool)
-    if min(good.sum(), (~good).sum()) < 8:
+    if min(good.sum(), (~good).sum()) < FEWEST_ROWS:
         return None
-    idx, val, rows = [], [], []
-    at = 0
-    for a, b, raw, offsets in blocks(pa.array(texts, pa.large_string())):
-        starts, ends, first = word_bounds(raw, offsets, NOT_SPACE)
-        words = span_hashes(raw, starts, ends)
-        for family, (values, bounds) in enumerate(features(raw, offsets, words, first, row_of(first))):
-            row = row_of(bounds)
-            keys, n = np.unique(row.astype(np.int64) << 32 | (values.astype(np.int64) + family * (1 << BITS)), return_counts=True)
-            r = (keys >> 32).astype(np.int64)
-            rows.append(r + at)
-            idx.append((keys & 0xFFFFFFFF).astype(np.int64))
-            val.append(n / np.maximum(np.diff(bounds), 1)[r])
-        at += b - a
-    idx, val, rows = map(np.concatenate, (idx, val, rows))
+    n_texts = len(sample)
+    idx = np.concatenate([x for x, _ in sample]).astype(np.int64)
+    val = np.concatenate([x for _, x in sample]).astype(np.float64)
+    rows = np.repeat(np.arange(n_texts), [len(x) for x, _ in sample])
     # rare and common buckets alike: each is scaled by its root mean square
-    rms = np.sqrt(np.bincount(idx, val**2, 3 << BITS) / len(texts)) + 1e-4
+    rms = np.sqrt(np.bincount(idx, val**2, 3 << BITS) / n_texts) + 1e-4
     val = (val / rms[idx]).astype(np.float32)
-    fit = np.arange(len(texts)) % 4 != 3
+    fit = np.arange(n_texts) % 4 != 3
     share = np.where(good, 0.5 / good[fit].sum(), 0.5 / (~good)[fit].sum()) * fit
     w, b, mean, var = np.zeros(3 << BITS), 0.0, np.zeros(3 << BITS), np.zeros(3 << BITS)
     for t in range(1, steps + 1):  # Adam on the balanced logistic loss with a ridge term
-        z = np.bincount(rows, val * w[idx], len(texts)) + b
+        z = np.bincount(rows, val * w[idx], n_texts) + b
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good) * share
         g = np.bincount(idx, val * err[rows], 3 << BITS) + 2e-6 * w
         b -= 0.5 * err.sum()
         mean, var = 0.9 * mean + 0.1 * g, 0.99 * var + 0.01 * g * g
         w -= 0.003 * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.99**t)) + 1e-5)
     w = w / rms
-    score = np.bincount(rows, val * (w * rms)[idx], len(texts))
+    score = np.bincount(rows, val * (w * rms)[idx], n_texts)
     slope, shift = _platt(score[~fit], good[~fit])
     return NgramModel(w.reshape(3, -1).astype(np.float32), slope, shift)
 
 
-def labelled_sample(df: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, most: int = TRAIN_ROWS, where=None) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of up to `most` rows of each label, chosen by a hash of the id.
+def labelled_sample(df: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, most: int = TRAIN_ROWS, where=None) -> DataFrame:
+    """_id, _label, _text of up to `most` ids of each label, chosen by a hash of the id; one row for each id.
 
     Only the chosen ids (2 * `most` rows at most) are broadcast, so the documents are not shuffled.
+    An id with both labels, or several texts, counts once, by the smallest.
     """
     ids = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label")).filter("_id is not null and _label in (0, 1)")
     if where is not None:
         ids = ids.filter(where(F.col("_id")))
+    ids = ids.groupBy("_id").agg(F.min("_label").alias("_label"))
     chosen = None
     for value in (0, 1):
         some = ids.filter(F.col("_label") == value).orderBy(F.xxhash64("_id"), "_id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = df.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    found = texts.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "_text", "_label").limit(4 * most).collect()
-    return [r["_text"] for r in found], np.array([r["_label"] for r in found], dtype=np.int64)
+    return texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+
+
+def _hashed(batches):
+    for batch in batches:
+        keys, label = batch.column(0), batch.column(1)
+        for a, b, raw, offsets in blocks(batch.column(2)):
+            found = frequencies(raw, offsets)
+            binary = [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), label.slice(a, b - a), *binary], names=["_id", "_label", "idx", "val"])
+
+
+def fit(df: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str) -> NgramModel | None:
+    """The model of a bounded sample of labelled rows. A row's frequencies are at most 3 * 2 ** BITS, whatever its text's length."""
+    sample = labelled_sample(df, labels, text, doc_id, label).select("_id", F.col("_label").cast("int").alias("_label"), "_text")
+    kind = sample.schema["_id"].dataType.simpleString()
+    rows = sample.mapInArrow(_hashed, f"_id {kind}, _label int, idx binary, val binary").orderBy(F.xxhash64("_id"), "_id").collect()
+    found = [(np.frombuffer(r["idx"], np.uint32), np.frombuffer(r["val"], np.float32)) for r in rows]
+    return train(found, np.array([r["_label"] for r in rows]) == 1)
 
 
 def _scored(at: int, model, names: list[str]):
@@ -227,25 +271,27 @@ def _scored(at: int, model, names: list[str]):
             parts: list[list[np.ndarray]] = [[] for _ in range(6)]
             for a, b, raw, offsets in blocks(batch.column(at)):
                 counts, score = scan(raw, offsets, weights)
-                p = np.ones(b - a) if m is None else m.probability(score)
+                p = np.full(b - a, np.nan) if m is None else m.probability(score)
                 for out, x in zip(parts, (*counts, p), strict=True):
                     out.append(x)
             full = [np.concatenate(x) if x else np.zeros(0) for x in parts]
-            columns = [pa.array(x.astype(np.int64)) for x in full[:5]] + [pa.array(full[5].astype(np.float64))]
+            columns = [pa.array(x.astype(np.int64)) for x in full[:5]] + [pa.array(full[5].astype(np.float64), from_pandas=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
 
     return run
 
 
-def score_quality(df: DataFrame, labels: DataFrame | None, text: str = "text", doc_id: str = "doc_id", label: str = "quality", keep: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+def score_quality(df: DataFrame, labels: DataFrame | None, text: str = "text", doc_id: str = "doc_id", label: str = "quality", keep: list[str] | None = None, names: list[str] | None = None, without_model: bool = False) -> DataFrame:
     """Columns `keep` of `df` (all by default), then the five counts and the probability of good quality.
 
-    `names` renames those six columns. Null texts count as empty. Without enough labelled rows
-    there is no model and every probability is 1. Empty tables give no rows, repeated rows are
-    scored each for itself.
+    `names` renames those six columns. Null texts count as empty. FEWEST_ROWS labelled rows of each
+    label are needed for a model; with fewer, `without_model` gives null probabilities, and else
+    it is an error. Empty tables give no rows, repeated rows are scored each for itself.
     """
-    texts, good = labelled_sample(df, labels, text, doc_id, label) if labels is not None else ([], np.zeros(0))
-    model = df.sparkSession.sparkContext.broadcast(train(texts, good == 1))
+    found = fit(df, labels, text, doc_id, label) if labels is not None else None
+    if found is None and not without_model and not df.isEmpty():
+        raise ValueError(f"a model needs {FEWEST_ROWS} labelled rows of each label")
+    model = df.sparkSession.sparkContext.broadcast(found)
     keep = list(df.columns) if keep is None else keep
     own = fresh(df, "quality_text")
     slim = df.select(*keep, F.col(text).alias(own))
@@ -258,14 +304,21 @@ def base_failed(n_words: str, n_repeat: str):
     return (F.col(n_words) < MIN_WORDS) | (100 * F.col(n_repeat) > MAX_REPEATED * F.col(n_words))
 
 
-def quality_report(df: DataFrame, labels: DataFrame | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of `df`: doc_id, the five counts, probability, base_failed, kept."""
-    out = score_quality(df, labels, text, doc_id, keep=[doc_id]).withColumn("base_failed", base_failed("n_words", "n_repeat_words"))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= KEEP_FROM))
+def quality_report(df: DataFrame, labels: DataFrame | None, text: str = "text", doc_id: str = "doc_id", without_model: bool = False) -> DataFrame:
+    """One row per row of `df`: doc_id, the five counts, probability, base_failed, kept.
+
+    Where `without_model` lets there be no model, the base rules alone decide.
+    """
+    out = score_quality(df, labels, text, doc_id, keep=[doc_id], without_model=without_model).withColumn("base_failed", base_failed("n_words", "n_repeat_words"))
+    return out.withColumn("kept", ~F.col("base_failed") & passes("probability"))
+
+
+def passes(probability: str):
+    return F.coalesce(F.col(probability) >= KEEP_FROM, F.lit(True))
 
 
-def drop_low_quality(df: DataFrame, labels: DataFrame | None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def drop_low_quality(df: DataFrame, labels: DataFrame | None, text: str = "text", doc_id: str = "doc_id", without_model: bool = False) -> DataFrame:
     """The rows of `df` that `quality_report` keeps, with all their columns."""
     names = [fresh(df, f"quality_{c}") for c in (*COUNTS, "probability")]
-    scored = score_quality(df, labels, text, doc_id, names=names)
-    return scored.filter(~base_failed(names[0], names[4]) & (F.col(names[5]) >= KEEP_FROM)).select(*df.columns)
+    scored = score_quality(df, labels, text, doc_id, names=names, without_model=without_model)
+    return scored.filter(~base_failed(names[0], names[4]) & passes(names[5])).select(*df.columns)

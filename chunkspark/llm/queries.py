@@ -51,9 +51,9 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from chunkspark.llm.secrets import secrets_report
+    from chunkspark.llm.secrets import ledger_path, secrets_report
 
-    return secrets_report(_table(spark, sf_dir, "documents"))
+    return secrets_report(_table(spark, sf_dir, "documents"), ledger_path(spark))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Every version of every document is addressed by its content. The ledger holds what each version
 of the rules found in each blob, so a run scans only pairs of blob and rule version that it lacks,
-once each however many paths share the blob, and joins the findings back to all paths.
+once each however many paths share the blob, and joins the findings back to all paths. It is a
+table in the shared folder that runs append to; two runs that scan one blob enter the same.
 """
 
 from __future__ import annotations
@@ -10,17 +11,18 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkspark.llm.shared import lookup_join, materialise
+from chunkspark.llm.shared import hashed_side, lookup_join, materialise, shared_root
 
 
 @dataclass(frozen=True)
 class Rule:
     """Leftmost non-overlapping matches of `pattern` whose `group` has `least` characters or more.
 
-    `hint`, a literal or a cheaper pattern, must occur in any text that has a match.
+    `hint`, a literal or a cheaper pattern, must occur in any text that has a match. Neither may
+    run on from each of many starts, which is the square of a long text's length.
     """
 
     kind: str
@@ -34,13 +36,13 @@ class Rule:
 #: The base rules come first, in this order.
 BASE = ("assign", "access", "hex")
 RULES = (
-    Rule("assign", "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, "(?i)(?:passw|secret|token|api_?key)[a-z]*[\"']?\\x20*[:=]"),
+    Rule("assign", "(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, "(?i)(?:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]"),
     Rule("access", "AKIA[A-Z0-9]+", 0, 20, "AKIA", True),
     Rule("hex", "[0-9a-f]{24,}", 0, 24, "[0-9a-f]{24}"),
     Rule("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0, "-----BEGIN ", True),
     Rule("github", "gh[opsu]_[A-Za-z0-9]{36,}", 0, 0, "gh[opsu]_"),
     Rule("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, "xox", True),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]{10,}\\.eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}", 0, 0, "eyJ", True),
+    Rule("jwt", "(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\\.eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}", 0, 0, "eyJ", True),
 )
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
@@ -49,28 +51,28 @@ def rule_version(rules=RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
-def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
-    """Spans (start, kind, stop) of a rule in code points.
+def rule_steps(text: Column, rule: Rule) -> Column:
+    """Lengths in code points of each match, its group, and what lies before it: array of (gap, hit, core).
 
-    The pieces between matches give the places: each match starts where the pieces and matches
-    before it end.
+    Matches start where the gaps and matches before them end. The last entry, after the last match,
+    has no hit. Texts without the hint have no entries.
     """
-    pattern = F.lit(rule.pattern)
-    between = F.split(text, rule.pattern, -1)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    group = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
-    steps = F.arrays_zip(between.alias("gap"), whole.alias("hit"), group.alias("core"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        own = F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("stop")))
-        counts = x["hit"].isNotNull() & (F.length(x["core"]) >= rule.least)
-        return F.struct(end.alias("at"), F.when(counts, F.concat(acc["found"], own)).otherwise(acc["found"]).alias("found"))
-
+    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    group = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
+    steps = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), whole.alias("hit"), group.alias("core"))
+    sizes = F.transform(steps, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), F.length(x["core"]).alias("core")))
     hinted = F.contains(text, F.lit(rule.hint)) if rule.literal else text.rlike(rule.hint)
-    return F.when(hinted, F.aggregate(steps, start, step, lambda acc: acc["found"])).otherwise(F.array().cast(SPAN))
+    return F.when(hinted, sizes).otherwise(F.array().cast("array<struct<gap:int,hit:int,core:int>>"))
+
+
+def _spans(steps: DataFrame, rules) -> DataFrame:
+    """blob and sorted spans, of rows blob and steps, an array with the steps of each rule; blobs without spans are left out."""
+    rows = steps.select("blob", F.posexplode("steps").alias("kind", "own")).select("blob", "kind", F.posexplode("own").alias("i", "x"))
+    upto = F.sum(F.col("x.gap") + F.coalesce("x.hit", F.lit(0))).over(Window.partitionBy("blob", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("kind") + 1)
+    ended = rows.withColumn("stop", upto.cast("int")).filter(F.col("x.hit").isNotNull() & (F.col("x.core") >= least))
+    span = F.struct((F.col("stop") - F.col("x.hit")).alias("start"), "kind", "stop")
+    return ended.groupBy("blob").agg(F.array_sort(F.collect_list(span)).cast(SPAN).alias("spans"))
 
 
 def scan_blobs(versions: DataFrame, seen: DataFrame | None, text: str = "text", path: str = "doc_id", rules=RULES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -89,12 +91,15 @@ def scan_blobs(versions: DataFrame, seen: DataFrame | None, text: str = "text",
     todo = blobs.select("blob", "key")
     if seen is not None:
         todo = todo.join(seen.filter(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    unseen = rows.select("key", "text", "blob").join(todo.hint("shuffle_hash"), ["key", "blob"], "left_semi")
-    found = F.concat(*(rule_spans(F.col("text"), r, i) for i, r in enumerate(rules)))
-    scanned = unseen.select("blob", F.array_sort(found).alias("spans"))
-    # rows repeated under one path scan alike; one of them is entered
-    ledger = scanned.groupBy("blob").agg(F.max("spans").alias("spans"))
-    return paths, materialise(ledger.select("blob", F.lit(version).alias("rule_version"), "spans"), "ledger"), blobs
+    todo = materialise(todo, "todo")
+    unseen = rows.select("key", "text", "blob").join(hashed_side(todo, todo.count()), ["key", "blob"], "left_semi")
+    scanned = unseen.select("blob", F.array(*(rule_steps(F.col("text"), r) for r in rules)).alias("steps"))
+    hit = scanned.filter(F.exists("steps", lambda x: F.size(x) > 1))
+    # rows repeated under one path scan alike
+    steps = materialise(hit.groupBy("blob").agg(F.any_value("steps").alias("steps")), "steps")
+    ledger = todo.select("blob").join(_spans(steps, rules), "blob", "left")
+    none = F.array().cast(SPAN)
+    return paths, materialise(ledger.select("blob", F.lit(version).alias("rule_version"), F.coalesce("spans", none).alias("spans")), "ledger"), blobs
 
 
 def find_secrets(versions: DataFrame, seen: DataFrame | None = None, text: str = "text", path: str = "doc_id", rules=RULES) -> tuple[DataFrame, DataFrame]:
@@ -106,21 +111,50 @@ def find_secrets(versions: DataFrame, seen: DataFrame | None = None, text: str =
     paths, new, blobs = scan_blobs(versions, seen, text, path, rules)
     ledger = new
     if seen is not None:
-        ledger = new.unionByName(seen.filter(F.col("rule_version") == rule_version(rules)).select(new.columns))
-    hits = ledger.filter(F.size("spans") > 0).join(blobs.select("blob", "n_paths"), "blob").select("blob", "n_paths", "spans")
-    joined = lookup_join(paths, hits, ["blob"], "n_paths", paths.count(), F.struct("key"))
+        known = seen.filter(F.col("rule_version") == rule_version(rules)).select(new.columns)
+        ledger = new.unionByName(known.join(blobs.select("blob"), "blob", "left_semi"))
+    found = blobs.select("blob", "n_paths").join(ledger.filter(F.size("spans") > 0).select("blob", "spans"), "blob", "left")
+    joined = lookup_join(paths, found, ["blob"], "n_paths", paths.count(), F.struct("key"))
     return joined.select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")), new
 
 
+LEDGER = f"blob string, spans {SPAN}, rule_version string"
+
+
+def ledger_path(spark: SparkSession) -> str:
+    """Where the ledger of all runs is kept, in the shared folder."""
+    return f"{shared_root(spark)}/chunkspark-secrets-ledger"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """Ledger rows entered so far, one for each blob and rule version; None before the first run."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    rows = spark.read.schema(LEDGER).parquet(path)
+    return rows.groupBy("blob", "rule_version").agg(F.max("spans").alias("spans"))
+
+
+def enter(new: DataFrame, path: str) -> None:
+    """Append ledger rows. Each stands for itself, so what a broken run leaves is as good."""
+    new.select("blob", "spans", "rule_version").write.mode("append").partitionBy("rule_version").parquet(path)
+
+
 def spans_text(spans: Column, rules=RULES) -> Column:
     """kind:start:stop of each span, comma-joined."""
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     return F.array_join(F.transform(spans, lambda s: F.concat(F.element_at(kinds, s["kind"] + 1), F.lit(":"), s["start"], F.lit(":"), s["stop"])), ",")
 
 
-def secrets_report(versions: DataFrame, seen: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per row of `versions`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob."""
-    found, _ = find_secrets(versions, seen, text, doc_id)
+def secrets_report(versions: DataFrame, ledger: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per row of `versions`: doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob.
+
+    With the path of a ledger, blobs that it has are not scanned again, and the others are entered.
+    """
+    seen = read_ledger(versions.sparkSession, ledger) if ledger else None
+    found, new = find_secrets(versions, seen, text, doc_id)
+    if ledger:
+        enter(new, ledger)
 
     def of_kind(i: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")

@@ -123,12 +123,23 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, t
     key's partition by `spread`, and the others meet by an ordinary shuffle.
     """
     bar = max(total // ways, 1)
+    hot_col, cold_col, salt = (fresh(left, c) for c in ("_hot", "_cold", "_salt"))
     # the salt of cold keys is 0, but not a literal: the optimizer would take that out of the join's keys
     values = [c for c in right.columns if c not in keys]
-    hot = right.filter(F.col(rows) > bar).select(*keys, F.struct(*values).alias("_hot"))
-    cold = right.filter(F.col(rows) <= bar).select(*keys, F.struct(*values).alias("_cold"), (F.col(rows) > bar).cast("int").alias("_salt"))
+    hot = right.filter(F.col(rows) > bar).select(*keys, F.struct(*values).alias(hot_col))
+    cold = right.filter(F.col(rows) <= bar).select(*keys, F.struct(*values).alias(cold_col), (F.col(rows) > bar).cast("int").alias(salt))
     marked = left.join(F.broadcast(hot), keys, "left")
-    marked = marked.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")))
-    joined = marked.join(cold, [*keys, "_salt"], "left")
-    found = F.coalesce("_hot", "_cold")
+    marked = marked.withColumn(salt, F.when(F.col(hot_col).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")))
+    joined = marked.join(cold, [*keys, salt], "left")
+    found = F.coalesce(hot_col, cold_col)
     return joined.select(*left.columns, *[found[c].alias(c) for c in values])
+
+
+#: Bytes of a build side that a task holds for a hash join, and of a row in it.
+BUILD_BYTES, BUILD_ROW = 32 << 20, 200
+
+
+def hashed_side(right: DataFrame, rows: int) -> DataFrame:
+    """`right`, unique in the join's keys, with a hint to build hash tables of it if its share of a task is small."""
+    tasks = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return right.hint("shuffle_hash") if rows * BUILD_ROW <= BUILD_BYTES * tasks else right

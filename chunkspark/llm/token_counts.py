@@ -31,6 +31,8 @@ def _written(path: str, folder: str, separator: int, width: int):
     def run(batches):
         code = encoder(path, special=False)
         kind = np.dtype(f"<u{width}")
+        if separator > np.iinfo(kind).max:
+            raise ValueError(f"separator {separator} does not fit in {width} bytes")
         name, out, n = None, None, 0
         for batch in batches:
             for a, b, raw, offsets in blocks(batch.column(1)):
@@ -38,6 +40,8 @@ def _written(path: str, folder: str, separator: int, width: int):
                     name = task_file(folder, "tokens")
                     out = create(name)
                 ids, bounds = code.encode(raw, offsets)
+                if len(ids) and int(ids.max()) > np.iinfo(kind).max:
+                    raise ValueError(f"id {int(ids.max())} does not fit in {width} bytes")
                 flat = np.insert(ids.astype(kind), bounds[1:], kind.type(separator))
                 out.write(flat)
                 m = b - a
@@ -52,7 +56,8 @@ def _written(path: str, folder: str, separator: int, width: int):
 def write_token_files(df: DataFrame, path: str, folder: str, text: str = "text", doc_id: str = "doc_id", separator: int = SEPARATOR, width: int = WIDTH) -> DataFrame:
     """Write each partition's documents to one file; returns which document is where (MANIFEST).
 
-    Special tokens' strings in texts are ordinary text, so the separator ends documents only.
+    Special tokens' strings in texts are ordinary text, so the separator ends documents only. Ids
+    that don't fit in `width` bytes are an error.
     """
     slim = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text))
     return materialise(slim.mapInArrow(_written(path, folder, separator, width), MANIFEST), "manifest")

@@ -2,19 +2,20 @@
 
 Pages of equal payload are one response and revisits of it. Executors write gzipped WARC files to
 the shared folder. Reading an archive gives a run of captures, sorted, written as an Arrow file of
-batches with the first key of each batch. For the global order, splitters drawn from the runs cut
-the key space into ranges, and each range is merged from the batches of all runs that reach into
-it, through a loser tree.
+batches, with the first key of each batch beside it. Runs merge through loser trees, FAN_IN at a
+time, pass after pass until MOST_RUNS or fewer are left. For the global order, splitters drawn from
+the runs cut the key space into ranges, and each range is merged from the batches of those runs
+that reach into it.
 """
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import json
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import groupby, islice
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -22,14 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkspark.llm.files import create, open_random, open_system, task_file
-from chunkspark.llm.shared import lookup_join, materialise, new_folder
+from chunkspark.llm.shared import hashed_side, lookup_join, materialise, new_folder
 
 #: Payloads below this many bytes are always stored whole.
 LEAST_SHARED = 100
-#: Bytes of payload after which a task begins a new archive.
-ROLL_AT = 256 << 20
+#: Bytes of payload, and records, after which a task begins a new archive.
+ROLL_AT, ROLL_RECORDS = 256 << 20, 50_000
 #: Runs that one loser tree merges, captures in a batch of a run, and captures of a merged range.
 FAN_IN, BATCH, RANGE = 64, 2048, 100_000
+#: Runs that the last merge, of ranges, reads at most.
+MOST_RUNS = 256
 #: Pages carry no time; the capture of page p is this many seconds after EPOCH: p.
 EPOCH = datetime(2000, 1, 1, tzinfo=UTC)
 END = b"\r\n"
@@ -85,21 +88,22 @@ def _zipped(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _write(folder: str, roll_at: int):
+def _write(folder: str, roll_at: int, roll_records: int):
     def run(batches):
-        out, name, size, part = None, None, 0, 0
+        out, name, size, n, part = None, None, 0, 0, 0
         for batch in batches:
             done = []
             col = [c.to_pylist() for c in batch.columns[:2]]
             text, digests, refers = batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for page_id, url, html, digest, ref in zip(*col, text, digests, refers, strict=True):
                 if out is None:
-                    name, size, part = f"{task_file(folder, 'pages')}-{part}.warc.gz", 0, part + 1
+                    name, size, n, part = f"{task_file(folder, 'pages')}-{part}.warc.gz", 0, 0, part + 1
                     out = create(name)
                 payload = (html.as_py() or "").encode()
                 out.write(_zipped(record(page_id, url, payload, digest, ref)))
                 size += len(payload)
-                if size >= roll_at:
+                n += 1
+                if size >= roll_at or n >= roll_records:
                     out.close()
                     out = None
                     done.append(name)
@@ -111,7 +115,7 @@ def _write(folder: str, roll_at: int):
     return run
 
 
-def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", roll_at: int = ROLL_AT) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", roll_at: int = ROLL_AT, roll_records: int = ROLL_RECORDS) -> DataFrame:
     """Write a record per row of `pages` to archives in `folder`; returns their names (column file).
 
     Of equal payloads of LEAST_SHARED bytes or more the row with the smallest id is the response
@@ -121,11 +125,12 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.sha2(payload, 256).alias("digest"))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("none")).alias("name")
     slim = materialise(rows.select("page_id", name, "digest", F.octet_length("html").alias("n_bytes")), "payloads")
-    groups = slim.filter(f"n_bytes >= {LEAST_SHARED}").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    slim = slim.filter(f"n_bytes >= {LEAST_SHARED}")
+    groups = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))  # every digest, so that hot ones are known
     found = lookup_join(slim, materialise(groups, "payload_groups"), ["digest"], "n", slim.count(), F.col("page_id"))
-    revisits = found.filter("first is not null and not first <=> page_id").select("name", "digest", F.col("first").alias("refers_to")).distinct()
-    marked = rows.withColumn("name", name).join(revisits.hint("shuffle_hash"), ["name", "digest"], "left")
-    return materialise(marked.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_write(folder, roll_at), "file string"), "archives")
+    revisits = materialise(found.filter("first is not null and not first <=> page_id").select("name", "digest", F.col("first").alias("refers_to")).distinct(), "revisits")
+    marked = rows.withColumn("name", name).join(hashed_side(revisits, revisits.count()), ["name", "digest"], "left")
+    return materialise(marked.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_write(folder, roll_at, roll_records), "file string"), "archives")
 
 
 def read_records(stream) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -174,6 +179,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CAPTURE, strict=True)], schema=CAPTURE)
 
 
+def _write_run(name: str, rows: Iterator[tuple]) -> int:
+    """Write captures in order as a run; returns their number."""
+    n, firsts = 0, []
+    with create(name) as out, pa.ipc.new_file(out, CAPTURE) as writer:
+        while some := list(islice(rows, BATCH)):
+            firsts.append(_order(some[0]))
+            writer.write_batch(_batch(some))
+            n += len(some)
+    with create(f"{name}.keys") as out:
+        out.write(json.dumps(firsts).encode())
+    return n
+
+
 def _runs(folder: str):
     """Read archives; each gives a sorted run. Yields the run's name, size and some of its keys."""
     def run(batches):
@@ -183,11 +201,7 @@ def _runs(folder: str):
                 with system.open_input_stream(path) as stream:
                     rows = sorted((capture(name, *r) for r in read_records(stream)), key=_order)
                 run_name = task_file(folder, "run") + "-" + hashlib.md5(name.encode()).hexdigest()[:12]
-                starts = range(0, len(rows), BATCH)
-                firsts = json.dumps([_order(rows[i]) for i in starts])
-                with create(run_name) as out, pa.ipc.new_file(out, CAPTURE.with_metadata({"firsts": base64.b64encode(firsts.encode())})) as writer:
-                    for i in starts:
-                        writer.write_batch(_batch(rows[i : i + BATCH]))
+                _write_run(run_name, iter(rows))
                 sample = [_order(r)[:3] for r in rows[:: max(1, len(rows) // 64)]]
                 m = len(sample)
                 yield pa.RecordBatch.from_arrays([pa.array([run_name] * m, pa.string()), pa.array([len(rows)] * m, pa.int64()), *(pa.array([s[k] for s in sample], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64())))], names=["run", "n", "url_key", "capture_time", "page_id"])
@@ -195,11 +209,26 @@ def _runs(folder: str):
     return run
 
 
+def _merge_groups(folder: str):
+    """Of rows group and run, sorted by group: one run of each group, with its size."""
+    def run(batches):
+        rows = ((g, r) for batch in batches for g, r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for group, own in groupby(rows, key=lambda x: x[0]):
+            name = f"{task_file(folder, 'merged')}-{group}"
+            n = _write_run(name, merged([r for _, r in own], None, None))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["run", "n"])
+
+    return run
+
+
 def run_slice(name: str, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
     """Captures of a sorted run with low <= key < high, read batch by batch."""
+    with open_random(f"{name}.keys") as f:
+        firsts = [tuple(x) for x in json.loads(f.read())]
+    if not firsts or (high is not None and firsts[0][:3] >= high):
+        return
     with open_random(name) as f:
         reader = pa.ipc.open_file(f)
-        firsts = [tuple(x) for x in json.loads(base64.b64decode(reader.schema.metadata[b"firsts"]))]
         for i, first in enumerate(firsts):
             if high is not None and first[:3] >= high:
                 return
@@ -252,11 +281,9 @@ class LoserTree:
 
 
 def merged(runs: list[str], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
-    """Captures of all runs in a range, in order. More than FAN_IN runs merge in groups first."""
-    if len(runs) <= FAN_IN:
-        return iter(LoserTree([run_slice(r, low, high) for r in runs]))
-    groups = [list(LoserTree([run_slice(r, low, high) for r in runs[i : i + FAN_IN]])) for i in range(0, len(runs), FAN_IN)]
-    return iter(LoserTree([iter(g) for g in groups]))
+    """Captures of all runs in a range, in order; trees of FAN_IN runs feed one above them."""
+    trees = [iter(LoserTree([run_slice(r, low, high) for r in runs[i : i + FAN_IN]])) for i in range(0, len(runs), FAN_IN)]
+    return trees[0] if len(trees) == 1 else iter(LoserTree(trees))
 
 
 def _ranges(runs, bounds):
@@ -276,23 +303,31 @@ def _ranges(runs, bounds):
     return run
 
 
-def read_archives(archives: DataFrame, folder: str, per_range: int = RANGE) -> DataFrame:
+def read_archives(archives: DataFrame, folder: str, per_range: int = RANGE, most_runs: int = MOST_RUNS) -> DataFrame:
     """Captures of the archives named in `archives` (column file), see CAPTURE, globally ordered.
 
-    Partitions are ranges of keys in order, and sorted. The driver sees the names of the runs and
-    one splitter per range.
+    Partitions are ranges of keys in order, and sorted. The driver sees the names of the last
+    `most_runs` runs and one splitter per range.
     """
     spark = archives.sparkSession
     sample = archives.select("file").repartition("file").mapInArrow(_runs(folder), "run string, n long, url_key string, capture_time string, page_id long")
     sample = materialise(sample, "run_keys")
-    runs = sorted(tuple(r) for r in sample.select("run", "n").distinct().collect())  # one per archive
-    n = max(1, -(-sum(r[1] for r in runs) // per_range))
+    runs = materialise(sample.select("run", "n").distinct(), "runs")  # one per archive that has records
+    n_runs, total = runs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    while n_runs > most_runs:
+        groups = -(-n_runs // FAN_IN)
+        dealt = runs.select(F.pmod(F.xxhash64("run"), F.lit(groups)).alias("group"), "run")
+        dealt = dealt.repartition(groups, "group").sortWithinPartitions("group", "run")
+        runs = materialise(dealt.mapInArrow(_merge_groups(folder), "run string, n long"), "runs")
+        n_runs = runs.count()
+    n = max(1, -(-total // per_range))
     cuts: list[tuple] = []
     if n > 1:
         by = ["url_key", "capture_time", "page_id"]
         dealt = sample.select(by).repartitionByRange(n, *by).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*by)).alias("k"))
         cuts = sorted({tuple(r["k"]) for r in dealt.collect()})[1:]
-    names, bounds = spark.sparkContext.broadcast([r[0] for r in runs]), spark.sparkContext.broadcast(cuts)
+    names = spark.sparkContext.broadcast(sorted(r[0] for r in runs.select("run").collect()))  # `most_runs` at most
+    bounds = spark.sparkContext.broadcast(cuts)
     return spark.range(0, len(cuts) + 1, 1, len(cuts) + 1).mapInArrow(_ranges(names, bounds), CAPTURE_SQL)
 
 

@@ -66,9 +66,11 @@ def test_verdicts(spark, tables):
 
 
 def test_rules_on_odd_rows_and_empty_tables(odd_docs, no_docs, no_labels):
-    found = qr.quality_report(odd_docs, no_labels).collect()
-    assert len(found) == 15 and all(r.probability == 1 for r in found)
-    assert qr.drop_low_quality(odd_docs, no_labels).columns == odd_docs.columns
+    with pytest.raises(ValueError, match="labelled rows"):
+        qr.quality_report(odd_docs, no_labels)
+    found = qr.quality_report(odd_docs, no_labels, without_model=True).collect()
+    assert len(found) == 15 and all(r.probability is None and r.kept == (not r.base_failed) for r in found)
+    assert qr.drop_low_quality(odd_docs, no_labels, without_model=True).columns == odd_docs.columns
     assert qr.quality_report(no_docs, no_labels).collect() == []
 
 

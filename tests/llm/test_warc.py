@@ -41,10 +41,16 @@ def test_ranges_and_more_runs_than_a_tree_merges(spark, rows):
     pages = spark.createDataFrame(rows[:150], "page_id long, url string, html string")
     archives = warc.write_archives(pages, new_folder(spark, "t"), roll_at=1)
     assert archives.count() > warc.FAN_IN
-    found = warc.read_archives(archives, new_folder(spark, "t"), per_range=20)
-    assert found.rdd.getNumPartitions() > 3
-    keys = [warc._order(tuple(r)) for r in found.collect()]
-    assert keys == sorted(keys) and len(keys) == 150
+    for most in (2, 100, 1000):
+        found = warc.read_archives(archives, new_folder(spark, "t"), per_range=20, most_runs=most)
+        assert found.rdd.getNumPartitions() > 3
+        keys = [warc._order(tuple(r)) for r in found.collect()]
+        assert keys == sorted(keys) and len(set(keys)) == 150
+
+
+def test_archives_end_by_records_too(spark):
+    pages = spark.createDataFrame([(i, "u", "") for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    assert warc.write_archives(pages, new_folder(spark, "t"), roll_records=4).count() >= 5
 
 
 def test_loser_tree():
