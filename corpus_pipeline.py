@@ -22,8 +22,11 @@ NEAR = Rule(words=5, part=80, whole=100)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a base rule or the trained model's threshold go. Null texts fail."""
-    return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that fail a base rule or the trained model's threshold go. Null texts fail.
+
+    Where labels are too few for a model the base rules alone decide.
+    """
+    return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), without_model=True)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +35,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect the one with the smallest doc_id stays."""
+    """Of documents that near-duplicate links connect the one with the smallest doc_id stays.
+
+    Null and empty texts link with nothing. Rows without an id come after all others.
+    """
     return drop_near_duplicates(docs, rule=NEAR)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents 0 to 3 times each, so that sources come to their target weights."""
+    """Documents 0 to 3 times each, so that sources come to their target weights.
+
+    The null source is a source, last in order. Null and empty texts have no words to take.
+    """
     return mix(docs)
 
 
