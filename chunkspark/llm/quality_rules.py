@@ -2,8 +2,8 @@
 
 The model is a logistic regression over the frequencies of hashed words, word pairs and character
 4-grams of a text, trained on a bounded sample of labelled rows and calibrated on rows that it
-was not trained on. Executors hash the sample's texts; the driver sees hashed frequencies only.
-It is scored in Arrow batches.
+was not trained on. Executors hash the sample's texts and one of them trains; the driver sees the
+weights only. It is scored in Arrow batches.
 """
 
 from __future__ import annotations
@@ -254,13 +254,28 @@ def _hashed(batches):
             yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), label.slice(a, b - a), *binary], names=["_id", "_label", "idx", "val"])
 
 
+def _trained(batches):
+    sample, good = [], []
+    for batch in batches:
+        good += batch.column(1).to_pylist()
+        for idx, val in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            sample.append((np.frombuffer(idx, np.uint32), np.frombuffer(val, np.float32)))
+    model = train(sample, np.array(good) == 1)
+    if model is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.slope]), pa.array([model.shift])], names=["weights", "slope", "shift"])
+
+
 def fit(df: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str) -> NgramModel | None:
-    """The model of a bounded sample of labelled rows. A row's frequencies are at most 3 * 2 ** BITS, whatever its text's length."""
+    """The model of a bounded sample of labelled rows, trained by one task.
+
+    That task holds at most 3 * 2 ** BITS frequencies of a row, however long its text is.
+    """
     sample = labelled_sample(df, labels, text, doc_id, label).select("_id", F.col("_label").cast("int").alias("_label"), "_text")
     kind = sample.schema["_id"].dataType.simpleString()
-    rows = sample.mapInArrow(_hashed, f"_id {kind}, _label int, idx binary, val binary").orderBy(F.xxhash64("_id"), "_id").collect()
-    found = [(np.frombuffer(r["idx"], np.uint32), np.frombuffer(r["val"], np.float32)) for r in rows]
-    return train(found, np.array([r["_label"] for r in rows]) == 1)
+    hashed = sample.mapInArrow(_hashed, f"_id {kind}, _label int, idx binary, val binary")
+    one = hashed.repartition(1).sortWithinPartitions(F.xxhash64("_id"), "_id")
+    found = one.mapInArrow(_trained, "weights binary, slope double, shift double").collect()
+    return NgramModel(np.frombuffer(found[0]["weights"], np.float32).reshape(3, -1), found[0]["slope"], found[0]["shift"]) if found else None
 
 
 def _scored(at: int, model, names: list[str]):
