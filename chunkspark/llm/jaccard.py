@@ -36,6 +36,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,12 +219,53 @@ def _filed(rule: Rule, hot: list[int]):
     return run
 
 
-def _tokens(rule: Rule):
+#: Bits of an id filter: so many for each id, and 2 ** MOST_BITS at most.
+ID_BITS, MOST_BITS = 16, 27
+
+
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """The two bits of each id in a filter of 2 ** bits."""
+    x = ids.view(U64)
+    return np.concatenate([mix(x + _K), mix(x ^ _K)]) >> U64(64 - bits)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """64-bit words of a filter that holds all `ids` (one column, long), and others by chance. Its size is bounded."""
+    n = ids.count()
+    bits = min(MOST_BITS, max(16, (ID_BITS * n).bit_length()))
+
     def run(batches):
         for batch in batches:
-            for _, sets in _walk(batch, 0, rule):
-                sets = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "tokens"])
+            at = _places(batch.column(0).drop_null().to_numpy(), bits)
+            words, name = np.unique(at >> U64(6), return_inverse=True)
+            held = np.zeros(len(words), U64)
+            np.bitwise_or.at(held, name, U64(1) << (at & U64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(held.view(np.int64))], names=["word", "held"])
+
+    found = ids.mapInArrow(run, "word long, held long").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()
+    out = np.zeros(1 << (bits - 6), U64)
+    out[found.column("word").to_numpy()] = found.column("held").to_numpy().view(U64)
+    return out
+
+
+def passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _places(ids, len(words).bit_length() + 5)
+    held = (words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+    return held[: len(ids)] & held[len(ids) :]
+
+
+def _tokens(rule: Rule, wanted):
+    """Of doc_id and text: node and tokens, once per task, of rows that the filter lets through or that have no id."""
+
+    def run(batches):
+        seen, words = _Seen(), wanted.value
+        for batch in batches:
+            ids = batch.column(0)
+            keep = pa.array(passes(words, ids.fill_null(0).to_numpy())) if len(ids) else pa.array([], pa.bool_())
+            batch = batch.filter(pc.or_(keep, ids.is_null()))
+            for _, sets in _walk(batch, 1, rule):
+                own = [(n, s.tobytes()) for n, s in ((node_of(s), s) for s in sets if len(s)) if not seen(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], names=["node", "tokens"])
 
     return run
 
@@ -663,10 +705,8 @@ def _linked(tagged: DataFrame, rule: Rule, matrix_share: int = MATRIX_SHARE, chu
         pairs = _grouped(tagged, sets, rule)
         # token sets of the nodes in groups
         active = pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct()
-        wanted = nodes.join(active, "node").select("doc_id").distinct()
-        texts = tagged.join(wanted, "doc_id", "left_semi").select("text")
-        unnamed = tagged.filter(F.col("doc_id").isNull()).select("text")
-        found = texts.unionByName(unnamed).mapInArrow(_tokens(rule), "node long, tokens binary").join(active, "node", "left_semi")
+        wanted = spark.sparkContext.broadcast(id_filter(nodes.join(active, "node").select("doc_id")))
+        found = tagged.select("doc_id", "text").mapInArrow(_tokens(rule, wanted), "node long, tokens binary").join(active, "node", "left_semi")
         tokens = materialise(found.dropDuplicates(["node"]), "tokens")
 
         def verified(some: DataFrame) -> DataFrame:
