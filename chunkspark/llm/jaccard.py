@@ -619,8 +619,10 @@ def linked_components(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return _linked(docs, rule).select("doc_id", "n_shingles", "component_id")
 
 
-#: Blocks of the matrix hold about one in so many of all its tokens, so no group weighs on one task.
-MATRIX_SHARE = 2048
+#: Blocks of the matrix hold about one in so many of all its tokens, so no group weighs on one task, and so many at least.
+MATRIX_SHARE, BLOCK_TOKENS = 2048, 1000
+#: Rows of the sample that have a heavy token, at least.
+HEAVY = 20
 
 
 def _grouped(tagged: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -651,7 +653,7 @@ def _grouped(tagged: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
         return keep(kept.select("node", "leader").distinct(), "grouped")
 
 
-def _paired(deltas: DataFrame, label: DataFrame, rule: Rule, matrix_share: int) -> DataFrame:
+def _paired(deltas: DataFrame, label: DataFrame, rule: Rule) -> DataFrame:
     """Postings of members of opened groups: POSTINGS, and n_rows and rep of the members that share the token."""
     spark = deltas.sparkSession
     with scratch(spark) as keep:
@@ -659,13 +661,13 @@ def _paired(deltas: DataFrame, label: DataFrame, rule: Rule, matrix_share: int)
         slim = materialise(slim.select("row", "leader", "linked", "n_added", F.coalesce("root", "node").alias("comp")), "slim")
         groups = slim.groupBy("leader").agg(F.count("*").alias("n_group"), F.sum("n_added").alias("n_tokens"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(~F.col("linked")).alias("n_queries"))
         groups = materialise(groups.withColumn("live", (F.col("lo") != F.col("hi")) & (F.col("n_queries") > 0)), "groups")
-        bar = max(1000, (groups.filter("live").agg(F.sum("n_tokens")).first()[0] or 0) // matrix_share)
+        bar = max(BLOCK_TOKENS, (groups.filter("live").agg(F.sum("n_tokens")).first()[0] or 0) // MATRIX_SHARE)
         ways = F.when(F.col("live"), F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / bar).cast("int"))).otherwise(0)
         found = lookup_join(slim, groups.select("leader", "n_group", ways.alias("ways")), ["leader"], "n_group", slim.count(), F.col("row"))
         live = materialise(deltas.join(found.filter("ways > 0").select("row", "comp", "ways"), "row"), "live")
-        # tokens that about `bar` members of a group have are known without the matrix; under 2 * matrix_share of them
+        # tokens that about `bar` members of a group have are known without the matrix; under 2 * MATRIX_SHARE of them
         sample = live.filter((F.col("ways") > 1) & (F.pmod(F.xxhash64("row"), F.lit(SAMPLED)) == 0)).select("leader", F.explode("added").alias("token"))
-        most = sample.groupBy("leader", "token").count().filter(F.col("count") > max(20, bar // SAMPLED)).select("leader", "token").collect()
+        most = sample.groupBy("leader", "token").count().filter(F.col("count") > max(HEAVY, bar // SAMPLED)).select("leader", "token").collect()
         heavy = np.sort(_in_group(np.array([r[0] for r in most], np.int64), np.array([r[1] for r in most], np.int64)))
         blocks_ = live.select("row", "leader", "ways", "added").mapInArrow(_blocks(heavy), BLOCKS)
         union = blocks_.repartition("leader", "way").sortWithinPartitions("leader", "way").mapInArrow(_in_union, UNION)
@@ -679,16 +681,16 @@ def _paired(deltas: DataFrame, label: DataFrame, rule: Rule, matrix_share: int)
         return keep(shared.filter("rep is not null and lo != hi").drop("lo", "hi"), "shared")
 
 
-def _celled(postings: DataFrame, chunk: int) -> DataFrame:
+def _celled(postings: DataFrame) -> DataFrame:
     """Postings with their chunk, in each of the cells that pair it with a chunk of the same token."""
-    k = F.ceil(F.col("n_rows") / chunk).cast("int")
+    k = F.ceil(F.col("n_rows") / CHUNK).cast("int")
     cut = postings.withColumn("k", k).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     cells = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     cell = F.least("chunk", "other").cast("long") * F.col("k") + F.greatest("chunk", "other")
     return cells.withColumn("cell", cell).select(*columns_of(POSTINGS), "chunk", "cell")
 
 
-def _linked(tagged: DataFrame, rule: Rule, matrix_share: int = MATRIX_SHARE, chunk: int = CHUNK) -> DataFrame:
+def _linked(tagged: DataFrame, rule: Rule) -> DataFrame:
     """Rows doc_id, row, text become doc_id, row, n_shingles, component_id, first_row.
 
     `row` tells rows without an id apart. component_id is the smallest id of the component, and
@@ -722,14 +724,14 @@ def _linked(tagged: DataFrame, rule: Rule, matrix_share: int = MATRIX_SHARE, chu
             label = own(components(links).withColumnRenamed("v", "node"), "label")
 
         # members that share a token, with one of them; then pairs that are not connected yet
-        postings = _paired(deltas, label, rule, matrix_share)
+        postings = _paired(deltas, label, rule)
         star = postings.filter(may_link(rule, lambda c: F.col(c), lambda c: F.col("rep")[c]))
         star = materialise(star.select(F.least("node", "rep.node").alias("a"), F.greatest("node", "rep.node").alias("b")).distinct(), "star")
         links = verified(star)
         if not links.isEmpty():
             label = merged(label, links)
             postings = postings.join(label, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        dealt = _celled(postings, chunk).repartition("leader", "token", "cell").sortWithinPartitions("leader", "token", "cell")
+        dealt = _celled(postings).repartition("leader", "token", "cell").sortWithinPartitions("leader", "token", "cell")
         near = dealt.mapInArrow(_pairs_of(rule), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
         links = verified(materialise(near, "near"))
         if not links.isEmpty():

@@ -24,4 +24,4 @@ TEMPLATES = (
 )
 
 #: Phrases whose places are always reported, with their labels.
-PHRASES = (("mit", "the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
+PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))

@@ -76,9 +76,83 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_license_scan": op2_license_scan, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_warc": op4_warc, "op5_quality_classifier": op5_quality_classifier, "op6_quality_rules": op6_quality_rules, "op7_secret_scan": op7_secret_scan, "op8_mixing": op8_mixing, "op9_token_counts": op9_token_counts, "op10_exact_dedup": op10_exact_dedup}
+def base_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2_license_scan finds by the phrases alone."""
+    return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op6_quality_rules, and the verdict on them alone."""
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many secrets of the base kinds op7_secret_scan finds."""
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of op8_mixing, without its draw."""
+    found = op8_mixing(spark, sf_dir)
+    return found.select("doc_id", "size", "source_size", (F.round("target", 3) + 0.0).alias("target"))
+
+
+#: One query for each operator.
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_ngram_jaccard_join, op4_warc, op5_quality_classifier, op6_quality_rules, op7_secret_scan, op8_mixing, op9_token_counts, op10_exact_dedup)}
+#: Parts of their results that SQL can express.
+PARTS = {f.__name__: f for f in (base_license_scan, base_quality_rules, base_secret_scan, base_mixing)}
+
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _places(phrase: str, label: str) -> str:
+    words = phrase.split()
+    same = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words, 1))
+    return f"list_transform(list_filter(range(len(w) - {len(words) - 1}), lambda i: {same}), lambda i: {{'at': i, 'label': '{label}'}})"
+
+
+_ASSIGN = "(" + "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key"))) + """)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
 SQL = {
+    "op3_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]) END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+        edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)""",
+    "base_license_scan": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        p AS (SELECT doc_id, len(w) AS n_words, list_concat({", ".join(_places(*x) for x in _PHRASES[:2])}, {_places(*_PHRASES[2])}) AS p FROM d)
+        SELECT doc_id, n_words, len(p) AS n_base, list_min(list_transform(p, lambda x: x.at)) AS first_word, list_max(list_transform(p, lambda x: x.at)) AS last_word,
+            array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels FROM p""",
+    "base_quality_rules": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '{_WORD}')) AS l FROM documents),
+        g AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+        r AS (SELECT doc_id, count(DISTINCT word) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS word FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1) GROUP BY doc_id),
+        c AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+            len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c""",
+    "base_secret_scan": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+        SELECT doc_id, len(list_filter(regexp_extract_all(t, '{_ASSIGN}', 2), lambda x: length(x) >= 6)) AS n_assign,
+            len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM d""",
+    "base_mixing": f"""
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
+        o AS (SELECT *, row_number() OVER (ORDER BY source_size / w, source) AS k FROM w),
+        l AS (SELECT k, (sum(source_size) OVER () - 3 * sum(source_size) OVER (ORDER BY k) + 3 * source_size) / sum(w) OVER (ORDER BY k DESC) AS level, 3 * source_size / w AS stops FROM o),
+        f AS (SELECT max(level) FILTER (k = first) AS level FROM (SELECT *, min(CASE WHEN level <= stops THEN k END) OVER () AS first FROM l))
+        SELECT doc_id, size, source_size, round(least(3 * source_size, w * coalesce(level, 1e300)), 3) + 0.0 AS target FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source, f""",
     "op4_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)

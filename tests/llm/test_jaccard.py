@@ -1,8 +1,10 @@
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 
+from chunkspark.llm import jaccard
 from chunkspark.llm.jaccard import Rule, components, drop_near_duplicates, linked_components
 
 from .conftest import sentence
@@ -59,6 +61,45 @@ def test_components_equal_brute_force(spark, rng, width, part):
     assert links > 500 and len({c for _, c in want.values()}) > 60
 
 
+def test_hot_groups_tokens_and_lists_are_split(spark, rng, monkeypatch):
+    """With small bounds every group has several blocks, common tokens are heavy, and lists of members have several cells."""
+    for name, value in (("BLOCK_TOKENS", 5), ("HEAVY", 3), ("SAMPLED", 1), ("CHUNK", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = families(rng)
+    want, _ = brute(rows, 5, 80)
+    found = linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), rule=Rule(5, 80)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+
+
+def test_a_large_family_whose_members_mostly_do_not_link(spark, rng):
+    """Members change some words of one text; two copies of the same variant link, members of different ones mostly don't."""
+    base = sentence(rng, 120).split()
+    rows = []
+    for v in range(500):
+        own = list(base)
+        for _ in range(rng.randrange(2, 14)):
+            own[rng.randrange(len(own))] = f"v{v}x{rng.randrange(99)}" if rng.random() < 0.7 else f"all{rng.randrange(3)}"
+        rows.append(" ".join(own))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            near = list(own)
+            near[rng.randrange(len(near))] = f"w{rng.randrange(999)}"
+            rows.append(" ".join(near))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want, links = brute(rows, 5, 80)
+    found = linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), rule=Rule(5, 80)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+    assert len({c for _, c in want.values()}) > 100 and links > 500
+
+
+def test_id_filter(spark):
+    ids = spark.range(0, 30_000, 3)
+    words = jaccard.id_filter(ids)
+    asked = np.arange(30_000)
+    hit = jaccard.passes(words, asked)
+    assert hit[::3].all() and hit.mean() < 0.4
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(5, i) for i in range(200, 260)]

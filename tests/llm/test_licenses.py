@@ -31,7 +31,7 @@ def test_matching_statistics_equal_brute_force(rng):
 
 
 def test_places_equal_brute_force(spark, rng):
-    parts = ["the mit license", "Apache-License, version 2.0", "CC BY-NC", "the the MIT", "license", "cc by", "nc", "version 2", "été", "the"]
+    parts = ["under the mit license", "the mit license", "under", "Apache-License, version 2.0", "CC BY-NC", "the the MIT", "license", "cc by", "nc", "version 2", "été", "the"]
     rows = [(i, " ".join(rng.choice(parts) if rng.random() < 0.7 else sentence(rng, 3) for _ in range(rng.randrange(40)))) for i in range(300)]
     found = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     for i, text in rows:
@@ -69,6 +69,6 @@ def test_odd_rows_and_empty_tables(odd_docs, no_docs):
 def test_rows_don_t_join_at_their_edges():
     import numpy as np
 
-    raw = np.frombuffer(b"the mitlicensethe mit licensethe mit", np.uint8)
-    n, found = LicenseScanner().scan(raw, np.array([0, 7, 14, 29, 36]))
-    assert n.tolist() == [2, 1, 3, 2] and {r: p for r, (p, _) in found.items() if p} == {2: [(0, 0)]}
+    rows = [b"under the mit", b"license", b"under the mit license", b"under the mit"]
+    n, found = LicenseScanner().scan(np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0, *map(len, rows)]))
+    assert n.tolist() == [3, 1, 4, 3] and {r: p for r, (p, _) in found.items() if p} == {2: [(0, 0)]}

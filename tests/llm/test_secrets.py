@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from chunkspark.llm.secrets import Rule, find_secrets, scan_blobs, secrets_report
+from pyspark.sql import functions as F
+
+from chunkspark.llm.secrets import Rule, find_secrets, read_ledger, scan_blobs, secrets_report
 from chunkspark.llm.shared import materialise
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -54,3 +56,38 @@ def test_odd_rows_and_empty_tables(odd_docs, no_docs):
     found = secrets_report(odd_docs).collect()
     assert len(found) == 15 and {r.spans for r in found} == {""} and {r.base_sha256 for r in found} == {digest([])}
     assert secrets_report(no_docs).collect() == []
+
+
+def test_a_second_run_scans_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token=abcdefgh"), (2, "clean"), (3, None), (4, "token=abcdefgh")], "doc_id long, text string")
+    path = f"file://{tmp_path}/ledger"
+    first = secrets_report(docs, path).collect()
+    entered = read_ledger(spark, path)
+    assert entered.count() == 3
+    more = docs.unionByName(spark.createDataFrame([(5, "secret: 1234567")], docs.schema))
+    _, new, _ = scan_blobs(more, entered)
+    assert new.count() == 1
+    assert sorted(secrets_report(docs, path).collect()) == sorted(first) and sorted(secrets_report(docs).collect()) == sorted(first)
+    assert scan_blobs(docs, read_ledger(spark, path))[1].count() == 0
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    digests = " ".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(100_000))
+    texts = ["token" * 1_000_000, "eyJ" * 500_000, "password = " * 200_000, digests]
+    began = time.time()
+    found = {r.doc_id: r for r in secrets_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i].n_hex for i in range(4)] == [0, 0, 0, 100_000] and found[2].n_assign == 100_000
+    assert found[3].base_sha256 == digest(expected(digests)) and time.time() - began < 60
+
+
+def test_a_clean_text_of_most_rows_is_spread(spark):
+    rows = [(i, "nothing here") for i in range(2000)] + [(5000 + i, f"token=abcdefgh{i}") for i in range(200)]
+    found = find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))[0]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r[1] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 2200 and max(sizes) < 1100
