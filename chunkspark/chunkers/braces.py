@@ -1,8 +1,9 @@
 """C++, TypeScript and C#: declarations found by a scanner of comments, strings and brackets.
 
 There is no grammar here. The scanner blanks out comments and strings, keeping lengths, and the
-chunkers look for declarations in what is left, one nesting level of namespaces at a time. Below
-a declaration nothing is searched, so methods stay part of their class.
+chunkers look for declarations in what is left, level by level, through namespaces and through
+every other construct with a body. Below a declaration nothing is searched, so methods stay part
+of their class.
 """
 
 from __future__ import annotations
@@ -176,12 +177,17 @@ _SPACE = r"\s*"
 _CPP_SKIP = r"(?:\s|;|#\s*include[^\n]*|[\w:<>,*& ]+[^;{}()\n]*;)*"
 _CPP_SCOPE = re.compile(r"(?:inline\s+)?namespace\s*([\w:]*)\s*(?:\[\[.*?\]\]\s*)?\{|extern\s+\{")
 _CPP_CLASS = re.compile(r"(?:class|struct)\b(?:\s+(?:\[\[.*?\]\]|alignas\s*\([^)]*\)|__declspec\s*\([^)]*\)|__attribute__\s*\(\(.*?\)\)|[A-Z][A-Z0-9_]+(?=\s+[\w:]+\s*[:{<f])))*\s+([\w:]+)(?:\s*<[^{};]*>)?\s*(?:final\s*)?(?::[^{};]*)?(?=\{)")
+#: A class that is declared ahead, or named as the type of what follows.
+_CPP_AHEAD = re.compile(r"(?:(?:static|extern|const|typedef)\s+)*(?:class|struct)\s+([\w:]+)\s*(?=[;*&=\w,()])")
 _CPP_FUNCTION = re.compile(r"(?:^|(?<=[\s*&>]))((?:[\w~]+(?:<[^<>;{}()]*>)?::)*(?:operator\s*(?:\(\)|\[\]|[^\s\w(]+|\w+)|~?\w+))\s*(?=\()")
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "sizeof", "alignas", "decltype", "noexcept", "__declspec", "__attribute__", "throw", "requires", "else", "do", "new", "delete", "static_assert", "defined"}
 
 
 def cpp_chunks(source: str) -> list[Chunk]:
-    """Classes, structs and function definitions, through namespaces; what a syntax error leaves is kept."""
+    """Classes, structs (declared ahead ones, too) and function definitions, at any depth outside of one another.
+
+    What a syntax error leaves is kept.
+    """
     src = Source(source, "cpp")
     code = re.sub(r"(?m)^[ \t]*#(?:[^\n\\]|\\.|\\\n)*", lambda m: re.sub(r"[^\n]", " ", m[0]), src.code)
     src.code, whole = code, src.code
@@ -214,12 +220,18 @@ def cpp_chunks(source: str) -> list[Chunk]:
                 close = re.compile(r"[^;{}]*;").match(code, end)
                 out.append(src.chunk("class", c[1], start, end, doc(start), meta, at))
                 end = close.end() if close else end
+            elif (c := _CPP_AHEAD.match(code, at)) and brace < 0:
+                out.append(src.chunk("class", c[1], start, end if template else c.end(1), doc(start), meta, at))
             elif brace >= 0 and "(" in head and not re.match(r"\s*(?:enum|union)\b", head):
                 name = next((m[1] for m in _CPP_FUNCTION.finditer(head) if m[1] not in _NOT_NAMES and not re.fullmatch(r"[A-Z][A-Z0-9_]*_API", m[1])), None)
                 while end < stop and (m := re.compile(r"\s*,\s*[\w:]+\s*(?=\{)|\s*(?=\{)").match(code, end)) and ":" in head and code[m.end() : m.end() + 1] == "{":
                     end = src.closing(m.end())  # brace initialisers before the body
                 if name and "=" not in re.sub(r"operator[^\w(]+", "", head.split("(")[0]):
                     out.append(src.chunk("function", re.sub(r"\s+", " ", name), start, end, doc(start), meta, at))
+                else:
+                    level(brace + 1, src.closing(brace) - 1, scope)
+            elif brace >= 0:  # unions, initialisers
+                level(brace + 1, src.closing(brace) - 1, scope)
             at = max(end, at + 1)
 
     level(0, len(code), [])
@@ -251,12 +263,19 @@ _TS_DECLARED = {
     "const": re.compile(r"(?:const|let)\s+(?!enum\b)([\w$]+|[\[{])"),
 }
 _TS_SKIP = r"\s*(?:(?:export|declare|default|async)\s+)*"
+_TS_METHOD = re.compile(r"(?:(?:public|private|protected|static|async|override|get|set|accessor)\s+)*\*?\s*(?:[\w$#]+|\[[^\]\n]*\])\s*(?:<[^<>(){};]*>\s*)?(?=\()")
+_TS_FOR = re.compile(r"for\s*(?:await\s*)?\(\s*((?:let|const)\s+([\w$]+|[\[{]))")
+#: What stands before the brace of a class body, of an object, and of a block that a colon precedes.
+_TS_CLASS_BODY = re.compile(r"\bclass\b[^{}();=]*$")
+_TS_OBJECT = re.compile(r"(?:[=(,\[?:]|\breturn|\bexport\s+default)\s*$")
+_TS_CASE = re.compile(r"(?:\bcase\b[^:;{}]*|\bdefault\s*):\s*$")
 
 
 def typescript_chunks(source: str) -> list[Chunk]:
-    """Classes, interfaces, type aliases, functions and every const or let, through namespaces.
+    """Classes, interfaces, type aliases, functions, every const or let, and methods of what is none of these, at any depth.
 
-    Abstract classes and var are not listed. Broken sources give what can still be told apart.
+    Abstract classes and var are not listed, but what they contain is. Broken sources give what
+    can still be told apart.
     """
     src = Source(source, "typescript")
     code = src.code
@@ -268,6 +287,64 @@ def typescript_chunks(source: str) -> list[Chunk]:
                 return _bare(c.text)
         return None
 
+    def unnamed(at: int) -> str:
+        return f"anonymous_function_{src.line(at)}_{src.column(at)}"
+
+    def add(kind: str, name: str, begin: int, end: int, scope: list[str], generic: bool = False) -> None:
+        meta = Metadata(namespace=".".join(scope) or None)
+        if generic:
+            meta.language_specific["is_generic"] = "true"
+        out.append(src.chunk(kind, name, begin, end, doc(begin), meta))
+
+    def bound(m: re.Match, group: int) -> str:
+        """The name that a const binds; a pattern is its own name."""
+        name = m[group]
+        return src.text[m.start(group) : src.closing(m.start(group))] if name in "[{" else name
+
+    def within(at: int, stop: int, scope: list[str]) -> None:
+        """All that has braces in a construct that is no chunk."""
+        i = at
+        while i < stop:
+            if (m := _TS_FOR.match(code, i)) and not (i and (code[i - 1].isalnum() or code[i - 1] in "_$.")):
+                close = src.closing(code.index("(", i))
+                semicolon = code.find(";", m.end(), close)
+                if semicolon > 0:
+                    add("const", bound(m, 2), m.start(1), semicolon + 1, scope)
+                    i = semicolon
+                else:
+                    i = m.end(1)
+            elif code[i] == "{":
+                head = code[at:i]
+                close = src.closing(i)
+                if _TS_CLASS_BODY.search(head):
+                    members(i + 1, close - 1, scope)
+                elif _TS_OBJECT.search(head if head.strip() else code[max(0, i - 40) : i]) and not _TS_CASE.search(head):
+                    members(i + 1, close - 1, scope)
+                else:
+                    level(i + 1, close - 1, scope)
+                i = max(close, i + 1)
+            else:
+                i += 1
+
+    def members(at: int, stop: int, scope: list[str]) -> None:
+        """Methods of a class or an object; what other members contain."""
+        while at < stop:
+            if code[at].isspace() or code[at] in ";,})]":
+                at += 1
+                continue
+            end = at
+            if m := _TS_METHOD.match(code, at):
+                end = src.closing(m.end())
+                if t := re.compile(r"\s*:\s*[^;{}=,]*(?=\{)|\s*(?=\{)").match(code, end):
+                    end = src.closing(t.end())
+                    add("function", unnamed(at), at, end, scope)
+                    at = end
+                    continue
+            while end < stop and code[end] not in ";,\n":
+                end = src.closing(end) if code[end] in OPEN else end + 1
+            within(at, min(end, stop), scope)
+            at = max(end, at + 1)
+
     def level(at: int, stop: int, scope: list[str]) -> None:
         while at < stop:
             if code[at].isspace() or code[at] in ";})],":
@@ -287,13 +364,10 @@ def typescript_chunks(source: str) -> list[Chunk]:
             end = _ts_end(src, begin, stop, found[0] if found else "")
             if found:
                 kind, m = found
-                name = m[1] or f"anonymous_function_{src.line(begin)}_{src.column(begin)}"
-                if name in ("[", "{"):
-                    name = src.text[m.start(1) : src.closing(m.start(1))]
-                meta = Metadata(namespace=".".join(scope) or None)
-                if re.compile(r"\s*<").match(code, m.end()):
-                    meta.language_specific["is_generic"] = "true"
-                out.append(src.chunk(kind, name, begin, end, doc(begin), meta))
+                name = (bound(m, 1) if m[1] else "") or unnamed(begin)
+                add(kind, name, begin, end, scope, bool(re.compile(r"\s*<").match(code, m.end())))
+            else:
+                within(begin, end, scope)
             at = max(end, at + 1)
 
     level(0, len(code), [])
@@ -327,7 +401,7 @@ _CS_KINDS = {"class": "class", "interface": "interface", "record": "class"}
 
 
 def csharp_chunks(source: str) -> list[Chunk]:
-    """Classes, interfaces and records, through block namespaces. Structs and enums are not listed, nor is a file-scoped namespace noted."""
+    """Classes, interfaces and records, at any depth outside of one another. Structs and enums are not listed, nor is a file-scoped namespace noted."""
     src = Source(source, "csharp")
     code = re.sub(r"(?m)^[ \t]*#[^\n]*", lambda m: " " * len(m[0]), src.code)
     src.code = code
@@ -357,7 +431,7 @@ def csharp_chunks(source: str) -> list[Chunk]:
                     language_specific={"kind": kind, **({"partial": "true"} if "partial" in words else {})},
                 )
                 out.append(src.chunk(_CS_KINDS[kind], m[3].lstrip("@"), at, end, doc(at), meta))
-            elif brace >= 0 and not re.compile(r"(?:\[[^\]]*\]\s*)*(?:\w+\s+)*(?:struct|enum)\b").match(code, at):
+            elif brace >= 0:
                 level(brace + 1, end - 1, scope)
             at = max(end, at + 1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from chunkspark.chunkers.base import Chunk, Metadata
-from chunkspark.operators.graph import classify, group_ids
+from chunkspark.operators.graph import classify, grouped
 
 #: Class codes of objects that have a handler.
 GAME_OBJECT, MONO_BEHAVIOUR, INPUT_MANAGER = 1, 114, 13
@@ -40,7 +40,10 @@ def _documents(source: str):
 
 
 def unity_chunks(source: str) -> list[Chunk]:
-    """A chunk per group of graph nodes, its lines the group's place and the next; files that aren't YAML have none."""
+    """A chunk per group of graph elements, boxes and links included, its lines the group's place and the next.
+
+    Files that aren't YAML have none.
+    """
     import yaml
 
     out: list[Chunk] = []
@@ -67,17 +70,10 @@ def _graph_chunks(body, at: int) -> list[Chunk]:
         found = classify(graph.get("elements", []))
     except (ValueError, AttributeError, TypeError):
         return []
-    groups = group_ids(found.nodes, found.boxes, found.edges)
-    place = {n["id"]: g for n, g in zip(found.nodes, groups, strict=True)}
-    members: dict[int, list[dict]] = {}
-    for n, g in zip(found.nodes, groups, strict=True):
-        members.setdefault(g, []).append(n)
-    for e in found.edges:
-        if e["start_id"] in place and e["end_id"] in place:
-            members[place[e["start_id"]]].append(e)
-    out = []
-    for i, g in enumerate(sorted(members)):
-        content = "[" + ", ".join(x["raw_json"] for x in members[g]) + "]"
-        name = str(body.get("m_Name") or "graph")
-        out.append(Chunk("unity_asset", "graph", f"{name}_{at + i}", content, at + i, at + i + 1, None, Metadata()))
-    return out
+    nodes = list({n["id"]: n for n in found.nodes}.values())  # of one id the last element, in the place of the first
+    places = grouped(nodes, found.boxes, found.edges)
+    members: dict[int, list[str]] = {}
+    for elements, groups in zip((nodes, found.edges, found.boxes), (places[0], places[2], places[1]), strict=True):
+        for e, g in zip(elements, groups, strict=True):
+            members.setdefault(g, []).append(e["raw_json"])
+    return [Chunk("unity_asset", "other", "", "[" + ", ".join(own) + "]", at + i, at + i + 1, None, Metadata()) for i, own in enumerate(members.values())]

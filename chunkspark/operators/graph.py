@@ -31,13 +31,21 @@ def classify(elements: list[dict]) -> Elements:
         if "Connection" in kind:
             out.edges.append(common | {"start_id": _ref(e.get("sourceUnit")), "end_id": _ref(e.get("destinationUnit"))})
         elif "GraphGroup" in kind:
-            x, y, w, h = (_number(place.get(k)) for k in ("x", "y", "width", "height"))
-            out.boxes.append(common | {"x_min": x, "y_min": y, "x_max": x + w, "y_max": y + h})
+            out.boxes.append(common | _box(place))
         else:
             out.nodes.append(common | {"id": str(e.get("$id", "")), "guid": str(e.get("guid", "")), "type": kind, "x": _number(place.get("x")), "y": _number(place.get("y"))})
     return out
 
 
+def _box(place: dict) -> dict:
+    """The borders of a box, given as such or as a corner and a size."""
+    if "width" in place or "height" in place:
+        x, y, w, h = (_number(place.get(k)) for k in ("x", "y", "width", "height"))
+        return {"x_min": x, "y_min": y, "x_max": x + w, "y_max": y + h}
+    names = {"x_min": "xMin", "y_min": "yMin", "x_max": "xMax", "y_max": "yMax"}
+    return {k: _number(place.get(v)) for k, v in names.items()}
+
+
 def _ref(unit) -> str:
     return str(unit.get("$ref", "")) if isinstance(unit, dict) else ""
 
@@ -46,38 +54,55 @@ def _number(x) -> float:
     return float(x) if isinstance(x, int | float) else 0.0
 
 
-def group_ids(nodes: list[dict], boxes: list[dict], edges: list[dict], transitive: bool = False) -> list[int]:
-    """Group of each node. Boxes in order move the nodes inside (borders included) to the group of the
-    first of them; edges with both ends present then join whole groups.
+class Labels:
+    """Labels that are joined for good; the smallest of a joined set names it."""
 
-    Without `transitive` a box takes only the nodes inside it, so a node that an earlier box had
-    grouped with them may stay behind.
-    """
-    group, root = list(range(len(nodes))), list(range(len(nodes)))
+    def __init__(self, n: int):
+        self.root = list(range(n))
 
-    def find(a: int) -> int:
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
+    def find(self, a: int) -> int:
+        while self.root[a] != a:
+            self.root[a] = self.root[self.root[a]]
+            a = self.root[a]
         return a
 
-    def join(a: int, b: int) -> None:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
+    def join(self, a: int, b: int) -> None:
+        a, b = self.find(a), self.find(b)
+        self.root[max(a, b)] = min(a, b)
+
 
-    for box in boxes:
-        inside = [i for i, n in enumerate(nodes) if box["x_min"] <= n["x"] <= box["x_max"] and box["y_min"] <= n["y"] <= box["y_max"]]
+def grouped(nodes: list[dict], boxes: list[dict], edges: list[dict], transitive: bool = False) -> tuple[list[int], list[int], list[int]]:
+    """Groups of nodes, boxes and edges. Boxes in order move the nodes inside (borders included), and
+    themselves, to the group of the first of them; edges with both ends present then join whole
+    groups and belong to them. An empty box and a dangling edge are groups of their own.
+
+    Without `transitive` a box takes only the nodes inside it, so a node that an earlier box had
+    grouped with them may stay behind. Of nodes with one id the last counts.
+    """
+    n, m = len(nodes), len(boxes)
+    group, own = list(range(n)), [n + i for i in range(m)]
+    labels = Labels(n + m + len(edges))
+    for k, box in enumerate(boxes):
+        inside = [i for i, x in enumerate(nodes) if box["x_min"] <= x["x"] <= box["x_max"] and box["y_min"] <= x["y"] <= box["y_max"]]
+        if inside:
+            own[k] = group[inside[0]]
         for i in inside[1:]:
             if transitive:
-                join(group[inside[0]], group[i])
+                labels.join(group[inside[0]], group[i])
             else:
                 group[i] = group[inside[0]]
-    place = {n["id"]: i for i, n in enumerate(nodes)}
-    for e in edges:
+    place = {x["id"]: i for i, x in enumerate(nodes)}
+    for k, e in enumerate(edges):
         a, b = place.get(e["start_id"]), place.get(e["end_id"])
         if a is not None and b is not None:
-            join(group[a], group[b])
-    return [find(g) for g in group]
+            labels.join(group[a], group[b])
+            labels.join(group[a], n + m + k)
+    return [labels.find(g) for g in group], [labels.find(g) for g in own], [labels.find(n + m + k) for k in range(len(edges))]
+
+
+def group_ids(nodes: list[dict], boxes: list[dict], edges: list[dict], transitive: bool = False) -> list[int]:
+    """Group of each node, see `grouped`."""
+    return grouped(nodes, boxes, edges, transitive)[0]
 
 
 def in_boxes(nodes: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -1,14 +1,18 @@
 """Tables that change as a whole: vectors, assets and chunks in Parquet.
 
-Plain Parquet has no MERGE. A change writes the new state beside the old one and then moves a
-pointer, a small file that names the current version, so readers see one state or the other.
+Plain Parquet has no MERGE. A change writes the new state beside the old one and then adds an entry
+to a log of versions. Entries are numbered and written once, so readers see one state or the other,
+and of two writers that began from one state the second fails and starts over.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,71 +56,129 @@ def cascade_delete(domains: DataFrame, assets: DataFrame, chunks: DataFrame, gon
     return domains.join(gone.select("id").distinct(), "id", "left_anti"), assets.join(ids, "domain_id", "left_anti"), chunks.join(ids, "domain_id", "left_anti")
 
 
-class Table:
-    """A versioned Parquet table at a path of any Hadoop file system."""
+class Conflict(RuntimeError):
+    """Another commit came first."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], partition_by: list[str] | None = None):
-        self.spark, self.path, self.schema, self.keys, self.partition_by = spark, path.rstrip("/"), schema, keys, partition_by or []
+
+class Versions:
+    """A log in a folder of any Hadoop file system with an atomic rename: entry n says what state n is made of."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
     def _at(self, name: str):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def version(self) -> str | None:
-        system, where = self._at("CURRENT")
-        if not system.exists(where):
-            return None
+    def names(self, folder: str = "") -> list[str]:
+        system, where = self._at(folder) if folder else self._at(".")
+        return sorted(x.getPath().getName() for x in system.listStatus(where)) if system.exists(where) else []
+
+    def exists(self, name: str) -> bool:
+        system, where = self._at(name)
+        return system.exists(where)
+
+    def last(self) -> tuple[int, dict]:
+        """(number, content) of the last entry; (0, {}) before the first."""
+        numbers = [n for n in self.names("log") if n.isdigit()]
+        if not numbers:
+            return 0, {}
+        system, where = self._at(f"log/{numbers[-1]}")
         stream = system.open(where)
         try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+            return int(numbers[-1]), json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def read(self) -> DataFrame:
-        """The current state, empty before the first commit."""
-        version = self.version()
+    def commit(self, after: int, content: dict) -> int:
+        """Add the entry that follows number `after`; Conflict if there is one already."""
+        jvm = self.spark._jvm
+        system, staged = self._at(f"staged-{uuid.uuid4().hex}")
+        out = system.create(staged)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        _, entry = self._at(f"log/{after + 1:020d}")
+        system.mkdirs(entry.getParent())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(entry.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(staged, entry, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
+            system.delete(staged, False)
+            if "FileAlreadyExists" in str(e.java_exception.getClass()):
+                raise Conflict(f"{self.path}: version {after + 1} is there already") from e
+            raise
+        return after + 1
+
+    def remove(self, name: str) -> None:
+        system, where = self._at(name)
+        system.delete(where, True)
+
+
+class Table:
+    """A versioned Parquet table at a path of any Hadoop file system with an atomic rename."""
+
+    #: How often a change starts over when another commit comes first.
+    TRIES = 5
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], partition_by: list[str] | None = None):
+        self.spark, self.path, self.schema, self.keys, self.partition_by = spark, path.rstrip("/"), schema, keys, partition_by or []
+        self.versions = Versions(spark, self.path)
+
+    def version(self) -> str | None:
+        return self.versions.last()[1].get("version")
+
+    def _state(self, version: str | None) -> DataFrame:
         if version is None:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
 
+    def read(self) -> DataFrame:
+        """The current state, empty before the first commit."""
+        return self._state(self.version())
+
+    def change(self, make: Callable[[DataFrame], DataFrame]) -> None:
+        """Commit what `make` derives from the current state; starts over if another commit comes first."""
+        for left in reversed(range(self.TRIES)):
+            number, entry = self.versions.last()
+            old = entry.get("version")
+            version = f"v-{uuid.uuid4().hex}"
+            columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+            writer = make(self._state(old)).select(*columns).write
+            try:
+                (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{version}")
+                self.versions.commit(number, {"version": version})
+            except Conflict:
+                self.versions.remove(version)
+                if not left:
+                    raise
+                continue
+            for name in self.versions.names():
+                if name.startswith("v-") and name not in (old, version):
+                    self._sweep(name)
+            return
+
+    def _sweep(self, name: str) -> None:
+        """Delete a state that no entry of the last two names. Others may be about to commit theirs, so young ones stay."""
+        system, where = self.versions._at(name)
+        age = self.spark._jvm.java.lang.System.currentTimeMillis() - system.getFileStatus(where).getModificationTime()
+        if age > 24 * 3600 * 1000:
+            self.versions.remove(name)
+
     def replace(self, df: DataFrame) -> None:
-        """Commit a new state; it may have been derived from the current one."""
-        version = f"v-{uuid.uuid4().hex}"
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
-        writer = df.select(*columns).write
-        (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{version}")
-        system, staged = self._at(f"CURRENT-{version}")
-        out = system.create(staged)
-        out.write(bytearray(version.encode()))
-        out.close()
-        _, pointer = self._at("CURRENT")
-        old = self.version()
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), self.spark._jsc.hadoopConfiguration())
-        renames = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        renames[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(staged, pointer, renames)
-        if old is not None:  # readers of the state before the last one are done by now
-            self._sweep({old, version})
-
-    def _sweep(self, keep: set[str]) -> None:
-        system, root = self._at("")
-        for status in system.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("v-") and name not in keep:
-                system.delete(status.getPath(), True)
+        """Commit a new state whatever the current one is."""
+        self.change(lambda _: df)
 
     def upsert(self, new: DataFrame) -> None:
-        self.replace(upsert(self.read(), new, self.keys))
+        self.change(lambda now: upsert(now, new, self.keys))
 
     def insert(self, new: DataFrame) -> None:
-        self.replace(insert(self.read(), new, self.keys))
+        self.change(lambda now: insert(now, new, self.keys))
 
     def update(self, new: DataFrame) -> None:
-        self.replace(update(self.read(), new, self.keys))
+        self.change(lambda now: update(now, new, self.keys))
 
     def delete(self, keys: DataFrame) -> None:
-        self.replace(delete(self.read(), keys, self.keys))
+        self.change(lambda now: delete(now, keys, self.keys))
 
     def get(self, keys: DataFrame) -> DataFrame:
         return get(self.read(), keys, self.keys)

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkspark import schema
-from chunkspark.config import EmbeddingConfig, LanguageConfig, PathPatterns
+from chunkspark.config import DomainConfig, EmbeddingConfig, LanguageConfig, PathPatterns
 from chunkspark.operators import store, sync
 from chunkspark.operators.chunk import parse_assets, wrap_chunks
 from chunkspark.operators.embed import embedding
-from chunkspark.sources.files import parseable, scan_files
+from chunkspark.sources.files import parseable, read_files, scan_files
+
+#: Parts that a domain's tables are kept in. A change rewrites those that it touches.
+BUCKETS = 32
 
 
 @dataclass
@@ -23,47 +30,115 @@ class Counts:
     chunks: int
 
 
+class Level:
+    """Assets, chunks or vectors of all domains, or of one."""
+
+    def __init__(self, index: Index, name: str, kind: schema.T.StructType, asset: str):
+        self.index, self.name, self.schema, self.asset = index, name, kind, asset
+
+    def read(self, domain_id: str | None = None) -> DataFrame:
+        domains = self.index.domain_ids() if domain_id is None else [domain_id]
+        paths = [p for d in domains for p in self.paths(d, self.index.versions(d).last()[1])]
+        return self.of(paths)
+
+    def paths(self, domain_id: str, state: dict) -> list[str]:
+        """Folders of a state that hold rows."""
+        log = self.index.versions(domain_id)
+        own = [f"{version}/{self.name}/bucket={b}" for b, version in state.items()]
+        return [f"{log.path}/{p}" for p in own if log.exists(p)]
+
+    def of(self, paths: list[str]) -> DataFrame:
+        spark = self.index.spark
+        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
+
+
 class Index:
-    """Domains, assets, chunks and vectors of a state folder."""
+    """Domains, assets, chunks and vectors of a state folder.
+
+    Each domain has a log of versions. An entry names, for each bucket of assets, the folder that
+    holds its assets, chunks and vectors, so one commit changes all three.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, config: EmbeddingConfig | None = None):
         self.spark, self.config = spark, config or EmbeddingConfig()
-        at = folder.rstrip("/")
-        self.domains = store.Table(spark, f"{at}/domains", schema.DOMAIN, ["id"])
-        self.assets = store.Table(spark, f"{at}/assets", schema.ASSET, ["domain_id", "id"], ["domain_id"])
-        self.chunks = store.Table(spark, f"{at}/chunks", schema.CHUNK, ["domain_id", "id"], ["domain_id"])
+        self.folder = folder.rstrip("/")
+        self.domains = store.Table(spark, f"{self.folder}/domains", schema.DOMAIN, ["id"])
         vectors = schema.T.StructType([*schema.VECTOR.fields, schema.T.StructField("domain_id", schema.T.StringType()), schema.T.StructField("asset_id", schema.T.StringType())])
-        self.vectors = store.Table(spark, f"{at}/vectors", vectors, ["domain_id", "id"], ["domain_id"])
+        self.assets = Level(self, "assets", schema.ASSET, "id")
+        self.chunks = Level(self, "chunks", schema.CHUNK, "asset_id")
+        self.vectors = Level(self, "vectors", vectors, "asset_id")
+
+    def versions(self, domain_id: str) -> store.Versions:
+        return store.Versions(self.spark, f"{self.folder}/state/{quote(domain_id, safe='')}")
 
-    def sync(self, root: str, domain_id: str, patterns: PathPatterns | None = None, ignore: list[str] | None = None, languages: list[LanguageConfig] | None = None) -> Counts:
+    def domain_ids(self) -> list[str]:
+        return [unquote(n) for n in store.Versions(self.spark, f"{self.folder}/state").names()]
+
+    def register(self, domain: DomainConfig) -> None:
+        """Write a domain's row, if it isn't there as it is."""
+        row = self.spark.createDataFrame([(domain.id, domain.name, domain.domain_type, json.dumps(domain.meta))], schema.DOMAIN)
+        if not self.domains.read().intersect(row).take(1):
+            self.domains.upsert(row)
+
+    def sync(self, root: str, domain_id: str, patterns: PathPatterns | None = None, ignore: list | None = None, languages: list[LanguageConfig] | None = None, domain: DomainConfig | None = None) -> Counts:
         """Bring a domain to the state of the files below `root`. Only added and modified files are parsed.
 
         Assets are compared by one full outer join. Assets without chunks are kept with their hash,
-        so they aren't parsed again. Vectors and chunks are committed before assets: after a crash
-        in between the next run repeats the work.
+        so they aren't parsed again. Assets, chunks and vectors change in one commit; a run that
+        ends before it has changed nothing, and one that another commit overtook is a Conflict.
         """
-        seen = scan_files(self.spark, root, domain_id, patterns, ignore)
-        slim = seen.select("id", "domain_id", "asset_hash")
-        stored = self.assets.read().filter(F.col("domain_id") == domain_id)
-        states = sync.diff(stored, slim).persist()
+        self.register(domain or DomainConfig(domain_id, domain_id, "codebase"))
+        log = self.versions(domain_id)
+        number, state = log.last()
+        levels = (self.assets, self.chunks, self.vectors)
+        seen = scan_files(self.spark, root, domain_id, patterns, ignore).persist(StorageLevel.DISK_ONLY)
+        stored = self.assets.of(self.assets.paths(domain_id, state))
+        states = sync.diff(stored, seen.select("id", "domain_id", "asset_hash")).persist(StorageLevel.DISK_ONLY)
+        kept = [seen, states]
         try:
             n = sync.counts(states).first()
+            if not n["dirty"] and not n["deleted"]:
+                return Counts(n["found"], 0, 0, 0)
+            touched = states.filter("state <> 'unchanged'").select("domain_id", "id")
+            bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("string")
+            buckets = [r[0] for r in touched.select(bucket).distinct().collect()]
             changed = states.filter("state in ('added', 'modified')").select("domain_id", "id")
-            stale = states.filter("state in ('modified', 'deleted')").select("domain_id", F.col("id").alias("asset_id"))
-            parsed = wrap_chunks(parse_assets(parseable(seen.join(changed, ["domain_id", "id"], "left_semi"), languages))).persist()
-            rows = parsed.select("id", embedding(F.col("content"), self.config).alias("embedding"), "content", F.col("meta").alias("doc_metadata"), "domain_id", "asset_id")
-            key = ["domain_id", "asset_id"]
+            fresh = read_files(seen.join(changed, ["domain_id", "id"], "left_semi"), languages).persist(StorageLevel.DISK_ONLY)
+            parsed = wrap_chunks(parse_assets(parseable(fresh, languages))).persist(StorageLevel.DISK_ONLY)
+            kept += [fresh, parsed]
+            vectors = parsed.select("id", embedding(F.col("content"), self.config).alias("embedding"), "content", F.col("meta").alias("doc_metadata"), "domain_id", "asset_id")
+            new = {
+                "assets": fresh.select("id", "domain_id", "name", "asset_hash", F.to_json(F.struct("file_path")).alias("meta")),
+                "chunks": parsed.select("id", "asset_id", "domain_id", "meta"), "vectors": vectors,
+            }
+            version = f"v-{uuid.uuid4().hex}"
+            old = {b: v for b, v in state.items() if b in buckets}
+            for level in levels:
+                rest = level.of(level.paths(domain_id, old))
+                gone = touched.withColumnRenamed("id", level.asset)
+                rows = store.delete(rest, gone, ["domain_id", level.asset]).unionByName(new[level.name])
+                columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in level.schema.fields]
+                own = F.pmod(F.xxhash64(level.asset), F.lit(BUCKETS)).alias("bucket")
+                rows.select(*columns, own).repartition("bucket").write.partitionBy("bucket").parquet(f"{log.path}/{version}/{level.name}")
             n_chunks = parsed.count()
-            self.vectors.replace(store.delete(self.vectors.read(), stale, key).unionByName(rows))
-            self.chunks.replace(store.delete(self.chunks.read(), stale, key).unionByName(parsed.select("id", "asset_id", "domain_id", "meta")))
-            fresh = seen.join(changed, ["domain_id", "id"], "left_semi").select("id", "domain_id", "name", "asset_hash", F.to_json(F.struct("file_path")).alias("meta"))
-            gone = states.filter("state = 'deleted'").select("domain_id", "id")
-            self.assets.replace(store.upsert(store.delete(self.assets.read(), gone, ["domain_id", "id"]), fresh, ["domain_id", "id"]))
-            parsed.unpersist()
+            try:
+                log.commit(number, state | dict.fromkeys(buckets, version))
+            except store.Conflict:
+                log.remove(version)
+                raise
             return Counts(n["found"], n["dirty"], n["deleted"], n_chunks)
         finally:
-            states.unpersist()
+            for df in kept:
+                df.unpersist()
+
+    def sweep(self, domain_id: str) -> None:
+        """Delete folders that the domain's current state doesn't name. For times without readers or writers."""
+        log = self.versions(domain_id)
+        live = set(log.last()[1].values())
+        for name in log.names():
+            if name.startswith("v-") and name not in live:
+                log.remove(name)
 
     def search_store(self, domain_id: str) -> DataFrame:
-        """The vectors of a domain; its folder alone is read."""
-        return self.vectors.read().filter(F.col("domain_id") == domain_id)
+        """The vectors of a domain; its folders alone are read."""
+        return self.vectors.read(domain_id)

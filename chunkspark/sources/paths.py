@@ -50,11 +50,15 @@ def small_enough(language: Column, n_bytes: Column, languages: list[LanguageConf
     return out
 
 
-def ignore_pattern(rule: str) -> tuple[str, bool]:
-    """(regular expression over paths relative to the root, whether it takes back earlier rules) of an ignore rule."""
+def ignore_pattern(rule: str, folder: str = "") -> tuple[str, bool]:
+    """(regular expression, whether it takes back earlier rules) of an ignore rule in a folder.
+
+    The expression matches a path below the root that the rule names; folders end with a slash.
+    """
     keep = rule.startswith("!")
     rule = rule[1:] if keep else rule
-    folder = rule.endswith("/")
+    rule = rule[1:] if rule.startswith(("\\#", "\\!")) else rule
+    folders_only = rule.endswith("/")
     rule = rule.rstrip("/")
     anchored = "/" in rule
     rule = rule.lstrip("/")
@@ -68,17 +72,34 @@ def ignore_pattern(rule: str) -> tuple[str, bool]:
             out, i = out + "[^/]*", i + 1
         elif rule[i] == "?":
             out, i = out + "[^/]", i + 1
+        elif rule[i] == "[" and (end := rule.find("]", i + 2)) > 0:
+            inside = rule[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
+            out, i = out + "(?!/)[" + ("^" + inside[1:] if inside[0] in "!^" else inside) + "]", end + 1
         else:
+            if rule[i] == "\\" and i + 1 < len(rule):
+                i += 1
             out, i = out + ("\\" + rule[i] if not rule[i].isalnum() and rule[i] not in "_/-" else rule[i]), i + 1
-    return f"^{'' if anchored else '(?:.*/)?'}{out}{'/.*' if folder else '(?:/.*)?'}$", keep
-
-
-def ignored(path: Column, rules: list[str]) -> Column:
-    """Whether ignore rules, last one first, drop a path relative to the root."""
-    out = F.lit(False)
-    for rule in rules:
-        rule = rule.strip()
-        if rule and not rule.startswith("#"):
-            pattern, keep = ignore_pattern(rule)
-            out = F.when(path.rlike(pattern), not keep).otherwise(out)
-    return out
+    base = "".join("\\" + c if not c.isalnum() and c not in "_/-" else c for c in folder) + "/" if folder else ""
+    return f"^{base}{'' if anchored else '(?:.*/)?'}{out}{'/' if folders_only else '/?'}$", keep
+
+
+def ignored(path: Column, rules: list) -> Column:
+    """Whether ignore rules drop a path relative to the root. A rule is a line, or (folder, line).
+
+    Of the rules that name a file or folder the last one counts. What lies below an ignored folder
+    is ignored, whatever rules say of it.
+    """
+    parts = F.split(path, "/")
+    n = F.size(parts)
+    own = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i < n, "/").otherwise("")))
+
+    def drops(entry: Column) -> Column:
+        out = F.lit(False)
+        for folder, rule in (("", r) if isinstance(r, str) else r for r in rules):
+            rule = rule.strip()
+            if rule and not rule.startswith("#"):
+                pattern, keep = ignore_pattern(rule, folder)
+                out = F.when(entry.rlike(pattern), not keep).otherwise(out)
+        return out
+
+    return F.exists(own, drops) if rules else F.lit(False)

@@ -101,6 +101,36 @@ def test_typescript():
     assert [c.name for c in chunks("typescript", "class Good {}\nclass Bad {")] == ["Good", "Bad"]
 
 
+def test_typescript_below_other_constructs():
+    source = """abstract class A { m() { const no = 1; } abstract n(): void; p = { q() { return 1 } }; get z(): number { return 2 } }
+if (x) { const y = 1 } else { function f() {} }
+describe("a", () => { let inner = 2; class K {} });
+for (let i = 0; i < 3; i++) { const body = i; }
+for (const e of list) { run(e) }
+var o = { m() {}, k: function () { const deep = 3; } };
+switch (x) { case 1: { const c = 4 } }
+export default { data() { return {} } };
+"""
+    assert brief("typescript", source) == [
+        ("function", "anonymous_function_0_19", 0, 0), ("function", "anonymous_function_0_67", 0, 0), ("function", "anonymous_function_0_87", 0, 0),
+        ("const", "y", 1, 1), ("function", "f", 1, 1), ("const", "inner", 2, 2), ("class", "K", 2, 2), ("const", "i", 3, 3), ("const", "body", 3, 3),
+        ("function", "anonymous_function_5_10", 5, 5), ("const", "deep", 5, 5), ("const", "c", 6, 6), ("function", "anonymous_function_7_17", 7, 7),
+    ]
+
+
+def test_cpp_below_other_constructs():
+    source = """union U { struct P { int x; }; int y; };
+class Ahead;
+template <class T> class Later;
+auto f = [](int a) { struct Local { int z; }; return a; };
+extern "C" { struct Q { }; int g(void) { return 1; } }
+enum class E { A };
+struct stat buffer;
+"""
+    assert [(c.type, c.name) for c in chunks("cpp", source)] == [("class", "P"), ("class", "Ahead"), ("class", "Later"), ("class", "Local"), ("class", "Q"), ("function", "g"), ("class", "stat")]
+    assert chunks("cpp", source)[1].content == "class Ahead" and chunks("cpp", source)[2].content == "template <class T> class Later;"
+
+
 CS = '''using System;
 namespace A.B {
     /// <summary>Does.</summary>
@@ -121,11 +151,11 @@ record struct Q { }
 
 def test_csharp():
     found = chunks("csharp", CS)
-    assert [(c.type, c.name) for c in found] == [("class", "C"), ("interface", "I"), ("class", "R"), ("class", "Q")]
+    assert [(c.type, c.name) for c in found] == [("class", "C"), ("interface", "I"), ("class", "R"), ("class", "InStruct"), ("class", "Q")]
     c = found[0]
     assert c.docstring == "/// <summary>Does.</summary>\n// more" and c.metadata.namespace == "A.B"
     assert c.metadata.is_abstract and c.metadata.visibility == "public" and c.metadata.language_specific == {"kind": "class", "partial": "true"}
-    assert found[2].content == "internal record R(int X, int Y);" and found[3].metadata.namespace is None
+    assert found[2].content == "internal record R(int X, int Y);" and found[3].metadata.namespace == "A.B" and found[4].metadata.namespace is None
 
 
 UNITY = '''%YAML 1.1
@@ -153,11 +183,26 @@ MonoBehaviour:
 
 def test_unity():
     found = chunks("unity_asset", UNITY)
-    assert [(c.name, c.start_line, c.end_line) for c in found] == [("flow_0", 0, 1), ("flow_1", 1, 2)]
-    assert found[0].content.count("$type") == 3 and '"$id": "3"' in found[1].content
+    assert [(c.name, c.start_line, c.end_line) for c in found] == [("", 0, 1), ("", 1, 2), ("", 2, 3)]
+    assert found[0].content.count("$type") == 3 and '"$id": "3"' in found[1].content and '"$ref": "9"' in found[2].content
     assert chunks("unity_asset", "a: [1") == []
 
 
+def test_unity_boxes():
+    """Boxes are elements of their group, given by borders or by a corner and a size; an empty one stands alone."""
+    import json
+
+    elements = [
+        {"$type": "Unit", "$id": "1", "position": {"x": 1, "y": 1}}, {"$type": "Unit", "$id": "2", "position": {"x": 9, "y": 9}},
+        {"$type": "Bolt.GraphGroup", "guid": "g", "position": {"xMin": 0, "yMin": 0, "xMax": 9, "yMax": 9}},
+        {"$type": "Bolt.GraphGroup", "guid": "h", "position": {"x": 50, "y": 50, "width": 5, "height": 5}},
+        {"$type": "Unit", "$id": "2", "position": {"x": 5, "y": 5}, "later": True},
+    ]
+    text = json.dumps({"graph": {"elements": elements}})
+    found = chunks("unity_asset", f"--- !u!114 &1\nMonoBehaviour:\n  _data:\n    _json: '{text}'\n".replace("--- !u!", "%TAG !u! tag:unity3d.com,2011:\n--- !u!", 1))
+    assert [json.loads(c.content) for c in found] == [[elements[0], elements[4], elements[2]], [elements[3]]]
+
+
 def test_boxes_are_not_transitive():
     nodes = [{"id": str(i), "x": float(i), "y": 0.0} for i in (1, 2, 3)]
 

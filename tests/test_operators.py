@@ -171,6 +171,62 @@ def test_index_sync_and_retrieval(spark, tmp_path):
     assert "a.py:0-1" in search_tool({"code": index.search_store("code")}, "river", 3, index.config)[0]
 
 
+def test_a_broken_sync_changes_nothing(spark, tmp_path, monkeypatch):
+    src = tmp_path / "src"
+    src.mkdir()
+    for name in "ab":
+        (src / f"{name}.py").write_text(f"def {name}():\n    return 1\n")
+    index = Index(spark, f"file://{tmp_path}/state", EmbeddingConfig(dimension=8))
+
+    def rows():
+        return [sorted(r.id for r in level.read().collect()) for level in (index.assets, index.chunks, index.vectors)]
+
+    commit = store.Versions.commit
+
+    def fails(log, after, content):
+        if "/state/" in log.path:
+            raise OSError("lost")
+        return commit(log, after, content)
+
+    for step in range(3):
+        before = rows()
+        monkeypatch.setattr(store.Versions, "commit", fails)
+        with pytest.raises(OSError, match="lost"):
+            index.sync(str(src), "code")
+        assert rows() == before
+        monkeypatch.setattr(store.Versions, "commit", commit)
+        index.sync(str(src), "code")
+        assert rows() == [["a.py", "b.py"][: 2 - (step > 1)], *[["a.py:0-1", "b.py:0-1"][: 2 - (step > 1)]] * 2]
+        if step == 0:
+            (src / "a.py").write_text("def a():\n    return 2\n")
+        else:
+            (src / "b.py").unlink(missing_ok=True)
+    other = Index(spark, f"file://{tmp_path}/state", EmbeddingConfig(dimension=8))
+    other.sync(str(src), "b/../c")
+    assert sorted(other.domain_ids()) == ["b/../c", "code"] and {r.id for r in other.domains.read().collect()} == {"b/../c", "code"}
+    index.sweep("code")
+    assert rows()[0] == ["a.py", "a.py"]
+
+
+def test_the_second_of_two_writers_starts_over(spark, tmp_path):
+    schema = spark.createDataFrame([], "id long, v string").schema
+    t = store.Table(spark, f"file://{tmp_path}/t", schema, ["id"])
+    t.insert(spark.createDataFrame([(1, "a")], schema))
+    seen = []
+
+    def make(now):
+        if not seen:
+            t.upsert(spark.createDataFrame([(2, "other")], schema))
+        seen.append(now.count())
+        return store.upsert(now, spark.createDataFrame([(3, "own")], schema), ["id"])
+
+    t.change(make)
+    assert seen == [1, 2] and {tuple(r) for r in t.read().collect()} == {(1, "a"), (2, "other"), (3, "own")}
+    number, _ = t.versions.last()
+    with pytest.raises(store.Conflict):
+        t.versions.commit(number - 1, {})
+
+
 def test_answers_and_progress(spark):
     rows = spark.createDataFrame([(1, "p", ["c"]), (2, "p", []), (3, "boom", ["c"])], "qid int, prompt string, retrieved_context array<string>")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from chunkspark.config import PathPatterns
 from chunkspark.sources.domains import Registry, discover_domains, domains_frame, last_wins
-from chunkspark.sources.files import parseable, scan_files
+from chunkspark.sources.files import GIT, list_files, parseable, scan_files
 from chunkspark.sources.paths import ignored, language_of, small_enough, wanted
 
 PATHS = ["foo.py", "./foo.py", "a/b.py", "a/tests/b.py", "tests/b.py", "venv/x.py", "a/venv/x/y.ts", "a/b\nc.py", "/r/a.CPP", "x.[a].py"]
@@ -35,6 +35,22 @@ def test_ignore_rules(spark):
     assert column(spark, lambda p: ignored(p, rules), paths) == [True, True, True, True, False, True, False, True]
 
 
+def test_ignored_folders_stay_ignored(spark):
+    paths = ["build/keep.txt", "a/b1.o", "a/b7.o", "a/x[1].o", "sub/own.log", "own.log", "sub/deep/own.log", "a/!odd", "sub/kept.o"]
+    rules = ["build/", "!build/keep.txt", "b[0-4].o", "x\\[1].o", "\\!odd", ("sub", "*.log"), ("sub/deep", "!own.log"), "*.o~", ("sub", "/kept.*"), ("sub", "!kept.o")]
+    assert column(spark, lambda p: ignored(p, rules), paths) == [True, True, False, True, True, False, False, True, False]
+
+
+def test_gitignore_files(spark, tmp_path):
+    for name, text in {".git/HEAD": "ref", ".gitignore": "*.log\nout/\n", "sub/.gitignore": "!keep.log\n/only\n", "a.log": "1", "sub/keep.log": "1", "sub/only": "1", "sub/x/only": "1", "out/a.py": "1", "b.py": "1"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_text(text)
+    found = scan_files(spark, str(tmp_path), "d", PathPatterns(exclude=["*/.git/*"]), GIT)
+    assert sorted(r.id for r in found.collect()) == ["b.py", "sub/keep.log", "sub/x/only"]
+    plan = list_files(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<path:string,length:bigint>" in plan
+
+
 @pytest.fixture
 def tree(tmp_path):
     for name, data in {"a.py": b"def f(): pass\n", "sub/b.ts": b"const x = 1;\n", "sub/bad.py": b"\xff\xfe", "venv/c.py": b"x", "big.cs": b"//" + b"x" * 10, "skip.log": b"x"}.items():
@@ -50,7 +66,7 @@ def test_scan(spark, tree):
     found = {r.id: r for r in scan_files(spark, str(tree), "d", patterns, ["*.log"]).collect()}
     assert set(found) == {"a.py", "sub/b.ts", "sub/bad.py", "big.cs"}
     assert found["a.py"].asset_hash == str(zlib.crc32(b"def f(): pass\n")) and found["sub/b.ts"].name == "b.ts"
-    assert {r.id: r.language for r in parseable(scan_files(spark, str(tree), "d", patterns)).collect()} == {"a.py": "python", "sub/b.ts": "typescript", "big.cs": "csharp"}
+    assert {r.id: r.language for r in parseable(scan_files(spark, str(tree), "d", patterns, contents=True)).collect()} == {"a.py": "python", "sub/b.ts": "typescript", "big.cs": "csharp"}
 
 
 def test_domains(spark, tmp_path):
