@@ -28,9 +28,9 @@ class Chunk:
     docstring: str | None = None
     metadata: Metadata = field(default_factory=Metadata)
 
-    def row(self, asset_id: str, ordinal: int, path: str) -> dict:
+    def row(self, asset_id: str, ordinal: int, path: str, shares_lines: bool = False) -> dict:
         return {
-            "asset_id": asset_id, "ordinal": ordinal, "language": self.language, "type": self.type, "name": self.name,
+            "asset_id": asset_id, "ordinal": ordinal, "shares_lines": shares_lines, "language": self.language, "type": self.type, "name": self.name,
             "content": self.content, "docstring": self.docstring,
             "location": {"file_path": path, "start_line": self.start_line, "end_line": self.end_line},
             "metadata": asdict(self.metadata),

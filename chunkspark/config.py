@@ -1,9 +1,10 @@
-"""Settings of paths, languages, embedding, search and domains."""
+"""Settings of paths, languages, embedding, search, models, stores, logging and domains."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, is_dataclass
 
+# Defaults that an index of the same files must share.
 #: Order in which languages claim a file, with the suffixes of each and whether case matters.
 DEFAULT_LANGUAGES = {
     "python": ((".py",), True),
@@ -40,6 +41,8 @@ class EmbeddingConfig:
     provider: str = "hashing"
     model: str = "signed-words"
     dimension: int = 768
+    #: What questions begin with, for models that tell them from documents.
+    query_prompt: str = ""
 
 
 @dataclass
@@ -59,6 +62,87 @@ class SearchQuery:
     score_threshold: float | None = 0.0
 
 
+@dataclass
+class ModelConfig:
+    """A language model: a name in `operators.chat.MODELS` and what its maker takes."""
+
+    provider: str = "testing"
+    name: str = "offline"
+    system_prompt: str = ""
+    settings: dict = field(default_factory=dict)
+
+
+@dataclass
+class AnalyticsConfig:
+    """Events are kept only if this is on and has a folder."""
+
+    enabled: bool = False
+    folder: str | None = None
+
+
+@dataclass
+class ChatConfig:
+    model: ModelConfig = field(default_factory=ModelConfig)
+    title: str = "Code assistant"
+    placeholder: str = "Ask about the code"
+    analytics: AnalyticsConfig = field(default_factory=AnalyticsConfig)
+
+
+@dataclass
+class StoreConfig:
+    """Where vectors are: a provider in `operators.vectors.STORES`, its folder or URL, and how it searches."""
+
+    provider: str = "parquet"
+    location: str = "./state"
+    table: str = "vectors"
+    metric: str = "l2"
+    prefilter: bool = False
+    content_field: str | None = None
+    options: dict = field(default_factory=dict)
+
+
+@dataclass
+class LoggingConfig:
+    level: str = "INFO"
+    json_lines: bool = False
+    to_stderr: bool = True
+    file: str | None = None
+
+    def apply(self, name: str = "chunkspark") -> None:
+        """Set up the package's logger."""
+        import json
+        import logging
+
+        class Lines(logging.Formatter):
+            def format(self, record):
+                return json.dumps({"time": self.formatTime(record), "level": record.levelname, "name": record.name, "message": record.getMessage()})
+
+        handlers = ([logging.StreamHandler()] if self.to_stderr else []) + ([logging.FileHandler(self.file, delay=True)] if self.file else [])
+        logger = logging.getLogger(name)
+        logger.setLevel(self.level)
+        logger.handlers = handlers
+        for h in handlers:
+            h.setFormatter(Lines() if self.json_lines else logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+
+
+def settings(kind, path: str | None = None, given: dict | None = None):
+    """A settings object from the fields that `given` has, then those of a YAML file, then defaults; unknown fields are an error."""
+    from pathlib import Path
+
+    import yaml
+
+    raw = (yaml.safe_load(Path(path).read_text()) if path and Path(path).exists() else None) or {}
+    values = raw | (given or {})
+    known = {f.name: f for f in fields(kind)}
+    if unknown := set(values) - set(known):
+        raise ValueError(f"{kind.__name__} has no {', '.join(sorted(unknown))}")
+    for name, value in values.items():
+        factory = known[name].default_factory
+        if isinstance(value, dict) and isinstance(factory, type) and is_dataclass(factory):
+            values[name] = settings(factory, given=value)
+    return kind(**values)
+
+
 @dataclass
 class RateLimit:
     requests: int = 2

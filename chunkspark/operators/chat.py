@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkspark.config import ModelConfig
+from chunkspark.sources.domains import Registry
+
 STATUSES = ("STARTING", "POLISHING", "RETRIEVING", "ANSWERING", "COMPLETE", "ERROR")
 #: What a question goes through; polishing is declared but never reported.
 STEPS = ("STARTING", "RETRIEVING", "ANSWERING", "COMPLETE")
@@ -15,6 +18,23 @@ NO_CONTEXT = "No relevant code was found for this question."
 FAILED = "The answer could not be generated."
 
 
+#: Makers of language models by provider: called with a ModelConfig, they give a callable from prompt to answer.
+MODELS = Registry("language model")
+
+
+@MODELS.register("testing")
+def offline(config: ModelConfig) -> Callable[[str], str]:
+    """A model that asks nobody."""
+    return lambda prompt: config.settings.get("answer", "No model is connected.")
+
+
+def model_of(config: ModelConfig | None = None) -> Callable[[str], str]:
+    """The model of a config, with its system prompt before each prompt."""
+    c = config or ModelConfig()
+    model = MODELS.get(c.provider)(c)
+    return (lambda prompt: model(f"{c.system_prompt}\n\n{prompt}")) if c.system_prompt else model
+
+
 def assemble_context(rows: DataFrame, key: str, order: str, text: Column) -> DataFrame:
     """key, prompt: the texts of a key in order, one under another."""
     own = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +26,8 @@ def parse_assets(assets: DataFrame) -> DataFrame:
                     found = CHUNKERS.get(language)(source)
                 except Exception:  # one bad file must not end the scan  # noqa: BLE001
                     found = []
-                rows += [c.row(asset, i, path) | {"domain_id": domain} for i, c in enumerate(found)]
+                lines = Counter((c.start_line, c.end_line) for c in found)
+                rows += [c.row(asset, i, path, lines[c.start_line, c.end_line] > 1) | {"domain_id": domain} for i, c in enumerate(found)]
             yield pd.DataFrame(rows, columns=[*CODE_CHUNK.names, "domain_id"])
 
     schema = T.StructType([*CODE_CHUNK.fields, T.StructField("domain_id", T.StringType())])
@@ -34,10 +37,8 @@ def parse_assets(assets: DataFrame) -> DataFrame:
 def wrap_chunks(parsed: DataFrame) -> DataFrame:
     """Chunk rows: id path:start-end with the ordinal added where declarations share their lines, and meta as JSON."""
     loc = location(F.col("asset_id"), F.col("location.start_line"), F.col("location.end_line"))
-    own = Window.partitionBy("domain_id", "asset_id", "location.start_line", "location.end_line")
-    twins = F.count("*").over(own) > 1
     meta = F.to_json(F.struct("content", "location.file_path", "location.start_line", "location.end_line", F.col("name").alias("chunk_name"), "docstring"))
-    return parsed.select(F.when(twins, F.concat(loc, F.lit("#"), F.col("ordinal").cast("string"))).otherwise(loc).alias("id"), "asset_id", "domain_id", "content", meta.alias("meta"))
+    return parsed.select(F.when(F.col("shares_lines"), F.concat(loc, F.lit("#"), F.col("ordinal").cast("string"))).otherwise(loc).alias("id"), "asset_id", "domain_id", "content", meta.alias("meta"))
 
 
 def line_chunks(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,39 +16,54 @@ from chunkspark.config import EmbeddingConfig
 from chunkspark.sources.domains import Registry
 
 PROVIDERS = Registry("embedding provider")
-#: What a text is embedded for; questions may carry a prompt of their own.
-QUERY_PROMPT = "query: "
+#: What texts are embedded as.
+MODES = ("document", "query")
 
 
 @PROVIDERS.register("hashing")
 def hashing(config: EmbeddingConfig) -> Callable[[list[str], str], np.ndarray]:
     """Unit vectors: each word adds +1 or -1 to one dimension, by CRC-32. Stable across runs and machines."""
-    import re
-    import zlib
+    known: dict[str, tuple[int, float]] = {}  # words met, with their dimension and sign
+
+    def place(word: str) -> tuple[int, float]:
+        if word not in known:
+            if len(known) > 200_000:
+                known.clear()
+            h = zlib.crc32(word.encode())
+            known[word] = h % config.dimension, 1.0 if h >> 31 else -1.0
+        return known[word]
 
     def embed(texts: list[str], mode: str) -> np.ndarray:
         out = np.zeros((len(texts), config.dimension), np.float32)
         for i, text in enumerate(texts):
-            for word in re.findall(r"\w+", text.lower()):
-                h = zlib.crc32(word.encode())
-                out[i, h % config.dimension] += 1.0 if h >> 31 else -1.0
+            if words := Counter(re.findall(r"\w+", text.lower())):
+                at, sign = zip(*map(place, words), strict=True)
+                out[i] = np.bincount(at, np.array(sign) * np.array(list(words.values())), config.dimension)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length > 0, length, 1)
 
     return embed
 
 
+def prompted(texts: list[str], config: EmbeddingConfig, mode: str) -> list[str]:
+    """Texts as the provider gets them: queries begin with the config's prompt."""
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode!r}; known: {', '.join(MODES)}")
+    return [config.query_prompt + t for t in texts] if mode == "query" and config.query_prompt else texts
+
+
 def embed_texts(texts: str | list[str], config: EmbeddingConfig | None = None, mode: str = "document"):
     """Vectors of texts on the driver; one text gives one vector. Empty input and unknown providers are errors."""
     config = config or EmbeddingConfig()
     if not texts:
         raise ValueError("nothing to embed")
+    given = prompted([texts] if isinstance(texts, str) else list(texts), config, mode)
     try:
         provider = PROVIDERS.get(config.provider)
     except KeyError as e:
         raise ValueError(str(e)) from e
     try:
-        out = provider(config)([texts] if isinstance(texts, str) else texts, mode)
+        out = provider(config)(given, mode)
     except Exception as e:
         raise RuntimeError(f"{config.provider} failed: {e}") from e
     return out[0].tolist() if isinstance(texts, str) else out.tolist()
@@ -55,11 +73,12 @@ def embedding(text: Column, config: EmbeddingConfig | None = None, mode: str = "
     """An array<float> column. The provider is made once per task and sees Arrow batches."""
     config = config or EmbeddingConfig()
     PROVIDERS.get(config.provider)
+    prompted([], config, mode)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         provider = PROVIDERS.get(config.provider)(config)
         for texts in batches:
-            yield pd.Series(list(provider([t or "" for t in texts], mode)), index=texts.index)
+            yield pd.Series(list(provider(prompted([t or "" for t in texts], config, mode), mode)), index=texts.index)
 
     return run(text)

@@ -36,6 +36,12 @@ def rate_limit(requests: DataFrame, key: str = "user_id", event: str = "event_id
     a key at one time go by event id. Keys are sorted by time in their partition and folded as
     they stream by, so a task holds one window and not a key's requests.
     """
+    done = _folded(requests, key, event, ts, limit, window_seconds)
+    return done.select(F.col("event").alias(event), F.col("key").alias(key), "limited")
+
+
+def _folded(requests: DataFrame, key: str, event: str, ts: str, limit: int, window_seconds: int) -> DataFrame:
+    """event, key, us, limited per request."""
     width = window_seconds * 1_000_000
 
     def fold(batches):
@@ -46,21 +52,21 @@ def rate_limit(requests: DataFrame, key: str = "user_id", event: str = "event_id
                 if k != own and not (pd.isna(k) and own is None):
                     own, window = None if pd.isna(k) else k, Window(limit, width)
                 out.append(window.limited(us))
-            yield pd.DataFrame({"event": pdf["event"], "key": pdf["key"], "limited": out})
+            yield pdf.assign(limited=out)
 
     rows = requests.select(F.col(event).alias("event"), F.col(key).alias("key"), micros(F.col(ts)).alias("us"))
     kinds = dict(rows.dtypes)
     ordered = rows.repartition("key").sortWithinPartitions("key", "us", "event")
-    done = ordered.mapInPandas(fold, f"event {kinds['event']}, key {kinds['key']}, limited boolean")
-    return done.select(F.col("event").alias(event), F.col("key").alias(key), "limited")
+    return ordered.mapInPandas(fold, f"event {kinds['event']}, key {kinds['key']}, us bigint, limited boolean")
 
 
 def remaining(requests: DataFrame, now: Column, key: str = "user_id", event: str = "event_id", ts: str = "ts", limit: int = 2, window_seconds: int = 60) -> DataFrame:
-    """key, seconds until the oldest recorded request of the key's window expires at `now`; 0 if there is none."""
-    limited = rate_limit(requests, key, event, ts, limit, window_seconds).filter("not limited").select(event)
-    passed = requests.join(limited, event)
-    age = (micros(now) - micros(F.col(ts))) / 1_000_000
-    live = passed.withColumn("_age", age).filter((F.col("_age") >= 0) & (F.col("_age") < window_seconds))
-    oldest = live.groupBy(key).agg(F.max("_age").alias("_age"))
-    keys = requests.select(key).distinct()
-    return keys.join(oldest, key, "left").select(key, F.greatest(F.lit(0.0), F.coalesce(F.lit(float(window_seconds)) - F.col("_age"), F.lit(0.0))).alias("seconds"))
+    """key, seconds until the oldest recorded request of the key's window expires at `now`; 0 if there is none.
+
+    One shuffle, by key: the times come from the fold, and counts by key keep its partitioning.
+    """
+    age = (micros(now) - F.col("us")) / 1_000_000
+    live = ~F.col("limited") & (age >= 0) & (age < window_seconds)
+    oldest = _folded(requests, key, event, ts, limit, window_seconds).groupBy("key").agg(F.max(F.when(live, age)).alias("age"))
+    left = F.greatest(F.lit(0.0), F.coalesce(F.lit(float(window_seconds)) - F.col("age"), F.lit(0.0)))
+    return oldest.select(F.col("key").alias(key), left.alias("seconds"))

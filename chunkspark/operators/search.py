@@ -141,3 +141,60 @@ def approximate_nearest(store: DataFrame, query, k: int = 10, id_col: str = "id"
     model, rows = lsh_model(store, embedding, tables=tables)
     found = model.approxNearestNeighbors(rows, Vectors.dense([float(x) for x in query]), k, distCol="dist")
     return found.select(id_col, "dist").withColumn("score", V.score(F.col("dist")))
+
+
+#: Cells of an approximate index, cells that a query looks into, rows that centres are fitted on, and rounds of fitting.
+CELLS_OF_INDEX, PROBES, FIT_ROWS, FIT_ROUNDS = 64, 16, 20_000, 12
+
+
+def fit_centres(store: DataFrame, id_col: str = "id", embedding: str = "embedding", cells: int = CELLS_OF_INDEX, seed: int = 5) -> np.ndarray:
+    """Centres of cells, by k-means over at most FIT_ROWS rows chosen by a hash of the id; the index takes every row."""
+    some = store.filter(F.col(embedding).isNotNull()).select(id_col, embedding).orderBy(F.xxhash64(id_col), id_col).limit(FIT_ROWS)
+    x = np.array([r[1] for r in some.collect()], np.float64)
+    if not len(x):
+        return np.zeros((0, 0))
+    draw = np.random.default_rng(seed)
+    centres = x[draw.choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(FIT_ROUNDS):
+        own = np.argmin(_distances(x, centres, "l2"), axis=1)
+        n = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def with_cells(store: DataFrame, centres: np.ndarray, embedding: str = "embedding") -> DataFrame:
+    """`store` with `cell`, the nearest centre: a column to partition an index by. Rows without a vector have none."""
+
+    @F.pandas_udf("int")
+    def cell(vectors: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(vectors), dtype="Int32", index=vectors.index)
+        full = vectors.notna()
+        if full.any() and len(centres):
+            out[full] = np.argmin(_distances(np.stack(vectors[full].to_numpy()).astype(np.float64), centres, "l2"), axis=1)
+        return out
+
+    return store.withColumn("cell", cell(F.col(embedding)))
+
+
+def approximate_batch(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 10, probes: int = PROBES, id_col: str = "id", embedding: str = "embedding", query_id: str = "qid", query_vector: str = "qv") -> DataFrame:
+    """About the k nearest rows by L2 to each query: qid, id, dist, rk. `index` is a store `with_cells`.
+
+    A query looks into the `probes` cells nearest to it. Queries meet the rows of a cell by a join
+    that Spark splits where it is skewed; pairs are distances of a cell's rows to those queries that
+    look into it.
+    """
+    @F.pandas_udf("array<int>")
+    def nearest_cells(vectors: pd.Series) -> pd.Series:
+        d = _distances(np.stack(vectors.to_numpy()).astype(np.float64), centres, "l2")
+        return pd.Series(list(np.argsort(d, axis=1)[:, :probes].astype(np.int32)), index=vectors.index)
+
+    if not len(centres):
+        return batch_nearest(index, queries, k, "l2", id_col, embedding, query_id, query_vector)
+    asked = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).alias("qv"))
+    asked = asked.select("qid", "qv", F.explode(nearest_cells("qv")).alias("cell"))
+    pairs = asked.join(index.select(F.col(id_col).alias("id"), F.col(embedding).alias("v"), "cell"), "cell")
+    scored = pairs.select("qid", "id", V.l2(F.col("v"), F.col("qv")).alias("dist"))
+    w = Window.partitionBy("qid").orderBy("dist", "id")
+    return scored.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)

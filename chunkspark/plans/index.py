@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from urllib.parse import quote, unquote
 
 from pyspark import StorageLevel
@@ -12,11 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkspark import schema
-from chunkspark.config import DomainConfig, EmbeddingConfig, LanguageConfig, PathPatterns
+from chunkspark.config import DomainConfig, EmbeddingConfig, LanguageConfig, PathPatterns, default_languages
 from chunkspark.operators import store, sync
-from chunkspark.operators.chunk import parse_assets, wrap_chunks
-from chunkspark.operators.embed import embedding
-from chunkspark.sources.files import parseable, read_files, scan_files
+from chunkspark.plans.processors import Processor, create_processor
 
 #: Parts that a domain's tables are kept in. A change rewrites those that it touches.
 BUCKETS = 32
@@ -80,18 +78,27 @@ class Index:
         if not self.domains.read().intersect(row).take(1):
             self.domains.upsert(row)
 
-    def sync(self, root: str, domain_id: str, patterns: PathPatterns | None = None, ignore: list | None = None, languages: list[LanguageConfig] | None = None, domain: DomainConfig | None = None) -> Counts:
-        """Bring a domain to the state of the files below `root`. Only added and modified files are parsed.
+    def sync(self, root: str, domain_id: str, patterns: PathPatterns | None = None, ignore: list | str | None = None, languages: list[LanguageConfig] | None = None) -> Counts:
+        """Bring a codebase domain to the state of the files below `root`."""
+        p = patterns or PathPatterns()
+        own = {c.name: {f.name: getattr(c, f.name) for f in fields(c)} for c in languages or []}
+        off = {c.name: {"enabled": False} for c in default_languages()} if languages is not None else {}
+        settings = {"include": p.include, "exclude": p.exclude, "ignore": ignore or [], "languages": off | own}
+        return self.run(create_processor(DomainConfig(domain_id, domain_id, "codebase", meta={"directory_path": root}, processor=settings), self.config))
+
+    def run(self, processor: Processor) -> Counts:
+        """Bring a domain to the state of its source. Only added and modified assets are loaded and parsed.
 
         Assets are compared by one full outer join. Assets without chunks are kept with their hash,
         so they aren't parsed again. Assets, chunks and vectors change in one commit; a run that
         ends before it has changed nothing, and one that another commit overtook is a Conflict.
         """
-        self.register(domain or DomainConfig(domain_id, domain_id, "codebase"))
+        domain_id = processor.domain.id
+        self.register(processor.domain)
         log = self.versions(domain_id)
         number, state = log.last()
         levels = (self.assets, self.chunks, self.vectors)
-        seen = scan_files(self.spark, root, domain_id, patterns, ignore).persist(StorageLevel.DISK_ONLY)
+        seen = processor.source.scan(self.spark).persist(StorageLevel.DISK_ONLY)
         stored = self.assets.of(self.assets.paths(domain_id, state))
         states = sync.diff(stored, seen.select("id", "domain_id", "asset_hash")).persist(StorageLevel.DISK_ONLY)
         kept = [seen, states]
@@ -103,21 +110,21 @@ class Index:
             bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("string")
             buckets = [r[0] for r in touched.select(bucket).distinct().collect()]
             changed = states.filter("state in ('added', 'modified')").select("domain_id", "id")
-            fresh = read_files(seen.join(changed, ["domain_id", "id"], "left_semi"), languages).persist(StorageLevel.DISK_ONLY)
-            parsed = wrap_chunks(parse_assets(parseable(fresh, languages))).persist(StorageLevel.DISK_ONLY)
+            fresh = processor.source.load(seen.join(changed, ["domain_id", "id"], "left_semi")).persist(StorageLevel.DISK_ONLY)
+            parsed = processor.parser.parse(fresh).persist(StorageLevel.DISK_ONLY)
             kept += [fresh, parsed]
-            vectors = parsed.select("id", embedding(F.col("content"), self.config).alias("embedding"), "content", F.col("meta").alias("doc_metadata"), "domain_id", "asset_id")
             new = {
-                "assets": fresh.select("id", "domain_id", "name", "asset_hash", F.to_json(F.struct("file_path")).alias("meta")),
-                "chunks": parsed.select("id", "asset_id", "domain_id", "meta"), "vectors": vectors,
+                "assets": fresh.select("id", "domain_id", "name", "asset_hash", "meta"),
+                "chunks": parsed.select("id", "asset_id", "domain_id", "meta"),
+                "vectors": processor.indexer.index(parsed),
             }
             version = f"v-{uuid.uuid4().hex}"
             old = {b: v for b, v in state.items() if b in buckets}
             for level in levels:
                 rest = level.of(level.paths(domain_id, old))
                 gone = touched.withColumnRenamed("id", level.asset)
-                rows = store.delete(rest, gone, ["domain_id", level.asset]).unionByName(new[level.name])
                 columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in level.schema.fields]
+                rows = store.delete(rest, gone, ["domain_id", level.asset]).unionByName(new[level.name].select(*columns))
                 own = F.pmod(F.xxhash64(level.asset), F.lit(BUCKETS)).alias("bucket")
                 rows.select(*columns, own).repartition("bucket").write.partitionBy("bucket").parquet(f"{log.path}/{version}/{level.name}")
             n_chunks = parsed.count()

@@ -71,16 +71,8 @@ for _name, _metric, _dist in (
     QUERIES[_name], SQL[_name] = _knn(_metric, _dist)
 
 
-@query("w1_batch_knn", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), r AS (SELECT a.vec_id AS qid, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, b.v), 6), b.vec_id) AS rk FROM e a, e b WHERE a.vec_id < 20) SELECT * FROM r WHERE rk <= 5")
+@query("w1_batch_knn", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), r AS (SELECT a.vec_id AS qid, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, b.v), 6), b.vec_id) AS rk FROM e a, e b WHERE a.vec_id % 50 = 0) SELECT * FROM r WHERE rk <= 5")
 def w1_batch_knn(spark, sf_dir):
-    """The five nearest vectors of the first 20 vectors, a fixed case; w1_batch_knn_all asks the whole query set."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    asked = e.filter("id < 20").select(F.col("id").alias("qid"), V.doubles(F.col("embedding")).alias("qv"))
-    return batch_nearest(e, asked, 5).select("qid", F.col("id").alias("vec_id"), "rk")
-
-
-@query("w1_batch_knn_all", "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), r AS (SELECT a.vec_id AS qid, b.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, b.v), 6), b.vec_id) AS rk FROM e a, e b WHERE a.vec_id % 50 = 0) SELECT * FROM r WHERE rk <= 5")
-def w1_batch_knn_all(spark, sf_dir):
     """The five nearest vectors of every vector whose id is divisible by 50, among all rows."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     asked = e.filter("id % 50 = 0").select(F.col("id").alias("qid"), V.doubles(F.col("embedding")).alias("qv"))
@@ -121,6 +113,17 @@ def k4_lsh(spark, sf_dir):
     return approximate_nearest(e, q, 10, "vec_id").select("vec_id", V.settled(F.col("dist")).alias("dist"))
 
 
+@query("k4_cells")
+def k4_cells(spark, sf_dir):
+    """About the ten nearest vectors of every vector whose id is divisible by 50, among all rows."""
+    from chunkspark.operators.search import approximate_batch, fit_centres, with_cells
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    centres = fit_centres(e)
+    asked = e.filter("id % 50 = 0").select(F.col("id").alias("qid"), V.doubles(F.col("embedding")).alias("qv"))
+    return approximate_batch(with_cells(e, centres), centres, asked, 10).select("qid", F.col("id").alias("vec_id"), "rk")
+
+
 @query("f7_distances", "WITH q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, list_transform(qe, lambda x: x::DOUBLE) AS w FROM embeddings, q) SELECT vec_id, round(list_inner_product(v, w), 6) + 0.0 AS dot, round(list_distance(v, w), 6) + 0.0 AS l2 FROM e")
 def f7_distances(spark, sf_dir):
     e, q = table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir)
@@ -138,7 +141,17 @@ def s3_hash(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text_md5"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-@query("s3_crc32")
+def _crc_table() -> str:
+    """The 256 steps of CRC-32 for one byte, from its polynomial."""
+    steps = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        steps.append(str(n))
+    return f"[{', '.join(steps)}]::BIGINT[]"
+
+
+@query("s3_crc32", f"WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), c AS (SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, ({_crc_table()})[(xor(c, x) & 255) + 1])) AS c FROM b) SELECT doc_id, xor(c, 4294967295)::VARCHAR AS asset_hash FROM c")
 def s3_crc32(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.content_hash(F.col("text")).alias("asset_hash"))
 
@@ -348,22 +361,21 @@ def s11_full_scan(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(J.field(F.col("props"), "$.k"), F.lit("")).alias("k"), F.lit(0.0).alias("score"))
 
 
-@query(
-    "y3_rate_limit",
-    f"""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+_LIMITED_SQL = f"""WITH RECURSIVE o AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     r AS (SELECT user_id, event_id, i, [us] AS win, false AS limited FROM o WHERE i = 1
       UNION ALL SELECT o.user_id, o.event_id, o.i,
         CASE WHEN len(list_filter(r.win, lambda t: o.us - t < {WINDOW}000000)) >= {LIMIT} THEN list_filter(r.win, lambda t: o.us - t < {WINDOW}000000)
              ELSE list_append(list_filter(r.win, lambda t: o.us - t < {WINDOW}000000), o.us) END,
         len(list_filter(r.win, lambda t: o.us - t < {WINDOW}000000)) >= {LIMIT}
-      FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
-    SELECT event_id, user_id, limited FROM r""",
-)
+      FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)"""
+
+
+@query("y3_rate_limit", f"{_LIMITED_SQL} SELECT event_id, user_id, limited FROM r")
 def y3_rate_limit(spark, sf_dir):
     return limiter.rate_limit(table(spark, sf_dir, "events"), limit=LIMIT, window_seconds=WINDOW)
 
 
-@query("y4_remaining")
+@query("y4_remaining", f"{_LIMITED_SQL}, t AS (SELECT max(us) AS now FROM o), k AS (SELECT r.user_id, max((now - us) / 1000000.0) FILTER (NOT limited AND now - us < {WINDOW}000000) AS age FROM r JOIN o ON r.user_id = o.user_id AND r.i = o.i, t GROUP BY r.user_id) SELECT user_id, round(greatest(0.0, coalesce({WINDOW} - age, 0.0)), 3)::DOUBLE AS seconds FROM k")
 def y4_remaining(spark, sf_dir):
     """Seconds until each user's oldest request expires, at the time of the last event."""
     events = table(spark, sf_dir, "events")
@@ -432,10 +444,16 @@ def x9_retrieve(spark, sf_dir):
     return retrieve_within(asked, docs, "domain", 3, config=config, digits=6).select("qid", "domain", F.col("id").alias("doc_id"), "rk")
 
 
-@query("x11_tool_json", f"WITH {_SCALED_SQL}, d AS (SELECT vec_id, list_distance(v, qv) AS dist FROM s, q) SELECT '{{\"id\":' || vec_id || ',\"near\":' || (1.0 - dist > -0.2) || '}}' AS result FROM (SELECT * FROM d ORDER BY dist, vec_id LIMIT 10)")
+_DIST_SQL = "q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS qv FROM embeddings WHERE vec_id = 0), d AS (SELECT vec_id, label, list_distance(list_transform(embedding, lambda x: x::DOUBLE), qv) AS dist FROM embeddings, q)"
+
+
+@query("x11_tool_json", f"""WITH {_DIST_SQL} SELECT 'all' AS domain, printf('{{{{"id":%d,"document":"label %d","metadata":"{{{{}}}}","score":%.6f}}}}', vec_id, label, 1.0 - dist) AS result FROM (SELECT * FROM d ORDER BY dist, vec_id LIMIT 10)""".replace("{{", "{").replace("}}", "}"))
 def x11_tool_json(spark, sf_dir):
-    found = nearest(_scaled(spark, sf_dir), _query_vector(spark, sf_dir), 10)
-    return found.select(F.to_json(F.struct("id", (F.col("score") > -0.2).alias("near"))).alias("result"))
+    from chunkspark.plans.retrieve import tool_results
+
+    e = table(spark, sf_dir, "embeddings")
+    store_ = e.select(F.col("vec_id").alias("id"), "embedding", F.concat(F.lit("label "), "label").alias("content"), F.lit("{}").alias("doc_metadata"))
+    return tool_results({"all": store_}, _query_vector(spark, sf_dir), 10, digits=6)
 
 
 def _graphs(spark, sf_dir):
@@ -449,7 +467,7 @@ def _graphs(spark, sf_dir):
     return nodes, boxes, edges
 
 
-_NODES_SQL = "n AS (SELECT c_nationkey AS f, c_custkey AS id, c_acctbal AS x, (c_custkey % 97)::DOUBLE AS y FROM customer), e AS (SELECT c_nationkey AS f, o_orderkey AS position, o_custkey AS s, o_custkey + 25 * (o_orderkey % 5 + 1) AS t FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0)"
+_NODES_SQL = "n AS (SELECT c_nationkey AS f, c_custkey AS id, c_acctbal AS x, (c_custkey % 97)::DOUBLE AS y FROM customer), e AS (SELECT c_nationkey AS f, o_orderkey AS position, o_custkey AS s, o_custkey + 25 * (o_orderkey % 5 + 1) AS t FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
 @query("j7_boxes", f"WITH {_NODES_SQL}, b(box, x0, y0) AS (VALUES (0, 0.0, 0.0), (1, 500.0, 20.0), (2, 6000.0, 30.0)) SELECT f::VARCHAR AS file, id::VARCHAR AS id, box FROM n, b WHERE x BETWEEN x0 AND x0 + 900 AND y BETWEEN y0 AND y0 + 40")
@@ -461,7 +479,6 @@ def j7_boxes(spark, sf_dir):
 
 
 _EDGES_SQL = "SELECT e.position::INT AS position, a.id IS NOT NULL AND b.id IS NOT NULL AS whole FROM e LEFT JOIN n a ON a.f = e.f AND a.id = e.s LEFT JOIN n b ON b.f = e.f AND b.id = e.t"
-_ALL_EDGES_SQL = _NODES_SQL.replace(" WHERE o_orderkey % 10 = 0", "")
 
 
 def _edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -473,13 +490,6 @@ def _edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 @query("j8_edges", f"WITH {_NODES_SQL} {_EDGES_SQL}")
 def j8_edges(spark, sf_dir):
-    """Every tenth order, a fixed case; j8_edges_all takes all."""
-    nodes, _, edges = _graphs(spark, sf_dir)
-    return _edges(nodes, edges.filter("position % 10 = 0"))
-
-
-@query("j8_edges_all", f"WITH {_ALL_EDGES_SQL} {_EDGES_SQL}")
-def j8_edges_all(spark, sf_dir):
     nodes, _, edges = _graphs(spark, sf_dir)
     return _edges(nodes, edges)
 
@@ -492,8 +502,97 @@ def a1_joined_json(spark, sf_dir):
     return joined_json(nodes.withColumn("raw_json", F.to_json(F.struct(F.col("position").alias("id")))), ["file"])
 
 
-@query("a2_components")
+_BOXED_SQL = "".join(
+    f", i{k} AS (SELECT f, min(i) AS i FROM g{k} WHERE x BETWEEN {x} AND {x + 900} AND y BETWEEN {y} AND {y + 40} GROUP BY f)"
+    f", g{k + 1} AS (SELECT a.f, a.id, a.i, a.x, a.y, CASE WHEN a.x BETWEEN {x} AND {x + 900} AND a.y BETWEEN {y} AND {y + 40} THEN h.g ELSE a.g END AS g FROM g{k} a LEFT JOIN i{k} USING (f) LEFT JOIN g{k} h ON h.f = a.f AND h.i = i{k}.i)"
+    for k, (x, y) in enumerate([(0, 0), (500, 20), (6000, 30)])
+)
+
+
+@query("a2_components", f"WITH RECURSIVE {_NODES_SQL}, g0 AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY id) - 1 AS i, row_number() OVER (PARTITION BY f ORDER BY id) - 1 AS g FROM n){_BOXED_SQL}, l AS (SELECT DISTINCT e.f, a.g AS a, b.g AS b FROM e JOIN g3 a ON a.f = e.f AND a.id = e.s JOIN g3 b ON b.f = e.f AND b.id = e.t WHERE a.g <> b.g), both_ways AS (SELECT * FROM l UNION SELECT f, b, a FROM l), reach(f, a, b) AS (SELECT DISTINCT f, g, g FROM g3 UNION SELECT r.f, r.a, w.b FROM reach r JOIN both_ways w ON w.f = r.f AND w.a = r.b), c AS (SELECT f, a, min(b) AS c FROM reach GROUP BY f, a) SELECT g3.f::VARCHAR AS file, g3.id::VARCHAR AS id, n3.id::VARCHAR AS component FROM g3 JOIN c ON c.f = g3.f AND c.a = g3.g JOIN g3 n3 ON n3.f = c.f AND n3.i = c.c")
 def a2_components(spark, sf_dir):
     from chunkspark.operators.graph import components
 
     return components(*_graphs(spark, sf_dir))
+
+
+#: A source for each document, by language, and what its chunker finds in it: type, name, first and last line,
+#: docstring, namespace. {id} and {lang} stand for the document's own.
+SOURCES = {
+    "g1_python": ("python", """import os
+
+@deco
+def f{id}(x):
+    \'\'\'In {lang}.\'\'\'
+    return x
+
+class C{id}(Base):
+    def method(self): pass
+
+if x:
+    def hidden(): pass
+""", [("function", "f{id}", 2, 5, "\'\'\'In {lang}.\'\'\'", None), ("class", "C{id}", 7, 8, None, None)]),
+    "g2_cpp": ("cpp", """#include <a>
+namespace n { namespace m {
+// In {lang}.
+template <typename T>
+class C{id} : public B<T> {
+  void method() { if (x) { } }
+};
+} }
+int f{id}(int a) { return a + "}"[0]; }
+union U { struct P{id} { int x; }; };
+class Ahead{id};
+""", [("class", "C{id}", 4, 6, "In {lang}.", "n::m"), ("function", "f{id}", 8, 8, None, None), ("class", "P{id}", 9, 9, None, None), ("class", "Ahead{id}", 10, 10, None, None)]),
+    "g3_typescript": ("typescript", """/** In {lang}. */
+export class C{id}<T> { method() { return `}`; } }
+type T{id} = { a: 1 } | "b";
+if (x) { const inner{id} = 1 }
+namespace N.M { export function f{id}() { return /[{"]/; } }
+var old = 1;
+""", [("class", "C{id}", 1, 1, "In {lang}.", None), ("type", "T{id}", 2, 2, None, None), ("const", "inner{id}", 3, 3, None, None), ("function", "f{id}", 4, 4, None, "N.M")]),
+    "g4_csharp": ("csharp", """using System;
+namespace A.B {
+    // In {lang}.
+    public class C{id} { string s = @"a ""}} b"; class Nested {} }
+    internal record R{id}(int X);
+    struct S { interface I{id} { } }
+    enum E { A }
+}
+""".replace("}}", "}"), [("class", "C{id}", 3, 3, "// In {lang}.", "A.B"), ("class", "R{id}", 4, 4, None, "A.B"), ("interface", "I{id}", 5, 5, None, "A.B")]),
+    "g5_unity": ("unity_asset", """%YAML 1.1
+%TAG !u! tag:unity3d.com,2011:
+--- !u!1 &1
+GameObject:
+  m_Name: {lang}
+--- !u!114 &2
+MonoBehaviour:
+  _data:
+    _json: \'{"graph": {"elements": [{"$type": "Unit", "$id": "1", "position": {"x": {id}, "y": 1}}, {"$type": "Unit", "$id": "2", "position": {"x": -5, "y": 1}}, {"$type": "Unit", "$id": "3"}, {"$type": "GraphGroup", "position": {"xMin": 0, "yMin": 0, "xMax": 1e9, "yMax": 9}}, {"$type": "ControlConnection", "sourceUnit": {"$ref": "1"}, "destinationUnit": {"$ref": "2"}}, {"$type": "ControlConnection", "sourceUnit": {"$ref": "1"}, "destinationUnit": {"$ref": "9"}}]}}\'
+""", [("other", "", 0, 1, None, None), ("other", "", 1, 2, None, None)]),
+}
+
+
+def _chunker_query(name: str) -> None:
+    language, source, found = SOURCES[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from chunkspark.operators.chunk import parse_assets
+
+        text = F.replace(F.replace(F.lit(source), F.lit("{id}"), F.col("id")), F.lit("{lang}"), F.col("lang"))
+        docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "lang")
+        assets = docs.select("id", F.lit("d").alias("domain_id"), F.col("id").alias("file_path"), F.lit(language).alias("language"), text.alias("source"))
+        chunks = parse_assets(assets)
+        return chunks.select(F.col("asset_id").cast("long").alias("doc_id"), "ordinal", "type", "name", F.col("location.start_line").alias("start_line"), F.col("location.end_line").alias("end_line"), "docstring", F.col("metadata.namespace").alias("namespace"))
+
+    def said(x) -> str:
+        return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+    rows = ", ".join("(" + ", ".join(map(said, (i, *r))) + ")" for i, r in enumerate(found))
+    filled = [f"replace(replace({c}, '{{id}}', doc_id::VARCHAR), '{{lang}}', lang) AS {c}" for c in ("name", "docstring")]
+    QUERIES[name] = run
+    SQL[name] = f"SELECT doc_id, ordinal, type, {filled[0]}, start_line, end_line, {filled[1]}, namespace FROM documents, (VALUES {rows}) v(ordinal, type, name, start_line, end_line, docstring, namespace)"
+
+
+for _name in SOURCES:
+    _chunker_query(_name)

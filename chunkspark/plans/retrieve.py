@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkspark.config import EmbeddingConfig
@@ -33,8 +33,16 @@ def prompts(questions: DataFrame, stores: dict[str, DataFrame], k: int = 10, con
     return with_prompt(questions, found.withColumn("place", F.struct("domain", "rk")), rank="place")
 
 
+def tool_results(stores: dict[str, DataFrame], vector: Column, k: int = 10, digits: int | None = None) -> DataFrame:
+    """result: a JSON object of id, document, metadata and score for each of the k nearest rows of every domain."""
+    def rows(store: DataFrame) -> DataFrame:
+        score = F.col("score") if digits is None else F.col("score").cast(f"decimal(18,{digits})")
+        return search(store, vector, k).select("id", F.col("content").alias("document"), F.col("doc_metadata").alias("metadata"), score.alias("score"))
+
+    found = over_domains({n: rows(s) for n, s in stores.items()})
+    return found.select("domain", F.to_json(F.struct("id", "document", "metadata", "score")).alias("result"))
+
+
 def search_tool(stores: dict[str, DataFrame], query: str, k: int = 10, config: EmbeddingConfig | None = None) -> list[str]:
     """Results for one query as JSON strings, for tool servers; at most k for each domain."""
-    vector = vector_literal(embed_texts(query, config, "query"))
-    rows = over_domains({n: search(s, vector, k).select("id", F.col("content").alias("document"), F.col("doc_metadata").alias("metadata"), "score") for n, s in stores.items()})
-    return [r[0] for r in rows.select(F.to_json(F.struct("*"))).collect()]
+    return [r["result"] for r in tool_results(stores, vector_literal(embed_texts(query, config, "query")), k).collect()]

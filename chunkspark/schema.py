@@ -15,7 +15,7 @@ ASSET = fields(id=_S, domain_id=_S, name=_S, asset_hash=_S, meta=_S)
 LOCATION = fields(file_path=_S, start_line=_I, end_line=_I)
 CHUNK_META = fields(visibility=_S, is_static=_B, is_abstract=_B, is_template=_B, namespace=_S, language_specific=T.MapType(_S, _S))
 #: What a chunker yields for one declaration. Lines count from 0.
-CODE_CHUNK = fields(asset_id=_S, ordinal=_I, language=_S, type=_S, name=_S, content=_S, docstring=_S, location=LOCATION, metadata=CHUNK_META)
+CODE_CHUNK = fields(asset_id=_S, ordinal=_I, shares_lines=_B, language=_S, type=_S, name=_S, content=_S, docstring=_S, location=LOCATION, metadata=CHUNK_META)
 CHUNK = fields(id=_S, asset_id=_S, domain_id=_S, meta=_S)
 VECTOR = fields(id=_S, embedding=T.ArrayType(T.FloatType()), content=_S, doc_metadata=_S)
 SEARCH_RESULT = fields(id=_S, document=_S, metadata=_S, score=T.DoubleType())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,18 @@ def track(stream: DataFrame, enabled: bool, folder: str, checkpoint: str, ip: st
         return None
     rows = stream.withColumn("user_hash", F.sha2(F.col(ip), 256)).drop(ip)
     return rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def event_text(row: dict) -> str:
+    """A server-sent event."""
+    return f"event: {row.get('status', 'message').lower()}\ndata: {json.dumps(row, default=str, ensure_ascii=False)}\n\n"
+
+
+def send_events(stream: DataFrame, send: Callable[[str], None], checkpoint: str, order: list[str] | None = None) -> StreamingQuery:
+    """Hand each row of a stream to `send` as a server-sent event, in order within a micro-batch; rows pass the driver one by one."""
+
+    def deliver(batch: DataFrame, epoch: int) -> None:
+        for row in batch.orderBy(*(order or ["qid", "step"])).toLocalIterator():
+            send(event_text(row.asDict(recursive=True)))
+
+    return stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

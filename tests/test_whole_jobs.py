@@ -22,7 +22,7 @@ def test_batch_asks_every_fiftieth_vector(spark, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
     monkeypatch.setattr(search, "QUERY_BLOCK", 10)
     monkeypatch.setattr(search, "CELLS", 700)
-    found = {(r.qid, r.rk): r.vec_id for r in QUERIES["w1_batch_knn_all"](spark, str(tmp_path)).collect()}
+    found = {(r.qid, r.rk): r.vec_id for r in QUERIES["w1_batch_knn"](spark, str(tmp_path)).collect()}
     v = np.array([r[1] for r in rows], np.float32).astype(float)
     want = {}
     for q in range(0, 1203, 50):
@@ -85,7 +85,7 @@ def test_groups_equal_relabelling():
 
 
 def test_every_order_is_an_edge(spark, sf_dir):
-    assert QUERIES["j8_edges_all"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    assert QUERIES["j8_edges"](spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
 
 
 def test_retrieval_searches_every_source(spark, tmp_path):
@@ -123,6 +123,18 @@ def test_embedding_of_every_document(spark, tmp_path):
         assert np.allclose(found[i], want / (np.linalg.norm(want) or 1), atol=1e-6)
 
 
+def test_recall_of_cells(spark, sf_dir):
+    """Recall at 10 of the registered query, over every vector whose id is divisible by 50."""
+    rows = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    found = {}
+    for r in QUERIES["k4_cells"](spark, sf_dir).collect():
+        found.setdefault(r.qid, set()).add(r.vec_id)
+    asked = [i for i in rows if i % 50 == 0]
+    exact = {q: set(sorted(rows, key=lambda i: (float(np.linalg.norm(rows[i] - rows[q])), i))[:10]) for q in asked}
+    assert sum(len(exact[q] & found[q]) for q in asked) >= 0.9 * 10 * len(asked) > 0
+    assert all(len(x) == 10 for x in found.values())
+
+
 @pytest.mark.parametrize("scale", [None, 1, 100])
 def test_lsh_recall_of_the_registered_query(spark, sf_dir, scale):
     """Recall at 10 with the default tables, over every vector whose id is divisible by 50; also for norms of 1 to 3 and of 100 to 300."""
