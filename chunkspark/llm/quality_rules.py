@@ -204,25 +204,42 @@ def train(sample: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, steps:
     good = np.asarray(good, bool)
     if min(good.sum(), (~good).sum()) < FEWEST_ROWS:
         return None
-    n_texts = len(sample)
-    idx = np.concatenate([x for x, _ in sample]).astype(np.int64)
-    val = np.concatenate([x for _, x in sample]).astype(np.float64)
-    rows = np.repeat(np.arange(n_texts), [len(x) for x, _ in sample])
-    # rare and common buckets alike: each is scaled by its root mean square
-    rms = np.sqrt(np.bincount(idx, val**2, 3 << BITS) / n_texts) + 1e-4
-    val = (val / rms[idx]).astype(np.float32)
+    n_texts, sizes = len(sample), np.array([len(x) for x, _ in sample])
+    idx = np.concatenate([x for x, _ in sample]).astype(np.int32)
+    val = np.concatenate([x for _, x in sample]).astype(np.float32)
+    sample.clear()
+    # rare and common buckets alike: each is scaled by its root mean square. Sums go along runs of
+    # one row or of one bucket, over arrays of 32 bits
+    order = np.argsort(idx, kind="stable").astype(np.int32)
+    buckets, by_bucket = np.unique(idx[order], return_index=True)
+    rms = np.full(3 << BITS, 1e-4, np.float32)
+    rms[buckets] += np.sqrt(np.add.reduceat(np.square(val[order]), by_bucket) / n_texts) if len(buckets) else 0
+    val /= rms[idx]
+    full = np.flatnonzero(sizes)
+    by_row = (np.cumsum(sizes) - sizes)[full]
+    val_of_bucket, row_of_bucket = val[order], np.repeat(np.arange(n_texts, dtype=np.int32), sizes)[order]
+    del order
+
+    def scores(w: np.ndarray) -> np.ndarray:
+        out = np.zeros(n_texts)
+        if len(full):
+            out[full] = np.add.reduceat(val * w[idx], by_row)
+        return out
+
     fit = np.arange(n_texts) % 4 != 3
     share = np.where(good, 0.5 / good[fit].sum(), 0.5 / (~good)[fit].sum()) * fit
-    w, b, mean, var = np.zeros(3 << BITS), 0.0, np.zeros(3 << BITS), np.zeros(3 << BITS)
+    w, mean, var = (np.zeros(3 << BITS, np.float32) for _ in range(3))
+    b = 0.0
     for t in range(1, steps + 1):  # Adam on the balanced logistic loss with a ridge term
-        z = np.bincount(rows, val * w[idx], n_texts) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - good) * share
-        g = np.bincount(idx, val * err[rows], 3 << BITS) + 2e-6 * w
+        err = (1 / (1 + np.exp(-np.clip(scores(w) + b, -30, 30))) - good) * share
+        g = np.float32(2e-6) * w
+        if len(buckets):
+            g[buckets] += np.add.reduceat(val_of_bucket * err.astype(np.float32)[row_of_bucket], by_bucket)
         b -= 0.5 * err.sum()
         mean, var = 0.9 * mean + 0.1 * g, 0.99 * var + 0.01 * g * g
-        w -= 0.003 * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.99**t)) + 1e-5)
+        w = w - (0.003 * (mean / (1 - 0.9**t)) / (np.sqrt(var / (1 - 0.99**t)) + 1e-5)).astype(np.float32)
+    score = scores(w)
     w = w / rms
-    score = np.bincount(rows, val * (w * rms)[idx], n_texts)
     slope, shift = _platt(score[~fit], good[~fit])
     return NgramModel(w.reshape(3, -1).astype(np.float32), slope, shift)
 
