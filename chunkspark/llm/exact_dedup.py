@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkspark.llm.shared import fresh, hashed_side, lookup_join, materialise, scratch
+from chunkspark.llm.shared import fresh, hashed_side, lookup_join, materialise, scratch, slices
 
 #: Runs that merge in one round: 2 ** BITS.
 BITS = 4
@@ -29,7 +29,7 @@ RUN = "slot int, node int, digest binary, n_bytes long, id long, tag long, n lon
 
 def _digests(column: str, lower: bool, names: list[str]):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.get_field_index(column)
             text = batch.column(at)
             text = pc.fill_null(text, "").cast(pa.large_string())

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunkspark.llm.shared import fresh, lookup_join, materialise, scratch
+from chunkspark.llm.shared import fresh, lookup_join, materialise, scratch, slices
 from chunkspark.llm.text import LOWER, NOT_SPACE, U64, blocks, mix, span_hashes, word_bounds
 
 _K = U64(0x9E3779B97F4A7C15)
@@ -312,7 +312,7 @@ def _deltas(rule: Rule):
     wide, narrow = rule.whole + rule.part, rule.whole - rule.part
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, linked, size, short, prefix, added, lacks = [], [], [], [], [], [], []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
@@ -535,7 +535,7 @@ def _pairs_of(rule: Rule):
 
 def _verified(rule: Rule):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)

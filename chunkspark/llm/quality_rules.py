@@ -296,19 +296,17 @@ def fit(df: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str) ->
 
 
 def _scored(at: int, model, names: list[str]):
+    """Rows go out block by block, so a worker holds one batch and no copy of it."""
+
     def run(batches):
         m: NgramModel | None = model.value
         weights = None if m is None else m.weights
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
             for a, b, raw, offsets in blocks(batch.column(at)):
                 counts, score = scan(raw, offsets, weights)
                 p = np.full(b - a, np.nan) if m is None else m.probability(score)
-                for out, x in zip(parts, (*counts, p), strict=True):
-                    out.append(x)
-            full = [np.concatenate(x) if x else np.zeros(0) for x in parts]
-            columns = [pa.array(x.astype(np.int64)) for x in full[:5]] + [pa.array(full[5].astype(np.float64), from_pandas=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+                own = [*(pa.array(x.astype(np.int64)) for x in counts), pa.array(p, pa.float64(), from_pandas=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *own], names=[*batch.schema.names, *names])
 
     return run
 

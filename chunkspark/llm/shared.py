@@ -106,6 +106,13 @@ def release() -> None:
             return
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches cut to a few rows each, for work that copies what it reads."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, lengthened until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}

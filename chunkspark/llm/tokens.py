@@ -88,9 +88,9 @@ class HashTable:
 
 
 class WordEncoder:
-    """Ids of blocks of text (see `text.blocks`). Keeps the ids of at most about 2 ** bits / 2 pieces."""
+    """Ids of blocks of text (see `text.blocks`). Keeps at most about 2 ** bits / 2 pieces, and 256 MB of them."""
 
-    def __init__(self, path: str, special: bool = True, bits: int = 21):
+    def __init__(self, path: str, special: bool = True, bits: int = 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -108,8 +108,8 @@ class WordEncoder:
         self.used = 0
         # the pieces' bytes tell pieces of one hash apart
         self.bytes = np.zeros(1 << 16, np.uint8)
-        self.start = np.zeros(1 << 12, np.int64)
-        self.size = np.zeros(1 << 12, np.int64)
+        self.start = np.zeros(1 << 12, np.int32)
+        self.size = np.zeros(1 << 12, np.int32)
         self.stored = 0
 
     def _ids(self, words: list[bytes]) -> list[list[int]]:
@@ -167,7 +167,7 @@ class WordEncoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         hashes = span_hashes(raw, starts, ends)
-        if self.table.n > 1 << (self.bits - 1):
+        if self.table.n > 1 << (self.bits - 1) or self.stored > 1 << 28:
             self._forget()
         places = self.table.find(hashes)
         new = np.flatnonzero(places < 0)
