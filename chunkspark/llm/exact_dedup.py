@@ -13,12 +13,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkspark.llm.shared import fresh, hashed_side, lookup_join, materialise, scratch, slices
+from chunkspark.llm.shared import fresh, hashed_side, lookup_join, materialise, scratch
+from chunkspark.llm.text import LOWER, blocks
 
 #: Runs that merge in one round: 2 ** BITS.
 BITS = 4
@@ -29,18 +29,12 @@ RUN = "slot int, node int, digest binary, n_bytes long, id long, tag long, n lon
 
 def _digests(column: str, lower: bool, names: list[str]):
     def run(batches):
-        for batch in slices(batches):
-            at = batch.schema.get_field_index(column)
-            text = batch.column(at)
-            text = pc.fill_null(text, "").cast(pa.large_string())
-            if lower:
-                text = pc.ascii_lower(text)
-            n = len(text)
-            _, where, data = text.buffers()
-            o = np.frombuffer(where, dtype=np.int64, count=n + 1 + text.offset)[text.offset :] if n else np.zeros(1, np.int64)
-            view = memoryview(data) if data is not None else memoryview(b"")
-            digests = pa.array([hashlib.sha256(view[a:b]).digest() for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, digests, pa.array(np.diff(o), pa.int64())], names=[*batch.schema.names, *names])
+        for batch in batches:
+            for a, b, raw, offsets in blocks(batch.column(batch.schema.get_field_index(column))):
+                view = memoryview(LOWER[raw] if lower else raw)
+                digests = [hashlib.sha256(view[x:y]).digest() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                own = [pa.array(digests, pa.binary()), pa.array(np.diff(offsets), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *own], names=[*batch.schema.names, *names])
 
     return run
 

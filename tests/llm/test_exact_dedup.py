@@ -53,3 +53,21 @@ def test_odd_rows_and_empty_tables(odd_docs, no_docs):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "a", 5, 6), (2, "A", 7, 8)], "doc_id long, text string, row_tag int, row_digest int")
     assert [tuple(r) for r in drop_duplicates(df).collect()] == [(2, "A", 7, 8)]
+
+
+def test_digests_of_large_batches():
+    """Batches of more rows and bytes than a block, and slices of a batch."""
+    import pyarrow as pa
+
+    from chunkspark.llm.exact_dedup import _digests
+
+    texts = [None if i % 97 == 0 else f"Text É {i} " + "X" * (i % 50) * (100 if i % 11 == 0 else 1) for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts, pa.string())], names=["i", "t"])
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for lower in (True, False):
+        for given in ([batch], [batch.slice(0, 700), batch.slice(700, 1), batch.slice(701)]):
+            found = [r for x in _digests("t", lower, ["d", "n"])(given) for r in x.to_pylist()]
+            assert [r["i"] for r in found] == list(range(3000))
+            for r in found:
+                data = ((r["t"] or "").translate(low) if lower else r["t"] or "").encode()
+                assert r["d"] == hashlib.sha256(data).digest() and r["n"] == len(data)
