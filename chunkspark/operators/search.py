@@ -144,7 +144,7 @@ def approximate_nearest(store: DataFrame, query, k: int = 10, id_col: str = "id"
 
 
 #: Cells of an approximate index, cells that a query looks into, rows that centres are fitted on, and rounds of fitting.
-CELLS_OF_INDEX, PROBES, FIT_ROWS, FIT_ROUNDS = 64, 16, 20_000, 12
+CELLS_OF_INDEX, PROBES, FIT_ROWS, FIT_ROUNDS = 64, 40, 20_000, 12
 
 
 def fit_centres(store: DataFrame, id_col: str = "id", embedding: str = "embedding", cells: int = CELLS_OF_INDEX, seed: int = 5) -> np.ndarray:
