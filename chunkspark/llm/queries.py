@@ -76,6 +76,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkspark.llm.filter_audit import audit, document_masks
+
+    return audit(document_masks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def op12_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkspark.llm.row_patterns import value_swings
+
+    found = value_swings(_table(spark, sf_dir, "clicks"))
+    return found.select(F.col("key").alias("client_id"), "match_no", "first_id", "last_id", "n_rows", F.col("sum_measure").alias("sum_cents"), F.sha2("labels", 256).alias("labels_sha256"))
+
+
 def base_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2_license_scan finds by the phrases alone."""
     return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -98,7 +111,7 @@ def base_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: One query for each operator.
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_ngram_jaccard_join, op4_warc, op5_quality_classifier, op6_quality_rules, op7_secret_scan, op8_mixing, op9_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_ngram_jaccard_join, op4_warc, op5_quality_classifier, op6_quality_rules, op7_secret_scan, op8_mixing, op9_token_counts, op10_exact_dedup, op11_filter_audit, op12_row_patterns)}
 #: Parts of their results that SQL can express.
 PARTS = {f.__name__: f for f in (base_license_scan, base_quality_rules, base_secret_scan, base_mixing)}
 
@@ -159,6 +172,33 @@ SQL = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
         FROM f""",
+    "op11_filter_audit": f"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+                + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+                + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+        f AS (SELECT unnest([0, 1, 2, 3, 4]) AS x),
+        o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT list_aggregate(list_transform(o, lambda x: substr('ABCDE', x + 1, 1)), 'string_agg', '') AS filter_order, k AS step, o[k] AS x, 1 << o[k] AS bit, list_sum(list_transform(o[:k], lambda x: 1 << x))::INT AS upto FROM (SELECT o, unnest([1, 2, 3, 4, 5]) AS k FROM o)),
+        r AS (SELECT part, filter_order, step, any_value(x) AS x, coalesce(sum(n) FILTER (mask & upto = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & upto = bit), 0)::BIGINT AS removed,
+                coalesce(sum(n) FILTER (mask & bit > 0 AND mask & upto <> bit), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+                coalesce(sum(good) FILTER (mask & upto = bit), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & upto = bit), 0)::BIGINT AS toxic_lost FROM c, s GROUP BY part, filter_order, step)
+        SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM r""",
+    "op12_row_patterns": """
+        WITH d AS (SELECT DISTINCT * FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+        o AS (SELECT *, floor(100 * value + 0.5)::BIGINT AS c, row_number() OVER w AS i, coalesce(ts - lag(ts) OVER w <= INTERVAL 30 MINUTE, false) AS near FROM d
+            WINDOW w AS (PARTITION BY client_id ORDER BY ts, click_id NULLS FIRST)),
+        f AS (SELECT *, lag(c) OVER w AS b, sum(coalesce(c, 0)) OVER w AS upto FROM o WINDOW w AS (PARTITION BY client_id ORDER BY i)),
+        l AS (SELECT *, CASE WHEN near AND kind <> 'error' AND c < b THEN 'D' WHEN near AND kind <> 'error' AND c > b THEN 'U' ELSE '-' END AS letter, coalesce(near AND kind = 'click' AND b IS NOT NULL, false) AS p FROM f),
+        t AS (SELECT client_id, string_agg(letter, '' ORDER BY i) AS letters FROM l GROUP BY client_id),
+        m AS (SELECT l.*, regexp_extract(substr(letters, (i + 1)::INT), '^(D+U+)+') AS body FROM l JOIN t USING (client_id) WHERE c IS NOT NULL),
+        e AS (SELECT m.*, n.c >= m.c AND n.p AS more FROM m LEFT JOIN l n ON n.client_id = m.client_id AND n.i = m.i + length(body) + 1 WHERE body <> ''),
+        r AS (SELECT *, 'A' || body || CASE WHEN more THEN 'P' ELSE '' END AS labels FROM e)
+        SELECT r.client_id, row_number() OVER (PARTITION BY r.client_id ORDER BY r.i) AS match_no, r.click_id AS first_id, z.click_id AS last_id, length(labels) AS n_rows,
+            (z.upto - r.upto + r.c)::BIGINT AS sum_cents, sha256(labels) AS labels_sha256
+        FROM r JOIN l z ON z.client_id = r.client_id AND z.i = r.i + length(labels) - 1""",
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
