@@ -89,6 +89,15 @@ def op12_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("client_id"), "match_no", "first_id", "last_id", "n_rows", F.col("sum_measure").alias("sum_cents"), F.sha2("labels", 256).alias("labels_sha256"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from chunkspark.llm.toxicity import score_toxicity
+
+    found = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    worst = F.reduce("spans", F.lit(None).cast("struct<start:long,stop:long,score:double>"), lambda a, x: F.when(a.isNull() | (x["score"] > a["score"]), x).otherwise(a))
+    out = found.withColumn("worst", worst)
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_toxic_sentences"), F.col("worst.start").alias("worst_start"), F.col("worst.stop").alias("worst_stop"))
+
+
 def base_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op2_license_scan finds by the phrases alone."""
     return op2_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -111,7 +120,7 @@ def base_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: One query for each operator.
-QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_ngram_jaccard_join, op4_warc, op5_quality_classifier, op6_quality_rules, op7_secret_scan, op8_mixing, op9_token_counts, op10_exact_dedup, op11_filter_audit, op12_row_patterns)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_license_scan, op3_ngram_jaccard_join, op4_warc, op5_quality_classifier, op6_quality_rules, op7_secret_scan, op8_mixing, op9_token_counts, op10_exact_dedup, op11_filter_audit, op12_row_patterns, op13_toxicity)}
 #: Parts of their results that SQL can express.
 PARTS = {f.__name__: f for f in (base_license_scan, base_quality_rules, base_secret_scan, base_mixing)}
 

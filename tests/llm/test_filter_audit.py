@@ -16,8 +16,8 @@ def fails(text):
 
 def expected(docs, labels):
     """docs: (doc_id, text, source); every order applied filter by filter."""
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     out = {}
     for part in {s or "" for _, _, s in docs}:
         own = []
