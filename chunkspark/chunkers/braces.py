@@ -9,11 +9,13 @@ of their class.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from chunkspark.chunkers.base import Chunk, Metadata
 
 OPEN, CLOSE = "([{", ")]}"
+_BRACKET = re.compile(r"[()\[\]{}]")
 
 
 @dataclass
@@ -29,13 +31,13 @@ class Source:
     def __init__(self, text: str, language: str):
         self.text, self.language = text, language
         self.comments: list[Comment] = []
+        self._paired: str | None = None  # the code whose brackets are in _closing
+        self._closing: dict[int, int] = {}
         self.code = self._blank()
         self.line_starts = [0] + [m.end() for m in re.finditer("\n", text)]
 
     def line(self, at: int) -> int:
-        import bisect
-
-        return bisect.bisect_right(self.line_starts, at) - 1
+        return bisect_right(self.line_starts, at) - 1
 
     def column(self, at: int) -> int:
         return at - self.line_starts[self.line(at)]
@@ -127,12 +129,14 @@ class Source:
 
     def closing(self, at: int) -> int:
         """Place after the bracket that closes the one at `at`; the end of the text if none does."""
-        depth = 0
-        for m in re.compile(r"[()\[\]{}]").finditer(self.code, at):
-            depth += 1 if m[0] in OPEN else -1
-            if depth == 0:
-                return m.end()
-        return len(self.code)
+        if self._paired is not self.code:
+            self._paired, self._closing, opened = self.code, {}, []
+            for m in _BRACKET.finditer(self.code):
+                if m[0] in OPEN:
+                    opened.append(m.start())
+                elif opened:
+                    self._closing[opened.pop()] = m.end()
+        return self._closing.get(at, len(self.code))
 
     def statement_end(self, at: int, stop: int) -> tuple[int, int]:
         """(end, place of the body's brace or -1) of what begins at `at`: up to ; or a closed brace."""
@@ -154,10 +158,10 @@ class Source:
     def before(self, at: int, skip: str) -> list[Comment]:
         """Comments that precede `at` with nothing between but space and what matches `skip`, last first."""
         out: list[Comment] = []
-        for c in reversed(self.comments):
-            if c.end > at:
-                continue
-            if not re.fullmatch(skip, self.code[c.end : out[-1].start if out else at]):
+        between = re.compile(skip)
+        for i in range(bisect_right(self.comments, at, key=lambda c: c.end) - 1, -1, -1):
+            c = self.comments[i]
+            if not between.fullmatch(self.code, c.end, out[-1].start if out else at):
                 break
             out.append(c)
         return out
@@ -174,7 +178,8 @@ def _bare(comment: str) -> str:
 
 
 _SPACE = r"\s*"
-_CPP_SKIP = r"(?:\s|;|#\s*include[^\n]*|[\w:<>,*& ]+[^;{}()\n]*;)*"
+#: Each step takes what it can and never gives back, so that a search fails in one pass.
+_CPP_SKIP = r"(?:[\s;]++|#\s*+include[^\n]*+|(?:[\w:<>,*&]|(?<= ))[^;{}()\n]*+;)*+"
 _CPP_SCOPE = re.compile(r"(?:inline\s+)?namespace\s*([\w:]*)\s*(?:\[\[.*?\]\]\s*)?\{|extern\s+\{")
 _CPP_CLASS = re.compile(r"(?:class|struct)\b(?:\s+(?:\[\[.*?\]\]|alignas\s*\([^)]*\)|__declspec\s*\([^)]*\)|__attribute__\s*\(\(.*?\)\)|[A-Z][A-Z0-9_]+(?=\s+[\w:]+\s*[:{<f])))*\s+([\w:]+)(?:\s*<[^{};]*>)?\s*(?:final\s*)?(?::[^{};]*)?(?=\{)")
 #: A class that is declared ahead, or named as the type of what follows.
@@ -199,17 +204,19 @@ def cpp_chunks(source: str) -> list[Chunk]:
         src.code = code
         return "\n".join(_bare(c.text) for c in reversed(found))
 
-    def level(at: int, stop: int, scope: list[str]) -> None:
+    levels: list[tuple[int, int, list[str]]] = [(0, len(code), [])]
+    while levels:
+        at, stop, scope = levels.pop()
         while at < stop:
             if code[at].isspace() or code[at] in ";}":
                 at += 1
                 continue
             if m := _CPP_SCOPE.match(code, at):
                 end = src.closing(m.end() - 1)
-                level(m.end(), end - 1, [*scope, *([m[1]] if m[1] else [])])
-                at = end
+                levels.append((end, stop, scope))
+                at, stop, scope = m.end(), end - 1, [*scope, *([m[1]] if m[1] else [])]
                 continue
-            start, template = at, False
+            start, template, inner = at, False, None
             while m := re.compile(r"template\s*(?=<)").match(code, at):
                 template, at = True, _angle(code, m.end())
                 at += len(code[at:]) - len(code[at:].lstrip())
@@ -229,12 +236,13 @@ def cpp_chunks(source: str) -> list[Chunk]:
                 if name and "=" not in re.sub(r"operator[^\w(]+", "", head.split("(")[0]):
                     out.append(src.chunk("function", re.sub(r"\s+", " ", name), start, end, doc(start), meta, at))
                 else:
-                    level(brace + 1, src.closing(brace) - 1, scope)
+                    inner = brace
             elif brace >= 0:  # unions, initialisers
-                level(brace + 1, src.closing(brace) - 1, scope)
+                inner = brace
             at = max(end, at + 1)
-
-    level(0, len(code), [])
+            if inner is not None:
+                levels.append((at, stop, scope))
+                at, stop = inner + 1, src.closing(inner) - 1
     return out
 
 

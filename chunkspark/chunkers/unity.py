@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cache
 
 from chunkspark.chunkers.base import Chunk, Metadata
 from chunkspark.operators.graph import classify, grouped
@@ -11,11 +12,12 @@ from chunkspark.operators.graph import classify, grouped
 GAME_OBJECT, MONO_BEHAVIOUR, INPUT_MANAGER = 1, 114, 13
 
 
-def _documents(source: str):
-    """(class code, object) of each document; tag handles count for the whole file."""
+@cache
+def _loader():
+    """A safe loader, in C where there is one, that gives a tagged object as (class code, object)."""
     import yaml
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         pass
 
     def build(loader, suffix, node):
@@ -23,6 +25,13 @@ def _documents(source: str):
         return (suffix.rpartition(":")[2], value)
 
     Loader.add_multi_constructor("tag:", build)
+    return Loader
+
+
+def _documents(source: str):
+    """(class code, object) of each document; tag handles count for the whole file."""
+    import yaml
+
     head = [x for x in source.split("\n") if x.startswith("%")]
     parts: list[list[str]] = []
     for line in source.split("\n"):
@@ -35,7 +44,7 @@ def _documents(source: str):
     for part in parts:
         text = "\n".join([*head, *part] if part[0].startswith("---") else part)
         text = text.replace(" stripped\n", "\n", 1)
-        value = yaml.load(text, Loader)  # noqa: S506  a SafeLoader
+        value = yaml.load(text, _loader())  # noqa: S506  a SafeLoader
         yield value if isinstance(value, tuple) else (None, value)
 
 

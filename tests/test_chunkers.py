@@ -1,3 +1,5 @@
+import time
+
 from chunkspark.chunkers import CHUNKERS
 from chunkspark.operators.chunk import parse_assets, wrap_chunks
 from chunkspark.operators.graph import group_ids
@@ -221,3 +223,23 @@ def test_chunk_rows_and_ids(spark):
     parsed = parse_assets(assets)
     found = {r.id for r in wrap_chunks(parsed).collect()}
     assert {"a.ts:7-7#5", "a.ts:7-7#6", "b.py:2-7", "b.py:9-11"} <= found and len(found) == 13
+
+
+def timed(language, source):
+    start = time.perf_counter()
+    found = CHUNKERS.get(language)(source)
+    return found, time.perf_counter() - start
+
+
+def test_cpp_in_linear_time():
+    lines = "".join(f"static std::vector<int> values_{i} = {{}};\n".replace(" = {}", "") for i in range(6))
+    found, seconds = timed("cpp", f"/// About the globals\n{lines}int prototype(int first);\nint run(int x) {{ return x; }}\n")
+    assert [c.name for c in found] == ["run"] and seconds < 1
+    many = "".join(f"/// Says what part {i} does\nint part_{i}(int x) {{\n    int y = x; // twice\n    return y + {i};\n}}\n" for i in range(10_000))
+    found, seconds = timed("cpp", many)
+    assert len(many) > 900_000 and len(found) == 10_000 and found[77].docstring == "Says what part 77 does" and seconds < 8
+    globals_ = "// first\n" + "int a = 1;\n" * 20_000 + "int last(int x) { return x; }\n"
+    found, seconds = timed("cpp", globals_)
+    assert found[-1].name == "last" and found[-1].docstring == "first" and seconds < 5
+    deep, seconds = timed("cpp", "namespace a {\n" * 3000 + "int f() { return 1; }\n" + "}\n" * 3000)
+    assert [c.name for c in deep] == ["f"] and deep[0].metadata.namespace.count("::") == 2999 and seconds < 5
