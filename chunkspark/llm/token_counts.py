@@ -18,7 +18,7 @@ from chunkspark.llm.shared import materialise, new_folder
 from chunkspark.llm.text import blocks
 from chunkspark.llm.tokens import encoder
 
-#: Bytes of an id, and of a block.
+#: Bytes of an id in files by `word_bpe_49k.json`, and of a block.
 WIDTH = 2
 BLOCK_BYTES = 1 << 22
 #: End of a document in files by `word_bpe_49k.json`.
@@ -115,12 +115,22 @@ def count_documents(files: DataFrame, separator: int = SEPARATOR, width: int = W
     return whole.unionByName(rest.filter("n_tokens > 0"))
 
 
-def token_counts(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def id_width(path: str, separator: int) -> int:
+    """Bytes that hold every id of a tokenizer and the separator: 1, 2, 4 or 8."""
+    from tokenizers import Tokenizer
+
+    most = max(separator, *Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values())
+    return next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+
+
+def token_counts(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", separator: int = SEPARATOR, width: int | None = None) -> DataFrame:
     """One row per row of `df`: doc_id, n_tokens, counted in flat token files of the shared folder.
 
-    Null and empty texts have 0 tokens. Repeated rows and rows with null ids are counted each for
-    itself; an empty table gives no rows.
+    Ids take `width` bytes, by default as many as the vocabulary needs; `separator` must not be an
+    id of ordinary text. Null and empty texts have 0 tokens. Repeated rows and rows with null ids
+    are counted each for itself; an empty table gives no rows.
     """
     folder = new_folder(df.sparkSession, "tokens")
-    manifest = write_token_files(df, path, folder, text, doc_id)
-    return manifest.join(count_documents(manifest), ["file", "place"]).select("doc_id", "n_tokens")
+    width = width or id_width(path, separator)
+    manifest = write_token_files(df, path, folder, text, doc_id, separator, width)
+    return manifest.join(count_documents(manifest, separator, width), ["file", "place"]).select("doc_id", "n_tokens")

@@ -55,13 +55,16 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class HashTable:
-    """Numbers of 64-bit keys in order of arrival; looks up whole arrays at once."""
+    """Numbers of 64-bit keys in order of arrival; looks up whole arrays at once. Doubles before it is half full."""
 
     def __init__(self, bits: int):
+        self._clear(bits)
+        self.n = 0
+
+    def _clear(self, bits: int) -> None:
         self.mask = np.uint64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, np.uint64)
         self.values = np.full(1 << bits, -1, np.int32)
-        self.n = 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Number of each key, -1 if it isn't there."""
@@ -78,6 +81,17 @@ class HashTable:
         """Number distinct keys that aren't there yet."""
         numbers = np.arange(self.n, self.n + len(keys), dtype=np.int32)
         self.n += len(keys)
+        bits = len(self.keys).bit_length() - 1
+        if 2 * self.n > len(self.keys):
+            while 2 * self.n > 1 << bits:
+                bits += 1
+            full = self.values >= 0
+            old, olds = self.keys[full], self.values[full]
+            self._clear(bits)
+            self._put(old, olds)
+        self._put(keys, numbers)
+
+    def _put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
         at = (keys & self.mask).astype(np.int64)
         while len(keys):
             free = self.values[at] < 0
@@ -88,7 +102,11 @@ class HashTable:
 
 
 class WordEncoder:
-    """Ids of blocks of text (see `text.blocks`). Keeps at most about 2 ** bits / 2 pieces, and 256 MB of them."""
+    """Ids of blocks of text (see `text.blocks`).
+
+    Forgets what it knows before a block when that is over 2 ** bits / 2 pieces or 256 MB of them; a
+    block of more pieces than that, which is one very long text, is learnt whole.
+    """
 
     def __init__(self, path: str, special: bool = True, bits: int = 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from chunkspark.llm.packing import pack, plan_packs
 from chunkspark.llm.text import blocks
-from chunkspark.llm.tokens import WordEncoder, tokenizer_path
+from chunkspark.llm.tokens import HashTable, WordEncoder, tokenizer_path
 
 from .conftest import ODD, sentence
 
@@ -104,3 +104,25 @@ def _encoder():
     if not _CODE:
         _CODE.append(WordEncoder(PATH, bits=12))  # a small table, so that it is forgotten now and then
     return _CODE[0]
+
+
+def test_table_grows():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 62, 5000).astype(np.uint64) << np.uint64(6))  # all alike in their last bits
+    found = HashTable(2)
+    for part in np.array_split(keys, 7):
+        assert (found.find(part) == -1).all()
+        found.add(part)
+    assert found.n == len(keys) and found.find(keys).tolist() == list(range(len(keys))) and (found.find(keys + np.uint64(1)) == -1).all()
+
+
+def test_one_text_of_more_pieces_than_slots(tokenizer):
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    n = np.arange(40_000)
+    words = np.stack([letters[n // 26**k % 26] for k in range(4)] + [np.full(len(n), 32, np.uint8)], axis=1)
+    texts = ["few words", words.tobytes().decode(), "few words again"]
+    code = WordEncoder(PATH, bits=10)
+    for a, b, raw, offsets in blocks(pa.array(texts, pa.string()), most=40):
+        ids, bounds = code.encode(raw, offsets)
+        for i in range(b - a):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(texts[a + i], add_special_tokens=False).ids

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from chunkspark.llm.token_counts import count_documents, token_counts
+from chunkspark.llm.token_counts import SEPARATOR, count_documents, id_width, token_counts
 from chunkspark.llm.tokens import tokenizer_path
 
 from .conftest import sentence
@@ -29,3 +29,14 @@ def test_counts_equal_the_tokenizer(spark, rng, odd_docs, no_docs):
     odd = token_counts(odd_docs, tokenizer_path()).collect()
     assert len(odd) == 15 and {r.doc_id: r.n_tokens for r in odd}[0] == 0
     assert token_counts(no_docs, tokenizer_path()).collect() == []
+
+
+def test_wider_ids(spark, rng):
+    path = tokenizer_path()
+    assert id_width(path, SEPARATOR) == 2 and id_width(path, 70_000) == 4
+    texts = {i: sentence(rng, 40) for i in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = dict(token_counts(df, path).collect())
+    assert dict(token_counts(df, path, separator=(1 << 31) + 5).collect()) == want
+    with pytest.raises(Exception, match="does not fit"):
+        token_counts(df, path, separator=70_000, width=2).collect()
