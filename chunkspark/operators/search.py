@@ -61,10 +61,10 @@ def batch_nearest(store: DataFrame, queries: DataFrame, k: int = 10, metric: str
     Queries go to the tasks in blocks of QUERY_BLOCK. Each task multiplies matrices and keeps k
     rows per query, so only tasks x queries x k rows are shuffled. `within` names a column of the
     store: k rows are then kept for each of its values, which comes after qid. Distances that agree
-    after rounding to `digits` are ties.
+    after rounding to `digits` are ties. A question without a vector finds nothing.
     """
     parts = []
-    rows = queries.select(query_id, query_vector).toLocalIterator()
+    rows = queries.filter(F.col(query_vector).isNotNull()).select(query_id, query_vector).toLocalIterator()
     block: list = []
     key = ["qid"] if within is None else ["qid", "within"]
 

@@ -8,6 +8,7 @@ and of two writers that began from one state the second fails and starts over.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -29,6 +30,16 @@ def insert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return current.unionByName(new.select(*current.columns))
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below `spark.checkpoint.dir`, which driver and executors share; a temporary one in a session of one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='chunkspark-')}"
+    return f"{root.rstrip('/')}/chunkspark-core/{name}-{uuid.uuid4().hex}"
+
+
 def _any(df: DataFrame) -> bool:
     return bool(df.take(1))
 
