@@ -1,8 +1,8 @@
-"""Tables that change as a whole: vectors, assets and chunks in Parquet.
+"""Changes of keyed rows, and the log that makes them visible.
 
-Plain Parquet has no MERGE. A change writes the new state beside the old one and then adds an entry
-to a log of versions. Entries are numbered and written once, so readers see one state or the other,
-and of two writers that began from one state the second fails and starts over.
+Plain Parquet has no MERGE. A change writes new files beside the old ones (see `segments`) and then
+adds an entry to a log of versions. Entries are numbered and written once, so readers see one state
+or the other, and of two writers that began from one state the second fails and starts over.
 """
 
 from __future__ import annotations
@@ -10,12 +10,10 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def upsert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,18 +87,30 @@ class Versions:
         system, where = self._at(name)
         return system.exists(where)
 
-    def last(self) -> tuple[int, dict]:
-        """(number, content) of the last entry; (0, {}) before the first."""
-        numbers = [n for n in self.names("log") if n.isdigit()]
-        if not numbers:
-            return 0, {}
-        system, where = self._at(f"log/{numbers[-1]}")
+    def _entry(self, name: str) -> dict:
+        system, where = self._at(f"log/{name}")
         stream = system.open(where)
         try:
-            return int(numbers[-1]), json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def _numbers(self) -> list[str]:
+        return [n for n in self.names("log") if n.isdigit()]
+
+    def last(self) -> tuple[int, dict]:
+        """(number, content) of the last entry; (0, {}) before the first."""
+        numbers = self._numbers()
+        return (int(numbers[-1]), self._entry(numbers[-1])) if numbers else (0, {})
+
+    def newest(self, n: int) -> list[dict]:
+        """Contents of the last `n` entries."""
+        return [self._entry(x) for x in self._numbers()[-n:]]
+
+    def entries(self, after: int = 0) -> list[tuple[int, dict]]:
+        """(number, content) of the entries that follow number `after`."""
+        return [(int(x), self._entry(x)) for x in self._numbers() if int(x) > after]
+
     def commit(self, after: int, content: dict) -> int:
         """Add the entry that follows number `after`; Conflict if there is one already."""
         jvm = self.spark._jvm
@@ -123,73 +133,3 @@ class Versions:
     def remove(self, name: str) -> None:
         system, where = self._at(name)
         system.delete(where, True)
-
-
-class Table:
-    """A versioned Parquet table at a path of any Hadoop file system with an atomic rename."""
-
-    #: How often a change starts over when another commit comes first.
-    TRIES = 5
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str], partition_by: list[str] | None = None):
-        self.spark, self.path, self.schema, self.keys, self.partition_by = spark, path.rstrip("/"), schema, keys, partition_by or []
-        self.versions = Versions(spark, self.path)
-
-    def version(self) -> str | None:
-        return self.versions.last()[1].get("version")
-
-    def _state(self, version: str | None) -> DataFrame:
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
-
-    def read(self) -> DataFrame:
-        """The current state, empty before the first commit."""
-        return self._state(self.version())
-
-    def change(self, make: Callable[[DataFrame], DataFrame]) -> None:
-        """Commit what `make` derives from the current state; starts over if another commit comes first."""
-        for left in reversed(range(self.TRIES)):
-            number, entry = self.versions.last()
-            old = entry.get("version")
-            version = f"v-{uuid.uuid4().hex}"
-            columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
-            writer = make(self._state(old)).select(*columns).write
-            try:
-                (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.path}/{version}")
-                self.versions.commit(number, {"version": version})
-            except Conflict:
-                self.versions.remove(version)
-                if not left:
-                    raise
-                continue
-            for name in self.versions.names():
-                if name.startswith("v-") and name not in (old, version):
-                    self._sweep(name)
-            return
-
-    def _sweep(self, name: str) -> None:
-        """Delete a state that no entry of the last two names. Others may be about to commit theirs, so young ones stay."""
-        system, where = self.versions._at(name)
-        age = self.spark._jvm.java.lang.System.currentTimeMillis() - system.getFileStatus(where).getModificationTime()
-        if age > 24 * 3600 * 1000:
-            self.versions.remove(name)
-
-    def replace(self, df: DataFrame) -> None:
-        """Commit a new state whatever the current one is."""
-        self.change(lambda _: df)
-
-    def upsert(self, new: DataFrame) -> None:
-        self.change(lambda now: upsert(now, new, self.keys))
-
-    def insert(self, new: DataFrame) -> None:
-        self.change(lambda now: insert(now, new, self.keys))
-
-    def update(self, new: DataFrame) -> None:
-        self.change(lambda now: update(now, new, self.keys))
-
-    def delete(self, keys: DataFrame) -> None:
-        self.change(lambda now: delete(now, keys, self.keys))
-
-    def get(self, keys: DataFrame) -> DataFrame:
-        return get(self.read(), keys, self.keys)

@@ -13,6 +13,7 @@ from chunkspark.config import SearchQuery, StoreConfig
 from chunkspark.functions.json import content_of
 from chunkspark.functions.vectors import metric_of
 from chunkspark.operators import search, store
+from chunkspark.operators.segments import Table
 from chunkspark.sources.domains import Registry
 
 STORES = Registry("vector store")
@@ -216,7 +217,7 @@ class VectorStore:
 
 
 def _parquet(spark: SparkSession, c: StoreConfig) -> store.Table:
-    return store.Table(spark, f"{c.location.rstrip('/')}/{c.table}", schema.VECTOR, ["id"])
+    return Table(spark, f"{c.location.rstrip('/')}/{c.table}", schema.VECTOR, ["id"])
 
 
 @STORES.register("parquet")

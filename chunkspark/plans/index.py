@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 import json
-import uuid
 from dataclasses import dataclass, fields
+from functools import reduce
 from urllib.parse import quote, unquote
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chunkspark import schema
 from chunkspark.config import DomainConfig, EmbeddingConfig, LanguageConfig, PathPatterns, default_languages
 from chunkspark.operators import store, sync
+from chunkspark.operators.segments import LevelOf, Segments, Table
 from chunkspark.plans.processors import Processor, create_processor
 
-#: Parts that a domain's tables are kept in. A change rewrites those that it touches.
-BUCKETS = 32
-
-
 @dataclass
 class Counts:
     found: int
@@ -31,44 +27,37 @@ class Counts:
 class Level:
     """Assets, chunks or vectors of all domains, or of one."""
 
-    def __init__(self, index: Index, name: str, kind: schema.T.StructType, asset: str):
-        self.index, self.name, self.schema, self.asset = index, name, kind, asset
+    def __init__(self, index: Index, name: str):
+        self.index, self.name = index, name
 
     def read(self, domain_id: str | None = None) -> DataFrame:
         domains = self.index.domain_ids() if domain_id is None else [domain_id]
-        paths = [p for d in domains for p in self.paths(d, self.index.versions(d).last()[1])]
-        return self.of(paths)
-
-    def paths(self, domain_id: str, state: dict) -> list[str]:
-        """Folders of a state that hold rows."""
-        log = self.index.versions(domain_id)
-        own = [f"{version}/{self.name}/bucket={b}" for b, version in state.items()]
-        return [f"{log.path}/{p}" for p in own if log.exists(p)]
-
-    def of(self, paths: list[str]) -> DataFrame:
-        spark = self.index.spark
-        return spark.read.schema(self.schema).parquet(*paths) if paths else spark.createDataFrame([], self.schema)
+        parts = [own.read(self.name, own.last()[1]) for own in map(self.index.segments, domains)]
+        return reduce(DataFrame.unionByName, parts) if parts else self.index.spark.createDataFrame([], self.index.levels[self.name].schema)
 
 
 class Index:
     """Domains, assets, chunks and vectors of a state folder.
 
-    Each domain has a log of versions. An entry names, for each bucket of assets, the folder that
-    holds its assets, chunks and vectors, so one commit changes all three.
+    Each domain has a log of versions. An entry lists the segments that hold its assets, chunks and
+    vectors, so one commit changes all three, and a run writes what it changes.
     """
 
     def __init__(self, spark: SparkSession, folder: str, config: EmbeddingConfig | None = None):
         self.spark, self.config = spark, config or EmbeddingConfig()
         self.folder = folder.rstrip("/")
-        self.domains = store.Table(spark, f"{self.folder}/domains", schema.DOMAIN, ["id"])
+        self.domains = Table(spark, f"{self.folder}/domains", schema.DOMAIN, ["id"])
         vectors = schema.T.StructType([*schema.VECTOR.fields, schema.T.StructField("domain_id", schema.T.StringType()), schema.T.StructField("asset_id", schema.T.StringType())])
-        self.assets = Level(self, "assets", schema.ASSET, "id")
-        self.chunks = Level(self, "chunks", schema.CHUNK, "asset_id")
-        self.vectors = Level(self, "vectors", vectors, "asset_id")
+        of_asset = ("domain_id", "asset_id")
+        self.levels = {"assets": LevelOf(schema.ASSET, ("domain_id", "id")), "chunks": LevelOf(schema.CHUNK, of_asset), "vectors": LevelOf(vectors, of_asset)}
+        self.assets, self.chunks, self.vectors = (Level(self, name) for name in self.levels)
 
     def versions(self, domain_id: str) -> store.Versions:
         return store.Versions(self.spark, f"{self.folder}/state/{quote(domain_id, safe='')}")
 
+    def segments(self, domain_id: str) -> Segments:
+        return Segments(self.versions(domain_id), self.levels, ("domain_id", "id"))
+
     def domain_ids(self) -> list[str]:
         return [unquote(n) for n in store.Versions(self.spark, f"{self.folder}/state").names()]
 
@@ -95,20 +84,17 @@ class Index:
         """
         domain_id = processor.domain.id
         self.register(processor.domain)
-        log = self.versions(domain_id)
-        number, state = log.last()
-        levels = (self.assets, self.chunks, self.vectors)
+        segments = self.segments(domain_id)
+        number, state = segments.last()
         seen = processor.source.scan(self.spark).persist(StorageLevel.DISK_ONLY)
-        stored = self.assets.of(self.assets.paths(domain_id, state))
+        stored = segments.read("assets", state)
         states = sync.diff(stored, seen.select("id", "domain_id", "asset_hash")).persist(StorageLevel.DISK_ONLY)
         kept = [seen, states]
         try:
             n = sync.counts(states).first()
             if not n["dirty"] and not n["deleted"]:
                 return Counts(n["found"], 0, 0, 0)
-            touched = states.filter("state <> 'unchanged'").select("domain_id", "id")
-            bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("string")
-            buckets = [r[0] for r in touched.select(bucket).distinct().collect()]
+            gone = states.filter("state in ('modified', 'deleted')").select("domain_id", "id")
             changed = states.filter("state in ('added', 'modified')").select("domain_id", "id")
             fresh = processor.source.load(seen.join(changed, ["domain_id", "id"], "left_semi")).persist(StorageLevel.DISK_ONLY)
             parsed = processor.parser.parse(fresh).persist(StorageLevel.DISK_ONLY)
@@ -118,21 +104,14 @@ class Index:
                 "chunks": parsed.select("id", "asset_id", "domain_id", "meta"),
                 "vectors": processor.indexer.index(parsed),
             }
-            version = f"v-{uuid.uuid4().hex}"
-            old = {b: v for b, v in state.items() if b in buckets}
-            for level in levels:
-                rest = level.of(level.paths(domain_id, old))
-                gone = touched.withColumnRenamed("id", level.asset)
-                columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in level.schema.fields]
-                rows = store.delete(rest, gone, ["domain_id", level.asset]).unionByName(new[level.name].select(*columns))
-                own = F.pmod(F.xxhash64(level.asset), F.lit(BUCKETS)).alias("bucket")
-                rows.select(*columns, own).repartition("bucket").write.partitionBy("bucket").parquet(f"{log.path}/{version}/{level.name}")
+            staged = segments.stage(new, gone)
             n_chunks = parsed.count()
             try:
-                log.commit(number, state | dict.fromkeys(buckets, version))
+                segments.commit(number, [*state, staged], staged)
             except store.Conflict:
-                log.remove(version)
+                segments.drop(staged)
                 raise
+            segments.compact()
             return Counts(n["found"], n["dirty"], n["deleted"], n_chunks)
         finally:
             for df in kept:
@@ -140,11 +119,12 @@ class Index:
 
     def sweep(self, domain_id: str) -> None:
         """Delete folders that the domain's current state doesn't name. For times without readers or writers."""
-        log = self.versions(domain_id)
-        live = set(log.last()[1].values())
-        for name in log.names():
-            if name.startswith("v-") and name not in live:
-                log.remove(name)
+        self.segments(domain_id).sweep()
+
+    def changes(self, domain_id: str, after: int = 0) -> DataFrame:
+        """Assets changed since commit `after`: domain_id, id, change (upsert or delete), commit."""
+        segments = self.segments(domain_id)
+        return segments.changes(segments.versions.entries(after))
 
     def search_store(self, domain_id: str) -> DataFrame:
         """The vectors of a domain; its folders alone are read."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chunkspark.operators.chat import progress
+from chunkspark.operators.segments import Segments
 
 
 def watch_files(spark: SparkSession, root: str, handle: Callable[[DataFrame, int], None], checkpoint: str, files_per_batch: int = 200, suffixes: str = "*") -> StreamingQuery:
@@ -22,15 +23,44 @@ def watch_files(spark: SparkSession, root: str, handle: Callable[[DataFrame, int
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_stream(stream: DataFrame, table, checkpoint: str) -> StreamingQuery:
-    """Keep a `store.Table` at the last row of each key; a batch is one commit."""
+def upsert_stream(stream: DataFrame, table, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Keep a `segments.Table` at the last row of each key; a batch is one commit.
+
+    The last row is that with the largest `order`. Without an order column a batch must have one row
+    for each key; two are an error, as which one is the last can't be told. Rows of a later batch
+    come after all of an earlier one.
+    """
 
     def commit(batch: DataFrame, epoch: int) -> None:
-        table.upsert(batch.dropDuplicates(table.keys))
+        rows = batch
+        if order is not None:
+            rows = batch.groupBy(*table.keys).agg(F.max_by(F.struct(*batch.columns), order).alias("_last"))
+            rows = rows.select(*(F.col("_last")[c].alias(c) for c in batch.columns))
+        elif batch.groupBy(*table.keys).count().filter("count > 1").take(1):
+            raise ValueError("several rows of a key in a batch need an order column")
+        table.upsert(rows)
 
     return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def change_stream(segments: Segments, handle: Callable[[DataFrame, int], None], checkpoint: str, commits_per_batch: int = 200) -> StreamingQuery:
+    """Hand the keys that commits of a table or a domain changed to `handle`, each commit once, in batches of commits.
+
+    Rows are those of `Segments.changes`. The log's entries are the stream's source: each is a file
+    that is written once, so the checkpoint knows which ones were handed over, and a restart goes on
+    after them. Ends when none is left.
+    """
+    spark = segments.spark
+    log = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", commits_per_batch).load(f"{segments.path}/log")
+    entries = log.select(F.element_at(F.split(F.input_file_name(), "/"), -1).cast("long").alias("number"), "value")
+
+    def deliver(batch: DataFrame, epoch: int) -> None:
+        found = sorted((r["number"], json.loads(r["value"])) for r in batch.toLocalIterator())  # a line for each commit
+        handle(segments.changes(found), epoch)
+
+    return entries.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def progress_stream(requests: DataFrame, key: str = "qid") -> DataFrame:
     """Status rows of a stream of requests."""
     return progress(requests, key)

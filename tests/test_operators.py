@@ -6,7 +6,7 @@ from chunkspark.config import EmbeddingConfig
 from chunkspark.functions import json as J
 from chunkspark.functions import text as X
 from chunkspark.functions import vectors as V
-from chunkspark.operators import chat, store, sync
+from chunkspark.operators import chat, segments, store, sync
 from chunkspark.operators.embed import PROVIDERS, embed_texts, embedding
 from chunkspark.operators.limiter import Window, rate_limit, remaining
 from chunkspark.operators.search import approximate_nearest, batch_nearest, nearest, search, vector_literal
@@ -110,7 +110,7 @@ def test_comments_and_json(spark):
 
 def test_store_table(spark, tmp_path):
     schema = spark.createDataFrame([], "id long, v string").schema
-    t = store.Table(spark, f"file://{tmp_path}/t", schema, ["id"])
+    t = segments.Table(spark, f"file://{tmp_path}/t", schema, ["id"])
 
     def rows(*r):
         return spark.createDataFrame(list(r), schema)
@@ -210,7 +210,7 @@ def test_a_broken_sync_changes_nothing(spark, tmp_path, monkeypatch):
 
 def test_the_second_of_two_writers_starts_over(spark, tmp_path):
     schema = spark.createDataFrame([], "id long, v string").schema
-    t = store.Table(spark, f"file://{tmp_path}/t", schema, ["id"])
+    t = segments.Table(spark, f"file://{tmp_path}/t", schema, ["id"])
     t.insert(spark.createDataFrame([(1, "a")], schema))
     seen = []
 

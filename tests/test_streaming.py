@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from chunkspark.operators.limiter import rate_limit
-from chunkspark.operators.store import Table
+from chunkspark.operators.segments import Table
 from chunkspark.streaming.jobs import progress_stream, track, upsert_stream, watch_files
 from chunkspark.streaming.limiter import rate_limit_stream
 
