@@ -105,10 +105,32 @@ def group_ids(nodes: list[dict], boxes: list[dict], edges: list[dict], transitiv
     return grouped(nodes, boxes, edges, transitive)[0]
 
 
+#: Boxes of sides over 2 ** HIGH, or without end, meet all nodes of their file; cells are no smaller than 2 ** LOW.
+LOW, HIGH = -20, 40
+
+
 def in_boxes(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
-    """file, node, box of every node inside a box of its file, borders included."""
+    """file, node, box of every node inside a box of its file, borders included.
+
+    A box lies in a grid of squares of a power of two just larger than its longer side, so it covers
+    four of them at most. A node lies in one square of each grid that its file's boxes use. Both meet
+    by an equal join on file, grid and square, each pair once, and the work follows the nodes and
+    the hits rather than nodes times boxes.
+    """
+    side = F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"), F.lit(2.0**LOW))
+    grid = F.when(side <= 2.0**HIGH, F.ceil(F.log2(side))).otherwise(HIGH + 1).cast("int")
+
+    def square(at, grid):
+        return F.when(grid <= HIGH, F.floor(at / F.pow(F.lit(2.0), grid))).otherwise(0).cast("long")
+
+    g = F.col("_grid")
+    cut = boxes.filter("x_min <= x_max and y_min <= y_max").withColumn("_grid", grid)
+    for c in "xy":
+        cut = cut.withColumn(f"_{c}", F.explode(F.sequence(square(F.col(f"{c}_min"), g), square(F.col(f"{c}_max"), g))))
+    grids = cut.select("file", "_grid").distinct()
+    spread = nodes.join(grids, "file").withColumn("_x", square(F.col("x"), g)).withColumn("_y", square(F.col("y"), g))
     within = F.col("x").between(F.col("x_min"), F.col("x_max")) & F.col("y").between(F.col("y_min"), F.col("y_max"))
-    return nodes.join(boxes, "file").filter(within)
+    return spread.join(cut, ["file", "_grid", "_x", "_y"]).filter(within).drop("_grid", "_x", "_y")
 
 
 def resolve_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

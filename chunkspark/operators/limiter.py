@@ -20,7 +20,9 @@ class Window:
         self.limit, self.width, self.times = limit, width, deque(times)
 
     def limited(self, now: int) -> bool:
-        """Whether a request at `now` is rejected; if not it is recorded."""
+        """Whether a request at `now` is rejected; if not it is recorded. One without a time is let through and not recorded."""
+        if pd.isna(now):
+            return False
         while self.times and now - self.times[0] >= self.width:
             self.times.popleft()
         if len(self.times) >= self.limit:
@@ -33,7 +35,8 @@ def rate_limit(requests: DataFrame, key: str = "user_id", event: str = "event_id
     """event, key, limited per request: rejected if `limit` requests of its key were let through in the window before it.
 
     A rejected request isn't recorded. One at exactly the window's length has expired. Requests of
-    a key at one time go by event id. Keys are sorted by time in their partition and folded as
+    a key at one time go by event id. Those without a time are let through and take no place in a
+    window. Keys are sorted by time in their partition and folded as
     they stream by, so a task holds one window and not a key's requests.
     """
     done = _folded(requests, key, event, ts, limit, window_seconds)

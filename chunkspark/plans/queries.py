@@ -352,6 +352,29 @@ def v1_upsert(spark, sf_dir):
     return store.upsert(*_vectors(spark, sf_dir), ["vec_id"])
 
 
+def _changed_table(spark, sf_dir):
+    """A table of segments: all vectors' labels, then a third of them replaced, then a fifth of the rest deleted."""
+    from chunkspark.operators.segments import Table
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
+    t = Table(spark, store.work_folder(spark, "table"), e.schema, ["vec_id"])
+    t.upsert(e)
+    t.upsert(e.filter("vec_id % 3 = 0").withColumn("label", F.col("label") + 100))
+    t.delete(e.filter("vec_id % 5 = 0 and vec_id % 3 <> 0").select("vec_id"))
+    return t
+
+
+@query("v1_segments", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label::BIGINT + 100 ELSE label::BIGINT END AS label FROM embeddings WHERE vec_id % 5 <> 0 OR vec_id % 3 = 0")
+def v1_segments(spark, sf_dir):
+    return _changed_table(spark, sf_dir).read()
+
+
+@query("y1_change_feed", "SELECT vec_id, 'upsert' AS change, 1::BIGINT AS commit FROM embeddings UNION ALL SELECT vec_id, 'upsert', 2 FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, 'delete', 3 FROM embeddings WHERE vec_id % 5 = 0 AND vec_id % 3 <> 0")
+def y1_change_feed(spark, sf_dir):
+    """Every key that each commit changed."""
+    return _changed_table(spark, sf_dir).changes()
+
+
 @query("v2_delete", "SELECT vec_id, label::BIGINT AS label FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id % 3 <> 0")
 def v2_delete(spark, sf_dir):
     return store.delete(*_vectors(spark, sf_dir), ["vec_id"])
