@@ -45,8 +45,9 @@ def statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     letters = per_row(_LETTER[raw], offsets)
     lines = per_row(_BREAK[raw], offsets) + (np.diff(offsets) > 0)
     is_break = np.flatnonzero(_BREAK[raw])
+    is_break = is_break[~np.isin(is_break, offsets[:-1])]  # before a text's first character stands nothing of its own
     ended = np.zeros(len(raw), bool)
-    ended[is_break[is_break > 0]] = _POINT[raw[is_break[is_break > 0] - 1]]
+    ended[is_break] = _POINT[raw[is_break - 1]]
     upper = np.concatenate([[0], np.cumsum(_UPPER[raw])])
     lettered = np.concatenate([[0], np.cumsum(_LETTER[raw])])
     loud = (lettered[ends] - lettered[starts] > 1) & (upper[ends] - upper[starts] == lettered[ends] - lettered[starts])
@@ -172,12 +173,13 @@ def held_out(doc_id: Column) -> Column:
 def learn(df: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str) -> RuleEnsemble:
     """Rules from a bounded sample of labelled rows that aren't held out. The driver sees the sample's statistics only."""
     sample = labelled_sample(df, labels, text, doc_id, label, TRAIN_ROWS, lambda c: ~held_out(c)).select("_id", F.col("_label").cast("int"), "_text")
-    schema = T.StructType([*sample.schema.fields[:2], *(T.StructField(s, T.DoubleType()) for s in STATS)])
-    rows = sample.mapInArrow(_statistics(2, list(STATS)), schema).orderBy(F.xxhash64("_id"), "_id").collect()
+    sample = sample.select(F.xxhash64("_id").alias("_hash"), "_id", "_label", "_text")
+    schema = T.StructType([*sample.schema.fields[:3], *(T.StructField(s, T.DoubleType()) for s in STATS)])
+    rows = sorted(sample.mapInArrow(_statistics(3, list(STATS)), schema).collect(), key=lambda r: (r["_hash"], r["_id"]))
     y = np.array([r["_label"] for r in rows], dtype=np.int64)
     if not 0 < y.sum() < len(y):
         return RuleEnsemble([], np.zeros(0), 0.0)
-    x = np.array([r[2:] for r in rows], dtype=np.float64)
+    x = np.array([r[3:] for r in rows], dtype=np.float64)
     usable = labels.filter(F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     n = dict(usable.filter(F.col(label).isin(0, 1)).groupBy(label).count().collect())  # two rows
     weight = np.where(y == 1, n.get(1, 1) / max(y.sum(), 1), n.get(0, 1) / max((1 - y).sum(), 1)).astype(np.float64)

@@ -53,7 +53,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chunkspark.llm.secrets import ledger_path, secrets_report
 
-    return secrets_report(_table(spark, sf_dir, "documents"), ledger_path(spark))
+    return secrets_report(_table(spark, sf_dir, "documents"), ledger_path(spark, sf_dir))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,12 +105,16 @@ def base_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts of op6_quality_rules, and the verdict on them alone."""
-    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    from chunkspark.llm.quality_rules import quality_report
+
+    return quality_report(_table(spark, sf_dir, "documents"), None, without_model=True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def base_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many secrets of the base kinds op7_secret_scan finds."""
-    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+    from chunkspark.llm.secrets import secrets_report
+
+    return secrets_report(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
 
 
 def base_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ table in the shared folder that runs append to; two runs that scan one blob ente
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,8 +48,13 @@ RULES = (
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
-def rule_version(rules=RULES) -> str:
-    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+#: Number of the code that turns rules into spans. It must grow when `rule_steps` or `_spans` give other spans
+#: for the same rules, so that what older code entered in a ledger is not taken for this code's findings.
+ENGINE = 2
+
+
+def rule_version(rules=RULES, engine: int = ENGINE) -> str:
+    return hashlib.sha256(repr((engine, rules)).encode()).hexdigest()[:16]
 
 
 def rule_steps(text: Column, rule: Rule) -> Column:
@@ -114,16 +120,16 @@ def find_secrets(versions: DataFrame, seen: DataFrame | None = None, text: str =
         known = seen.filter(F.col("rule_version") == rule_version(rules)).select(new.columns)
         ledger = new.unionByName(known.join(blobs.select("blob"), "blob", "left_semi"))
     found = blobs.select("blob", "n_paths").join(ledger.filter(F.size("spans") > 0).select("blob", "spans"), "blob", "left")
-    joined = lookup_join(paths, found, ["blob"], "n_paths", paths.count(), F.struct("key"))
+    joined = lookup_join(paths, found, ["blob"], "n_paths", paths.count(), F.struct("key"), wide=True)
     return joined.select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans")), new
 
 
 LEDGER = f"blob string, spans {SPAN}, rule_version string"
 
 
-def ledger_path(spark: SparkSession) -> str:
-    """Where the ledger of all runs is kept, in the shared folder."""
-    return f"{shared_root(spark)}/chunkspark-secrets-ledger"
+def ledger_path(spark: SparkSession, corpus: str) -> str:
+    """Where the ledger of all runs over a corpus is kept, in the shared folder."""
+    return f"{shared_root(spark)}/chunkspark-secrets-ledger/{hashlib.sha256(corpus.encode()).hexdigest()[:16]}"
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
@@ -140,6 +146,19 @@ def enter(new: DataFrame, path: str) -> None:
     new.select("blob", "spans", "rule_version").write.mode("append").partitionBy("rule_version").parquet(path)
 
 
+def compact_ledger(spark: SparkSession, path: str) -> None:
+    """Rewrite a ledger as few files, without repeated entries and those of other rules or older code. For times without runs."""
+    rows = read_ledger(spark, path)
+    if rows is None:
+        return
+    merged = f"{path}-{uuid.uuid4().hex}"
+    enter(rows.filter(F.col("rule_version") == rule_version()).hint("rebalance"), merged)
+    old, new = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, merged))
+    system = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(old, True)
+    system.rename(new, old)
+
+
 def spans_text(spans: Column, rules=RULES) -> Column:
     """kind:start:stop of each span, comma-joined."""
     kinds = F.array(*(F.lit(r.kind) for r in rules))

@@ -121,24 +121,31 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, spread: Column, ways: int = 512) -> DataFrame:
+#: Copies of a hot key's values where they are too wide to broadcast.
+SALTS = 64
+
+
+def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, spread: Column, ways: int = 512, wide: bool = False) -> DataFrame:
     """Left join to a table that is unique in `keys`, whatever the skew of the left side.
 
     `rows` of `right` counts the left rows of its key and `total` all of them; `right` must have
     every key of many left rows, be it without values. Keys with over
     `total / ways` rows are fewer than `ways`, so they are broadcast; their left rows leave the
-    key's partition by `spread`, and the others meet by an ordinary shuffle.
+    key's partition by `spread`, and the others meet by an ordinary shuffle. Values of no bound
+    (`wide`) are not broadcast: hot keys have them in SALTS copies, each for a share of the rows.
     """
     bar = max(total // ways, 1)
     hot_col, cold_col, salt = (fresh(left, c) for c in ("_hot", "_cold", "_salt"))
     # the salt of cold keys is 0, but not a literal: the optimizer would take that out of the join's keys
     values = [c for c in right.columns if c not in keys]
-    hot = right.filter(F.col(rows) > bar).select(*keys, F.struct(*values).alias(hot_col))
-    cold = right.filter(F.col(rows) <= bar).select(*keys, F.struct(*values).alias(cold_col), (F.col(rows) > bar).cast("int").alias(salt))
+    hot = right.filter(F.col(rows) > bar).select(*keys, (F.lit(1) if wide else F.struct(*values)).alias(hot_col))
+    copies = F.sequence(F.lit(1), F.lit(SALTS)) if wide else F.array().cast("array<int>")
+    own_salt = F.explode(F.when(F.col(rows) > bar, copies).otherwise(F.array(F.lit(0)))) if wide else (F.col(rows) > bar).cast("int")
+    cold = (right if wide else right.filter(F.col(rows) <= bar)).select(*keys, F.struct(*values).alias(cold_col), own_salt.alias(salt))
     marked = left.join(F.broadcast(hot), keys, "left")
-    marked = marked.withColumn(salt, F.when(F.col(hot_col).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(4096)).cast("int")))
+    marked = marked.withColumn(salt, F.when(F.col(hot_col).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(SALTS if wide else 4096)).cast("int")))
     joined = marked.join(cold, [*keys, salt], "left")
-    found = F.coalesce(hot_col, cold_col)
+    found = F.col(cold_col) if wide else F.coalesce(hot_col, cold_col)
     return joined.select(*left.columns, *[found[c].alias(c) for c in values])
 
 
@@ -147,6 +154,13 @@ BUILD_BYTES, BUILD_ROW = 32 << 20, 200
 
 
 def hashed_side(right: DataFrame, rows: int) -> DataFrame:
-    """`right`, unique in the join's keys, with a hint to build hash tables of it if its share of a task is small."""
+    """`right`, unique in the join's keys, with a hint to build hash tables of it if its share of a task is small.
+
+    Few rows get no hint: a shuffled hash join would shuffle the other side, which Spark spares by a
+    broadcast below its own threshold.
+    """
+    threshold = int(right.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    if rows * BUILD_ROW <= threshold:
+        return right
     tasks = int(right.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return right.hint("shuffle_hash") if rows * BUILD_ROW <= BUILD_BYTES * tasks else right

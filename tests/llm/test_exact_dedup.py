@@ -71,3 +71,11 @@ def test_digests_of_large_batches():
             for r in found:
                 data = ((r["t"] or "").translate(low) if lower else r["t"] or "").encode()
                 assert r["d"] == hashlib.sha256(data).digest() and r["n"] == len(data)
+
+
+def test_texts_are_not_shuffled_for_a_few_copies(spark):
+    docs = spark.createDataFrame([(i, f"text number {i % 195}") for i in range(200)], "doc_id long, text string")
+    found = drop_duplicates(docs)
+    assert found.count() == 195
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "ShuffledHashJoin" not in plan and "hashpartitioning" not in plan

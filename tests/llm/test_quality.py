@@ -112,3 +112,47 @@ def test_classifier_on_odd_rows_and_empty_tables(odd_docs, no_docs, no_labels):
     found = qc.classify(odd_docs, no_labels).collect()
     assert len(found) == 15 and {r.score for r in found} == {0.5} and all(v is not None and v == v for r in found for v in r[2:])
     assert qc.classify(no_docs, no_labels).collect() == []
+
+
+def plain_statistics(text):
+    """The statistics by their names, without arrays."""
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n_words, chars, symbols, dups, repeated = expected(text)
+    words, chars, n = max(n_words, 1), max(chars, 1), len
+    letters = n(re.findall("[A-Za-z]", text))
+    lines = text.count("\n") + (text != "")
+    loud = [x for x in w if n(re.findall("[A-Za-z]", x)) > 1 and not re.search("[a-z]", x)]
+    return [
+        np.log1p(n_words), expected(text)[1] / words, symbols / words, dups / max(lines, 1), repeated / words, n(re.findall("[A-Z]", text)) / max(letters, 1),
+        n(re.findall("[0-9]", text)) / chars, n(re.findall("[.,;:!?]", text)) / words, text.count("|") / words, n(re.findall("[!?]", text)) / words,
+        n(re.findall(r"[#*$%&<>=@~^_{}\[\]\\/]", text)) / words, np.log1p(lines), n_words / max(lines, 1), sum(n(x.encode()) <= 3 for x in w) / words, sum(n(x.encode()) >= 12 for x in w) / words,
+        n(set(w)) / words, n(re.findall("[^\x00-\x7f]", text)) / chars, n(loud) / words, n(re.findall("[.,;:!?]\n", text)) / max(lines, 1),
+    ]
+
+
+def all_statistics(texts, most=40):
+    return np.concatenate([qc.statistics(raw, offsets) for _, _, raw, offsets in blocks(pa.array(texts, pa.string()), most=most)]) if texts else np.zeros((0, 19))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text("abAB9 .!#|\n\t\x0bé中\U0001f600", max_size=40)), max_size=6))
+def test_statistics_equal_brute_force(texts):
+    assert np.allclose(all_statistics(texts), np.array([plain_statistics(t) for t in texts]).reshape(-1, 19))
+
+
+def test_statistics_of_odd_and_neighbouring_texts():
+    texts = [*ODD, "ends with a stop.", "\nbegins with a break", "WORDS of $many# kinds_\n" * 50]
+    assert np.allclose(all_statistics(texts, 1 << 20), [plain_statistics(t) for t in texts])
+
+
+def test_weights_of_labels(spark, tables, monkeypatch):
+    """Rows of a sample weigh as many as all usable rows with their label."""
+    docs, labels = tables
+    seen = []
+    monkeypatch.setattr(qc, "TRAIN_ROWS", 30)
+    monkeypatch.setattr(qc, "fit_rules", lambda x, y, weight: seen.append((y, weight)) or qc.RuleEnsemble([], np.zeros(0), 0.0))
+    qc.learn(docs, labels, "text", "doc_id", "quality")
+    y, weight = seen[0]
+    usable = Counter(r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    assert Counter(y.tolist()) == {0: 30, 1: 30} and all(weight[y == v].sum() == pytest.approx(usable[v]) for v in (0, 1))
