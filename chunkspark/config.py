@@ -43,6 +43,8 @@ class EmbeddingConfig:
     dimension: int = 768
     #: What questions begin with, for models that tell them from documents.
     query_prompt: str = ""
+    #: Folder of a `vector_cache`, if texts embedded before are to be looked up.
+    cache_path: str | None = None
 
 
 @dataclass

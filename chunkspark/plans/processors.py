@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from chunkspark.config import DomainConfig, EmbeddingConfig, LanguageConfig, PathPatterns, default_languages
 from chunkspark.operators.chunk import parse_assets, wrap_chunks
 from chunkspark.operators.embed import embedding
+from chunkspark.operators.vector_cache import VectorCache
 from chunkspark.sources.domains import Registry
 from chunkspark.sources.files import GIT, parseable, read_files, scan_files
 
@@ -108,8 +109,12 @@ class CodebaseIndexer:
     context: Context
 
     def index(self, chunks: DataFrame) -> DataFrame:
-        vector = embedding(F.col("content"), self.context.embedding).alias("embedding")
-        return chunks.select("id", vector, "content", F.col("meta").alias("doc_metadata"), "domain_id", "asset_id")
+        config = self.context.embedding
+        if config.cache_path:
+            chunks = VectorCache(chunks.sparkSession, config.cache_path).embed(chunks, "content", config)
+        else:
+            chunks = chunks.withColumn("embedding", embedding(F.col("content"), config))
+        return chunks.select("id", "embedding", "content", F.col("meta").alias("doc_metadata"), "domain_id", "asset_id")
 
 
 @dataclass

@@ -461,6 +461,19 @@ def x1_embed(spark, sf_dir):
     return _embedded(table(spark, sf_dir, "documents"), "doc_id")
 
 
+@query("x1_vector_cache", "SELECT hash, count(*) AS n FROM (SELECT sha256(coalesce(text, '')) AS hash FROM documents) GROUP BY hash")
+def x1_vector_cache(spark, sf_dir):
+    """Texts that the cache holds after embedding all documents twice, and the documents that share each one's vector."""
+    from chunkspark.config import EmbeddingConfig
+    from chunkspark.operators.vector_cache import VectorCache
+
+    cache, docs = VectorCache(spark, store.work_folder(spark, "vectors")), table(spark, sf_dir, "documents").select("doc_id", "text")
+    config = EmbeddingConfig(dimension=64)
+    cache.embed(docs, "text", config)
+    found = cache.embed(docs, "text", config).filter("embedding is not null").groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")).agg(F.count("*").alias("n"))
+    return cache.table.read().select("hash").join(found, "hash")
+
+
 @query("x1_embed_questions")
 def x1_embed_questions(spark, sf_dir):
     return _embedded(table(spark, sf_dir, "benchmark"), "item_id")

@@ -46,3 +46,26 @@ def test_sinks(spark, tmp_path):
     q = progress_stream(stream(), "id").writeStream.format("memory").queryName("progress").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("progress").count() == 8
+
+
+def test_shuffled_arrival_within_the_watermark(spark, tmp_path):
+    """Requests come up to an hour late; each is judged as the batch form judges it, and idle keys leave no state."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, at = random.Random(3), datetime(2024, 1, 1)
+    rows = [(i, rng.randrange(12), at + timedelta(seconds=40 * i)) for i in range(900)]
+    arrival = sorted(rows, key=lambda r: r[2] + timedelta(seconds=rng.randrange(3000)))
+    assert arrival != rows
+    last = [[(1000 + i, 99, at + timedelta(days=2 + i))] for i in range(2)]  # lets the watermark pass all others
+    kind = "event_id long, user_id int, ts timestamp"
+    for i, part in enumerate([arrival[a : a + 180] for a in range(0, 900, 180)] + last):
+        spark.createDataFrame(part, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    limited = rate_limit_stream(stream, limit=2, window_seconds=600, lateness="1 hour")
+    q = limited.writeStream.format("memory").queryName("ordered").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    got = sorted(tuple(r) for r in spark.table("ordered").filter("user_id <> 99").collect())
+    want = sorted(tuple(r) for r in rate_limit(spark.createDataFrame(rows, kind), limit=2, window_seconds=600).collect())
+    assert got == want and 0 < sum(x[2] for x in got) < len(got)
+    assert [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators][-1] == 1  # of the last key alone
