@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from itertools import groupby, islice
@@ -209,14 +210,15 @@ def _runs(folder: str):
     return run
 
 
-def _merge_groups(folder: str):
-    """Of rows group and run, sorted by group: one run of each group, with its size."""
+def _merge_groups(folder: str, bounds):
+    """Of rows part, group and run, sorted: one run of each group, with its part and size. `bounds` are where parts begin."""
     def run(batches):
-        rows = ((g, r) for batch in batches for g, r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for group, own in groupby(rows, key=lambda x: x[0]):
-            name = f"{task_file(folder, 'merged')}-{group}"
-            n = _write_run(name, merged([r for _, r in own], None, None))
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["run", "n"])
+        cuts = bounds.value
+        rows = ((p, g, r) for batch in batches for p, g, r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (part, group), own in groupby(rows, key=lambda x: x[:2]):
+            name = f"{task_file(folder, 'merged')}-{part}-{group}"
+            n = _write_run(name, merged([r for _, _, r in own], cuts[part - 1] if part else None, cuts[part] if part < len(cuts) else None))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([n], pa.int64())], names=["part", "run", "n"])
 
     return run
 
@@ -287,12 +289,14 @@ def merged(runs: list[str], low: tuple | None, high: tuple | None) -> Iterator[t
 
 
 def _ranges(runs, bounds):
+    """Captures of ranges by number. `runs` has the ranges at which parts begin, but for the first, and each part's runs."""
     def run(batches):
-        names, cuts = runs.value, bounds.value
+        (parts, names), cuts = runs.value, bounds.value
         for batch in batches:
             for i in batch.column(0).to_pylist():
                 rows: list[tuple] = []
-                for row in merged(names, cuts[i - 1] if i else None, cuts[i] if i < len(cuts) else None):
+                own = names.get(bisect_right(parts, i), [])
+                for row in merged(own, cuts[i - 1] if i else None, cuts[i] if i < len(cuts) else None):
                     rows.append(row)
                     if len(rows) == BATCH:
                         yield _batch(rows)
@@ -306,27 +310,36 @@ def _ranges(runs, bounds):
 def read_archives(archives: DataFrame, folder: str, per_range: int = RANGE, most_runs: int = MOST_RUNS) -> DataFrame:
     """Captures of the archives named in `archives` (column file), see CAPTURE, globally ordered.
 
-    Partitions are ranges of keys in order, and sorted. The driver sees the names of the last
-    `most_runs` runs and one splitter per range.
+    Partitions are ranges of keys in order, and sorted. Passes merge within parts of the keys, at least
+    `most_runs` groups of runs in each, so that none has fewer tasks than the cluster has cores. The
+    driver sees the names of the last `most_runs` runs of each part and one splitter per range.
     """
     spark = archives.sparkSession
     sample = archives.select("file").repartition("file").mapInArrow(_runs(folder), "run string, n long, url_key string, capture_time string, page_id long")
     sample = materialise(sample, "run_keys")
     runs = materialise(sample.select("run", "n").distinct(), "runs")  # one per archive that has records
     n_runs, total = runs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    while n_runs > most_runs:
-        groups = -(-n_runs // FAN_IN)
-        dealt = runs.select(F.pmod(F.xxhash64("run"), F.lit(groups)).alias("group"), "run")
-        dealt = dealt.repartition(groups, "group").sortWithinPartitions("group", "run")
-        runs = materialise(dealt.mapInArrow(_merge_groups(folder), "run string, n long"), "runs")
-        n_runs = runs.count()
     n = max(1, -(-total // per_range))
     cuts: list[tuple] = []
     if n > 1:
         by = ["url_key", "capture_time", "page_id"]
         dealt = sample.select(by).repartitionByRange(n, *by).groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(*by)).alias("k"))
         cuts = sorted({tuple(r["k"]) for r in dealt.collect()})[1:]
-    names = spark.sparkContext.broadcast(sorted(r[0] for r in runs.select("run").collect()))  # `most_runs` at most
+    # a pass has a task for each part of the keys and group of runs, no fewer than the cluster's cores if ranges are as many
+    n_parts = min(len(cuts) + 1, max(1, -(-spark.sparkContext.defaultParallelism // most_runs))) if n_runs > most_runs else 1
+    starts = [i * (len(cuts) + 1) // n_parts for i in range(1, n_parts)]  # parts begin at these ranges
+    part_cuts = spark.sparkContext.broadcast([cuts[i - 1] for i in starts])
+    runs = runs.select(F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), "run", "n")
+    while n_runs > most_runs:
+        groups = max(-(-n_runs // FAN_IN), most_runs)
+        dealt = runs.select("part", F.pmod(F.xxhash64("run"), F.lit(groups)).alias("group"), "run")
+        dealt = dealt.repartition(groups * n_parts, "part", "group").sortWithinPartitions("part", "group", "run")
+        runs = materialise(dealt.mapInArrow(_merge_groups(folder, part_cuts), "part int, run string, n long"), "runs")
+        n_runs = groups
+    own: dict[int, list[str]] = {}
+    for r in runs.select("part", "run").collect():  # `most_runs` of each part at most
+        own.setdefault(r["part"], []).append(r["run"])
+    names = spark.sparkContext.broadcast((starts, {part: sorted(own[part]) for part in own}))
     bounds = spark.sparkContext.broadcast(cuts)
     return spark.range(0, len(cuts) + 1, 1, len(cuts) + 1).mapInArrow(_ranges(names, bounds), CAPTURE_SQL)
 
