@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +44,7 @@ class Segments:
     def __init__(self, versions: Versions, levels: dict[str, LevelOf], keys: tuple[str, ...]):
         self.versions, self.levels, self.keys = versions, levels, keys
         self.spark, self.path = versions.spark, versions.path
+        self.options: dict[str, str] = {}  # of the files of rows
 
     def last(self) -> tuple[int, list[dict]]:
         """(number, segments) of the last entry."""
@@ -62,7 +63,7 @@ class Segments:
         name = f"s-{uuid.uuid4().hex}"
         for level, rows in new.items():
             columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.levels[level].schema.fields]
-            rows.select(*columns).hint("rebalance").write.parquet(f"{self.path}/{name}/{level}")
+            rows.select(*columns).hint("rebalance").write.options(**self.options).parquet(f"{self.path}/{name}/{level}")
         if callable(gone):
             level = next(iter(new))
             gone = gone(self.spark.read.schema(self.levels[level].schema).parquet(f"{self.path}/{name}/{level}"))
@@ -96,10 +97,14 @@ class Segments:
     def read_gone(self, segment: dict) -> DataFrame:
         return self.spark.read.schema(self.key_schema()).parquet(f"{self.path}/{segment['name']}/gone")
 
-    def read(self, level: str, segments: list[dict]) -> DataFrame:
-        """Live rows of a level. Without keys taken back this is a plain scan, else an anti join with those keys alone."""
+    def read(self, level: str, segments: list[dict], pick: Callable[[dict], Column | None] | None = None) -> DataFrame:
+        """Live rows of a level. Without keys taken back this is a plain scan, else an anti join with those keys alone.
+
+        `pick` gives the condition on a segment's rows, or None if none of them is wanted; its files aren't opened then.
+        """
         own = self.levels[level]
-        parts = [self.spark.read.schema(own.schema).parquet(f"{self.path}/{s['name']}/{level}").withColumn("_segment", F.lit(i)) for i, s in enumerate(segments) if level in s["levels"]]
+        wanted = [(i, s, F.lit(True) if pick is None else pick(s)) for i, s in enumerate(segments) if level in s["levels"]]
+        parts = [self.spark.read.schema(own.schema).parquet(f"{self.path}/{s['name']}/{level}").filter(c).withColumn("_segment", F.lit(i)) for i, s, c in wanted if c is not None]
         if not parts:
             return self.spark.createDataFrame([], own.schema)
         rows = _union(parts)

@@ -93,6 +93,20 @@ QUERIES["p5_post_filter"], SQL["p5_post_filter"] = _filtered(False)
 QUERIES["p6_pre_filter"], SQL["p6_pre_filter"] = _filtered(True)
 
 
+@query("p6_indexed", SQL["p6_pre_filter"])
+def p6_indexed(spark, sf_dir):
+    """As p6_pre_filter, over a table with indexed metadata, written in three segments by label: two aren't opened."""
+    from chunkspark.operators.metadata import MetadataTable
+
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.col("vec_id").cast("string").alias("id"), "embedding", F.lit(None).cast("string").alias("content"), F.to_json(F.struct("label")).alias("doc_metadata"), (F.col("label") % 3).alias("part"))
+    t = MetadataTable(spark, store.work_folder(spark, "metadata"), {"label": "long"})
+    for i in range(3):
+        t.upsert(rows.filter(F.col("part") == i))
+    found = t.where({"label": 0}).withColumn("id", F.col("id").cast("long"))
+    return nearest(found, _query_vector(spark, sf_dir), 10).select(F.col("id").alias("vec_id"), V.settled(F.col("score")).alias("score"))
+
+
 @query("p7_threshold", f"WITH {_SCALED_SQL}, d AS (SELECT vec_id, list_distance(v, qv) AS dist FROM s, q) SELECT vec_id, round(1.0 - dist, 6) + 0.0 AS score FROM (SELECT * FROM d ORDER BY dist, vec_id LIMIT 10) WHERE 1.0 - dist >= -0.2")
 def p7_threshold(spark, sf_dir):
     found = search(_scaled(spark, sf_dir), _query_vector(spark, sf_dir), 10, "l2", threshold=-0.2)
