@@ -106,6 +106,14 @@ def release() -> None:
             return
 
 
+def spread(few: DataFrame, *by: str, most: int = 50_000) -> DataFrame:
+    """`few`, a written table whose rows each stand for much work, with a task for each row, or `most` tasks.
+
+    Spark sizes the partitions of a shuffle without a number by bytes, and would give such rows to one task.
+    """
+    return few.repartitionByRange(max(1, min(few.count(), most)), *by)
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches cut to a few rows each, for work that copies what it reads."""
     for batch in batches:

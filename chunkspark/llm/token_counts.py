@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkspark.llm.files import create, open_random, size_of, task_file
-from chunkspark.llm.shared import materialise, new_folder
+from chunkspark.llm.shared import materialise, new_folder, spread
 from chunkspark.llm.text import blocks
 from chunkspark.llm.tokens import encoder
 
@@ -101,7 +101,7 @@ def count_documents(files: DataFrame, separator: int = SEPARATOR, width: int = W
     """
     assert block % width == 0
     found = files.select("file").distinct().mapInArrow(_sized(width, block), "file string, first_id long, end_id long")
-    dealt = found.repartition("file", "first_id")
+    dealt = spread(materialise(found, "block_list"), "file", "first_id")
     summaries = materialise(dealt.mapInArrow(_searched(separator, width, block), SUMMARY), "blocks")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     n = F.size("lengths")

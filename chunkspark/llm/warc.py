@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkspark.llm.files import create, open_random, open_system, task_file
-from chunkspark.llm.shared import hashed_side, lookup_join, materialise, new_folder
+from chunkspark.llm.shared import hashed_side, lookup_join, materialise, new_folder, spread
 
 #: Payloads below this many bytes are always stored whole.
 LEAST_SHARED = 100
@@ -315,7 +315,7 @@ def read_archives(archives: DataFrame, folder: str, per_range: int = RANGE, most
     driver sees the names of the last `most_runs` runs of each part and one splitter per range.
     """
     spark = archives.sparkSession
-    sample = archives.select("file").repartition("file").mapInArrow(_runs(folder), "run string, n long, url_key string, capture_time string, page_id long")
+    sample = spread(archives.select("file"), "file").mapInArrow(_runs(folder), "run string, n long, url_key string, capture_time string, page_id long")
     sample = materialise(sample, "run_keys")
     runs = materialise(sample.select("run", "n").distinct(), "runs")  # one per archive that has records
     n_runs, total = runs.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
