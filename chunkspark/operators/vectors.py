@@ -127,13 +127,17 @@ class JdbcStore:
         rows = rows.toDF(*(c.lower() for c in rows.columns))
         return rows.select("id", F.from_json("embedding", "array<float>").alias("embedding"), "content", "doc_metadata")
 
-    def _apply(self, new: DataFrame, columns: list[str], statements: Callable[[str], list[str]]) -> None:
+    def _apply(self, new: DataFrame, columns: list[str], statements: Callable[[str], list[str]], all_there: bool = False) -> None:
         staging = f"{self.table}_{uuid.uuid4().hex[:12]}"
         rows = new.select(*(F.to_json(c).alias(c) if c == "embedding" else F.col(c) for c in columns))
         kinds = ", ".join(f"{c} {self.staged[c]}" for c in columns)
         self.run(f"CREATE TABLE {staging} ({kinds})")
         try:
             rows.write.format("jdbc").options(url=self.url, dbtable=staging, **self.options).mode("append").save()
+            if all_there:  # asked of the database, which answers with a number
+                missing = f"(SELECT count(*) AS n FROM {staging} s WHERE NOT EXISTS (SELECT 1 FROM {self.table} t WHERE t.id = s.id)) q"
+                if self.spark.read.format("jdbc").options(url=self.url, dbtable=missing, **self.options).load().first()[0]:
+                    raise KeyError("a row to update isn't there")
             self.run(*statements(staging))
         finally:
             self.run(f"DROP TABLE {staging}")
@@ -145,12 +149,12 @@ class JdbcStore:
     def insert(self, new: DataFrame) -> None:
         self._apply(new, schema.VECTOR.names, lambda s: [self._insert_sql(s)])
 
-    def upsert(self, new: DataFrame) -> None:
-        self._apply(new, schema.VECTOR.names, lambda s: [f"DELETE FROM {self.table} WHERE id IN (SELECT id FROM {s})", self._insert_sql(s)])
+    def upsert(self, new: DataFrame, all_there: bool = False) -> None:
+        self._apply(new, schema.VECTOR.names, lambda s: [f"DELETE FROM {self.table} WHERE id IN (SELECT id FROM {s})", self._insert_sql(s)], all_there)
 
     def update(self, new: DataFrame) -> None:
-        store.update(self.read(), new, ["id"])  # raises unless every id is there
-        self.upsert(new)
+        """Like `upsert`, but every id must be there."""
+        self.upsert(new, all_there=True)
 
     def delete(self, keys: DataFrame) -> None:
         self._apply(keys, ["id"], lambda s: [f"DELETE FROM {self.table} WHERE id IN (SELECT id FROM {s})"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +14,13 @@ from chunkspark.operators.search import batch_nearest, over_domains, search, vec
 
 
 def retrieve(questions: DataFrame, stores: dict[str, DataFrame], k: int = 10, metric: str = "l2", config: EmbeddingConfig | None = None) -> DataFrame:
-    """qid, domain, id, document, score, rk: the k nearest rows of every domain to each question (qid, question)."""
-    asked = questions.select("qid", embedding(F.col("question"), config, "query").alias("qv"))
-    results = {}
-    for name, store in stores.items():
-        found = batch_nearest(store, asked, k, metric)
-        results[name] = found.join(store.select("id", F.col("content").alias("document")), "id").withColumn("score", 1 - F.col("dist"))
-    return over_domains(results).select("qid", "domain", "id", "document", "score", "rk")
+    """qid, domain, id, document, score, rk: the k nearest rows of every domain to each question (qid, question).
+
+    Questions are embedded once and asked of all stores in one batch.
+    """
+    rows = reduce(DataFrame.unionByName, (store.select("id", "embedding", F.col("content").alias("document"), F.lit(name).alias("domain")) for name, store in stores.items()))
+    found = retrieve_within(questions, rows, "domain", k, metric, config)
+    return found.join(rows.select("domain", "id", "document"), ["domain", "id"]).select("qid", "domain", "id", "document", (1 - F.col("dist")).alias("score"), "rk")
 
 
 def retrieve_within(questions: DataFrame, store: DataFrame, domain: str = "domain", k: int = 10, metric: str = "l2", config: EmbeddingConfig | None = None, digits: int | None = None) -> DataFrame:

@@ -28,6 +28,8 @@ class Service:
     def __init__(self, index: Index, chat: ChatConfig | None = None, processors: list[Processor] | None = None):
         self.index, self.chat, self.processors = index, chat or ChatConfig(), processors or []
         self._parsing = threading.Lock()
+        #: The outcome of each domain's last run: status, and error if it failed.
+        self.parsed: dict[str, dict] = {}
 
     def stores(self) -> dict:
         return {d: self.index.search_store(d) for d in self.index.domain_ids()}
@@ -55,11 +57,17 @@ class Service:
             yield row | {"status": "ERROR", "answer": FAILED, "error": str(e), "retrieved_context": []}
 
     def parse(self) -> threading.Thread:
-        """Bring all domains up to date in the background, one run after another."""
+        """Bring all domains up to date in the background, one run after another; `parsed` has what became of each."""
         def work() -> None:
             with self._parsing:
                 for p in self.processors:
-                    self.index.run(p)
+                    name = p.domain.id
+                    self.parsed[name] = {"status": "running"}
+                    try:
+                        self.index.run(p)
+                        self.parsed[name] = {"status": "done"}
+                    except Exception as e:  # a domain that fails doesn't keep the others  # noqa: BLE001
+                        self.parsed[name] = {"status": "failed", "error": str(e)}
 
         thread = threading.Thread(target=work, daemon=True)
         thread.start()
@@ -105,7 +113,7 @@ def serve_tools(service: Service, source=None, sink=None) -> None:
 
 
 def http_server(service: Service, host: str = "127.0.0.1", port: int = 0) -> ThreadingHTTPServer:
-    """GET /health, /search?query=, /chat?question= (server-sent events); POST /parse. The caller starts and ends it."""
+    """GET /health, /search?query=, /chat?question= (server-sent events), /parse (outcomes); POST /parse. The caller starts and ends it."""
 
     class Handler(BaseHTTPRequestHandler):
         def log_message(self, *args) -> None:
@@ -124,6 +132,8 @@ def http_server(service: Service, host: str = "127.0.0.1", port: int = 0) -> Thr
             given = {k: v[0] for k, v in parse_qs(url.query).items()}
             if url.path == "/health":
                 self.reply(200, {"status": "ok"})
+            elif url.path == "/parse":
+                self.reply(200, dict(service.parsed))
             elif url.path == "/search" and given.get("query"):
                 self.reply(200, [json.loads(x) for x in service.search(given["query"], int(given.get("top_k", 10)))])
             elif url.path == "/chat" and given.get("question"):

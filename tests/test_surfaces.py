@@ -146,6 +146,35 @@ def test_tools(service):
     assert got[4]["error"]["code"] == -32602 and got[5]["error"]["code"] == -32601 and got[6]["result"]["isError"]
 
 
+def test_background_runs_say_what_became_of_them(service, spark):
+    from dataclasses import replace
+
+    good = service.processors[0]
+
+    class Broken:
+        def scan(self, spark):
+            raise OSError("the disk is gone")
+
+    service.processors = [replace(good, domain=DomainConfig("bad", "Bad", "codebase", meta=good.domain.meta), source=Broken()), good]
+    assert service.parsed == {}
+    service.parse().join()
+    assert service.parsed[good.domain.id] == {"status": "done"}
+    assert service.parsed["bad"]["status"] == "failed" and "disk is gone" in service.parsed["bad"]["error"]
+
+
+def test_questions_are_asked_of_all_stores_at_once(spark):
+    from chunkspark.operators.embed import embedding
+    from chunkspark.plans.retrieve import retrieve
+
+    config = EmbeddingConfig(dimension=32)
+    words = ["apple pie", "river stone", "blue sky", "old river"]
+    made = {d: spark.createDataFrame([(f"{i}", w + d) for i, w in enumerate(words)], "id string, content string").withColumn("embedding", embedding(F.col("content"), config)) for d in ("", " b")}
+    asked = spark.createDataFrame([(1, "river stone"), (2, "apple pie b")], "qid int, question string")
+    found = retrieve(asked, made, 2, config=config).collect()
+    assert len(found) == 8 and {(r.qid, r.domain, r.document) for r in found if r.rk == 1} == {(1, "", "river stone"), (1, " b", "river stone b"), (2, "", "apple pie"), (2, " b", "apple pie b")}
+    assert all(abs(r.score - 1) < 1e-6 for r in found if (r.qid, r.domain, r.rk) in ((1, "", 1), (2, " b", 1)))
+
+
 def test_http(service):
     server = serve.http_server(service)
     threading.Thread(target=server.serve_forever, daemon=True).start()
@@ -162,6 +191,7 @@ def test_http(service):
         assert get("/health") == (200, '{"status": "ok"}') and get("/none")[0] == 404 and get("/search")[0] == 400
         assert get("/parse", b"")[0] == 202
         service.parse().join()
+        assert {x["status"] for x in json.loads(get("/parse")[1]).values()} == {"done"}
         assert json.loads(get("/search?query=apple&top_k=1")[1])[0]["id"] == "a.py:0-1"
         events = [json.loads(x.split("data: ")[1]) for x in get("/chat?question=river+stone")[1].strip().split("\n\n")]
         assert [e["status"] for e in events] == ["STARTING", "RETRIEVING", "ANSWERING", "COMPLETE"] and events[-1]["answer"] == "so it is"
