@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkspark import schema
@@ -27,13 +27,10 @@ def with_ids(rows: DataFrame, style: str = "uuid", id_col: str = "id") -> DataFr
         return rows.withColumn(id_col, F.uuid())
     numbered = rows.withColumn("_at", F.monotonically_increasing_id())
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = dict(numbered.groupBy(part.alias("p")).count().collect())  # one row per partition
-    before, upto = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        before.append(upto)
-        upto += sizes.get(p, 0)
-    offsets = F.array(*map(F.lit, before)) if before else F.array(F.lit(0))
-    return numbered.withColumn(id_col, (F.element_at(offsets, (part + 1).cast("int")) + place).cast("string")).drop("_at")
+    sizes = numbered.groupBy(part.alias("_part")).count()  # one row per partition
+    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = numbered.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return placed.withColumn(id_col, (F.col("_before") + place).cast("string")).drop("_at", "_part", "_before")
 
 
 class MemoryStore:
