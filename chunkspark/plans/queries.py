@@ -79,6 +79,17 @@ def w1_batch_knn(spark, sf_dir):
     return batch_nearest(e, asked, 5, digits=6).select("qid", F.col("id").alias("vec_id"), "rk")
 
 
+@query("j6_blocks", SQL["w1_batch_knn"])
+def j6_blocks(spark, sf_dir):
+    """As w1_batch_knn, with the questions as a table and rows in blocks that a bound can rule out."""
+    from chunkspark.operators.blocks import BlockIndex
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = e.filter("id % 50 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("qv"))
+    index = BlockIndex(spark, store.work_folder(spark, "blocks")).build(e)
+    return index.search(asked, 5, digits=6).select("qid", F.col("id").alias("vec_id"), "rk")
+
+
 def _filtered(pre: bool):
     def run(spark, sf_dir):
         e = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
