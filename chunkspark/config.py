@@ -45,6 +45,13 @@ class EmbeddingConfig:
     query_prompt: str = ""
     #: Folder of a `vector_cache`, if texts embedded before are to be looked up.
     cache_path: str | None = None
+    #: Of providers behind a server: its address, the environment variable with its key, texts and characters of a request, tries and seconds.
+    url: str | None = None
+    key_variable: str | None = None
+    batch_texts: int = 64
+    batch_characters: int = 200_000
+    tries: int = 5
+    timeout: float = 60.0
 
 
 @dataclass

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
+import time
+import urllib.error
+import urllib.request
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -45,6 +50,67 @@ def hashing(config: EmbeddingConfig) -> Callable[[list[str], str], np.ndarray]:
     return embed
 
 
+#: Answers after which a request is sent again, and the longest wait before that.
+AGAIN, MOST_WAIT = {408, 425, 429, 500, 502, 503, 504}, 30.0
+
+
+def _asked(config: EmbeddingConfig, texts: list[str], mode: str) -> list[list[float]]:
+    """Vectors of one request, in the order of its texts. What may pass is tried again, later each time."""
+    body = json.dumps({"model": config.model, "input": texts, "input_type": mode}).encode()
+    headers = {"Content-Type": "application/json"}
+    if config.key_variable and os.environ.get(config.key_variable):
+        headers["Authorization"] = f"Bearer {os.environ[config.key_variable]}"
+    for n in range(1, config.tries + 1):
+        wait = min(MOST_WAIT, 0.25 * 2**n)
+        try:
+            with urllib.request.urlopen(urllib.request.Request(config.url, body, headers), timeout=config.timeout) as answer:
+                got = json.load(answer)
+            break
+        except urllib.error.HTTPError as e:
+            if e.code not in AGAIN or n == config.tries:
+                raise RuntimeError(f"{config.url} answered {e.code}") from e
+            said = e.headers.get("Retry-After", "")
+            wait = min(MOST_WAIT, float(said)) if re.fullmatch(r"\d+(\.\d+)?", said) else wait
+        except (urllib.error.URLError, ConnectionError, TimeoutError) as e:
+            if n == config.tries:
+                raise RuntimeError(f"{config.url} can't be reached: {e}") from e
+        time.sleep(wait)
+    if "embeddings" in got:
+        out = got["embeddings"]
+    else:
+        rows = got["data"]
+        out = [r["embedding"] for r in sorted(rows, key=lambda r: r["index"])] if all("index" in r for r in rows) else [r["embedding"] for r in rows]
+    if len(out) != len(texts) or any(len(v) != config.dimension for v in out):
+        raise RuntimeError(f"{config.url} gave {len(out)} vectors of {sorted({len(v) for v in out})} numbers for {len(texts)} texts of {config.dimension}")
+    return out
+
+
+@PROVIDERS.register("http")
+def over_http(config: EmbeddingConfig) -> Callable[[list[str], str], np.ndarray]:
+    """Vectors from a server that takes {model, input, input_type} and answers {data: [{index, embedding}]} or {embeddings}.
+
+    A batch's texts go once each, in requests of at most `batch_texts` texts and `batch_characters`
+    characters (a longer text goes alone, whole). Each task sends one request at a time, so a
+    server sees as many as there are cores; the key is read where the task runs.
+    """
+    if not config.url:
+        raise ValueError("the http provider needs a url")
+
+    def embed(texts: list[str], mode: str) -> np.ndarray:
+        own = list(dict.fromkeys(texts))
+        vectors: dict[str, list[float]] = {}
+        batch, size = [], 0
+        for i, text in enumerate(own):
+            batch.append(text)
+            size += len(text)
+            if i + 1 == len(own) or len(batch) == config.batch_texts or size + len(own[i + 1]) > config.batch_characters:
+                vectors |= zip(batch, _asked(config, batch, mode), strict=True)
+                batch, size = [], 0
+        return np.array([vectors[t] for t in texts], np.float32).reshape(len(texts), config.dimension)
+
+    return embed
+
+
 def prompted(texts: list[str], config: EmbeddingConfig, mode: str) -> list[str]:
     """Texts as the provider gets them: queries begin with the config's prompt."""
     if mode not in MODES:

@@ -1,6 +1,6 @@
 """Vectors by content: a text is embedded once for each space, whatever row, file or run it is met in.
 
-A space is what a vector depends on besides its text: provider, model, dimension, mode and prompt.
+A space is what a vector depends on besides its text: provider, model, dimension, mode, prompt and server.
 The cache is a table of segments, so a run adds the texts that it lacks and rewrites nothing.
 """
 
@@ -22,7 +22,8 @@ CACHED = fields(space=T.StringType(), hash=T.StringType(), embedding=T.ArrayType
 
 def space_of(config: EmbeddingConfig, mode: str) -> str:
     prompt = config.query_prompt if mode == "query" else ""
-    return hashlib.sha256(json.dumps([config.provider, config.model, config.dimension, mode, prompt]).encode()).hexdigest()[:32]
+    server = [config.url] if config.url else []
+    return hashlib.sha256(json.dumps([config.provider, config.model, config.dimension, mode, prompt, *server]).encode()).hexdigest()[:32]
 
 
 class VectorCache:

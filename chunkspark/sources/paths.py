@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import fnmatch
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chunkspark.config import LanguageConfig, PathPatterns, default_languages
 
+#: Folders whose verdict by ignore rules a task remembers.
+FOLDERS = 100_000
+
 
 def java_pattern(glob: str) -> str:
     """A regular expression for a shell pattern whose stars also cross slashes."""
@@ -83,23 +89,58 @@ def ignore_pattern(rule: str, folder: str = "") -> tuple[str, bool]:
     return f"^{base}{'' if anchored else '(?:.*/)?'}{out}{'/' if folders_only else '/?'}$", keep
 
 
+def _judge(rules: list[tuple[str, str]]) -> Callable[[str], bool]:
+    """Whether rules drop a path. Those of a folder are asked only of what lies below it, and each folder is judged once."""
+    of_folder: dict[str, list[tuple[int, re.Pattern, bool]]] = {}
+    for i, (folder, rule) in enumerate(rules):
+        rule = rule.strip()
+        if rule and not rule.startswith("#"):
+            pattern, keep = ignore_pattern(rule, folder)
+            of_folder.setdefault(folder, []).append((i, re.compile(pattern), keep))
+
+    def names(entry: str, above: list[str]) -> bool:
+        last, drop = -1, False
+        for folder in above:
+            for i, pattern, keep in reversed(of_folder.get(folder, ())):
+                if i < last:
+                    break
+                if pattern.fullmatch(entry):
+                    last, drop = i, not keep
+                    break
+        return drop
+
+    known: dict[str, bool] = {}
+
+    def drops(path: str) -> bool:
+        parts = path.split("/")
+        above = ["", *("/".join(parts[:i]) for i in range(1, len(parts)))]
+        for i, folder in enumerate(above[1:], 1):
+            if folder not in known:
+                if len(known) >= FOLDERS:
+                    known.clear()
+                known[folder] = names(folder + "/", above[:i])
+            if known[folder]:
+                return True
+        return names(path, above)
+
+    return drops
+
+
 def ignored(path: Column, rules: list) -> Column:
     """Whether ignore rules drop a path relative to the root. A rule is a line, or (folder, line).
 
     Of the rules that name a file or folder the last one counts. What lies below an ignored folder
-    is ignored, whatever rules say of it.
+    is ignored, whatever rules say of it. Rules are matched in Arrow batches, so that the plan
+    doesn't grow with them.
     """
-    parts = F.split(path, "/")
-    n = F.size(parts)
-    own = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.when(i < n, "/").otherwise("")))
-
-    def drops(entry: Column) -> Column:
-        out = F.lit(False)
-        for folder, rule in (("", r) if isinstance(r, str) else r for r in rules):
-            rule = rule.strip()
-            if rule and not rule.startswith("#"):
-                pattern, keep = ignore_pattern(rule, folder)
-                out = F.when(entry.rlike(pattern), not keep).otherwise(out)
-        return out
-
-    return F.exists(own, drops) if rules else F.lit(False)
+    if not rules:
+        return F.lit(False)
+    pairs = [("", r) if isinstance(r, str) else tuple(r) for r in rules]
+
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        drops = _judge(pairs)
+        for paths in batches:
+            yield pd.Series([None if p is None else drops(p) for p in paths], dtype=object, index=paths.index)
+
+    return run(path)

@@ -89,3 +89,9 @@ def test_registry_and_last_wins(spark):
         r.get("b")
     rows = spark.createDataFrame([("k", 1, "x"), ("k", 2, "y"), ("l", 1, "z")], "k string, o int, v string")
     assert {tuple(x) for x in last_wins(rows, ["k"], "o").collect()} == {("k", 2, "y"), ("l", 1, "z")}
+
+
+def test_thousands_of_ignore_rules(spark):
+    rules = [f"gen{i}/" for i in range(3000)] + [("a", f"*.x{i}") for i in range(3000)] + [("a/b", "!keep.x7"), "!gen5/"]
+    paths = ["gen1/f", "x/gen2999/f", "gen5/f", "gen3000/f", "a/q.x7", "a/b/keep.x7", "a/b/other.x7", "b/q.x7", None]
+    assert column(spark, lambda p: ignored(p, rules), paths) == [True, True, False, False, True, False, True, False, None]
