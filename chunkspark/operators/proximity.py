@@ -4,8 +4,9 @@ Rows are dealt by a hash of their id to shards of about SHARD_ROWS. In a shard e
 to its nearest rows and from them back. Those are found exactly, block by block by matrix products:
 the shard's bound makes the work grow with the rows, not with their square, and descent over
 neighbours' neighbours took longer for worse lists. A search takes all questions through a shard's
-graph at once, nearest rows first, and the shards' best rows are merged. The index is built once and
-read by every search; further rows become further shards.
+graph at once, nearest rows first, and the shards' best rows are merged. An exact search checks a
+shard's other rows against the distance that the walk has come to. The index is built once and read
+by every search; further rows become further shards.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chunkspark.functions.arrays import nearest_rows
+
 #: Rows of a shard.
 SHARD_ROWS = 1 << 13
 #: Neighbours of a row, and rows that it is a neighbour of and is linked back to, at most.
@@ -120,7 +123,7 @@ def _built(table: pa.Table) -> pa.Table:
     return table.append_column("place", pa.array(np.arange(len(links), dtype=np.int32))).append_column("links", pa.array(own, pa.list_(pa.int32())))
 
 
-def _searched(k: int, beam: int):
+def _searched(k: int, beam: int, exact: bool, digits: int | None):
     def run(shard: pa.Table, asked: pa.Table) -> pa.Table:
         shard = shard.sort_by("place").combine_chunks()
         if not shard.num_rows or not asked.num_rows:
@@ -139,10 +142,17 @@ def _searched(k: int, beam: int):
             q = _matrix(own["qv"])
             near, dist, looked = walk(x, links, q, k, beam)
             r, c = np.nonzero(near >= 0)
-            exact = np.sqrt(np.square(x[near[r, c]].astype(np.float64) - q[r].astype(np.float64)).sum(axis=1))
+            at = near[r, c]
+            apart = np.sqrt(np.square(x[at].astype(np.float64) - q[r].astype(np.float64)).sum(axis=1))
+            if exact:
+                last = np.zeros(len(q))
+                np.maximum.at(last, r, apart)
+                last[(near >= 0).sum(axis=1) < k] = np.inf
+                r, at, apart = nearest_rows(x, q, k, digits, last)
+                looked += len(x) * len(q)
             counted = np.zeros(len(r), np.int64)
             counted[:1] = looked
-            parts.append(pa.table([own["qid"].take(pa.array(r)), shard["id"].take(pa.array(near[r, c])), pa.array(exact), pa.array(counted)], names=["qid", "id", "dist", "looked"]))
+            parts.append(pa.table([own["qid"].take(pa.array(r)), shard["id"].take(pa.array(at)), pa.array(apart), pa.array(counted)], names=["qid", "id", "dist", "looked"]))
         return pa.concat_tables(parts)
 
     return run
@@ -174,12 +184,14 @@ class GraphIndex:
         graph.write.mode(mode).parquet(self.path)
         return self
 
-    def search(self, queries: DataFrame, k: int = 10, query_id: str = "qid", query_vector: str = "qv", beam: int = BEAM) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, query_id: str = "qid", query_vector: str = "qv", beam: int = BEAM, exact: bool = False, digits: int | None = None) -> DataFrame:
         """About the k nearest rows by L2 to each question: qid, id, dist, rk, looked.
 
         Questions go through each shard in groups of about QUESTIONS, side by side. Ties go to the
         smaller id; a question without a vector finds nothing. `looked` sums up, over all rows, to
-        the distances that were taken of rows among the results.
+        the distances that were taken of rows among the results. With `exact` they are the k nearest
+        rows: in each shard all rows within the distance of the k-th that the walk found are looked
+        for by matrix products, and distances that agree after rounding to `digits` are ties.
         """
         rows = self.rows()
         asked = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("qid"), F.col(query_vector).cast("array<float>").alias("qv"))
@@ -188,7 +200,7 @@ class GraphIndex:
         spread = asked.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards))))
         copied = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         kinds = asked.schema["qid"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
-        run = _searched(k, beam)
+        run = _searched(k, beam, exact, digits)
         found = copied.groupBy("shard", "part").cogroup(spread.groupBy("shard", "part")).applyInArrow(lambda a, b: run(a, b), f"qid {kinds[0]}, id {kinds[1]}, dist double, looked long")
         w = Window.partitionBy("qid").orderBy("dist", "id")
         return found.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)

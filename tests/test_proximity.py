@@ -74,3 +74,43 @@ def test_questions_without_a_vector(spark, rows):
     store, _ = rows
     asked = spark.createDataFrame([(1, None), (2, [0.1] * 64)], "qid long, qv array<double>")
     assert {r.qid for r in batch_nearest(store, asked, 3).collect()} == {2}
+
+
+def test_exact_search_equals_brute_force(spark, tmp_path):
+    """The registered query on rows enough that walks miss some, with many equal vectors and others that only rounding makes equal."""
+    from chunkspark.catalog import QUERIES
+
+    draw = np.random.default_rng(8)
+    x = draw.normal(size=(6000, 48)).astype(np.float32)
+    x[100:400] = x[100]
+    x[500:540] = x[500] + draw.normal(size=(40, 48)).astype(np.float32) * 1e-8
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {}
+    for r in sorted(QUERIES["k4_graph"](spark, str(tmp_path)).collect(), key=lambda r: r.rk):
+        found.setdefault(r.qid, []).append(r.vec_id)
+    v = x.astype(float)
+    for q in range(0, 6000, 50):
+        d = np.round(np.sqrt(np.square(v - v[q]).sum(axis=1)), 6)
+        assert found[q] == list(np.lexsort((np.arange(len(v)), d))[:10])
+
+
+@pytest.mark.parametrize("digits", [None, 1])
+def test_nearest_rows(monkeypatch, digits):
+    """Far from the origin, over several blocks, with and without known distances, fewer rows than k."""
+    from chunkspark.functions import arrays
+
+    monkeypatch.setattr(arrays, "CELLS", 3000)
+    monkeypatch.setattr(arrays, "ANEW", 50)
+    draw = np.random.default_rng(9)
+    for n in (1, 4, 700):
+        x = (1e3 + draw.normal(size=(n, 5))).astype(np.float32)
+        x[n // 2 :: 3] = x[0]
+        q = np.concatenate([x[: min(n, 60)], draw.normal(size=(5, 5)).astype(np.float32)])
+        d = np.sqrt(np.square(x.astype(float)[None] - q.astype(float)[:, None]).sum(axis=2))
+        d = d if digits is None else np.round(d, digits)
+        want = [list(np.lexsort((np.arange(n), row))[:6]) for row in d]
+        known = np.sort(np.sqrt(np.square(x.astype(float)[None] - q.astype(float)[:, None]).sum(axis=2)), axis=1)[:, :6].max(axis=1) if n > 6 else np.full(len(q), np.inf)
+        for within in (None, known):
+            r, c, dist = arrays.nearest_rows(x, q, 6, digits, within)
+            assert [list(c[r == i]) for i in range(len(q))] == want
+            assert all(np.allclose(dist[r == i], d[i][want[i]], atol=1e-12) for i in range(len(q)))
