@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,23 +179,42 @@ def with_cells(store: DataFrame, centres: np.ndarray, embedding: str = "embeddin
     return store.withColumn("cell", cell(F.col(embedding)))
 
 
+#: Rows of a cell and questions that meet in one task.
+PART_ROWS, PART_QUESTIONS = 1 << 15, 1 << 14
+
+
 def approximate_batch(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int = 10, probes: int = PROBES, id_col: str = "id", embedding: str = "embedding", query_id: str = "qid", query_vector: str = "qv") -> DataFrame:
     """About the k nearest rows by L2 to each query: qid, id, dist, rk. `index` is a store `with_cells`.
 
-    A query looks into the `probes` cells nearest to it. Queries meet the rows of a cell by a join
-    that Spark splits where it is skewed; pairs are distances of a cell's rows to those queries that
-    look into it.
+    A query looks into the `probes` cells nearest to it. Cells are cut in parts of about PART_ROWS
+    by their counts, queries in groups of about PART_QUESTIONS. A part and those of a group that
+    look into its cell meet in a task by matrix products, of which k rows per query are shuffled. A
+    query without a vector finds nothing.
     """
+    from chunkspark.functions.arrays import matrix, nearest_rows
+
     @F.pandas_udf("array<int>")
     def nearest_cells(vectors: pd.Series) -> pd.Series:
         d = _distances(np.stack(vectors.to_numpy()).astype(np.float64), centres, "l2")
         return pd.Series(list(np.argsort(d, axis=1)[:, :probes].astype(np.int32)), index=vectors.index)
 
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        rows, asked = rows.sort_by("id").combine_chunks(), asked.combine_chunks()
+        r, c, dist = nearest_rows(matrix(rows["v"]), matrix(asked["qv"]), k) if rows.num_rows and asked.num_rows else ([], [], [])
+        places = [pa.array(x, pa.int64()) for x in (r, c)]
+        return pa.table([asked["qid"].take(places[0]), rows["id"].take(places[1]), pa.array(dist, pa.float64())], names=["qid", "id", "dist"])
+
     if not len(centres):
         return batch_nearest(index, queries, k, "l2", id_col, embedding, query_id, query_vector)
-    asked = queries.select(F.col(query_id).alias("qid"), F.col(query_vector).alias("qv"))
-    asked = asked.select("qid", "qv", F.explode(nearest_cells("qv")).alias("cell"))
-    pairs = asked.join(index.select(F.col(id_col).alias("id"), F.col(embedding).alias("v"), "cell"), "cell")
-    scored = pairs.select("qid", "id", V.l2(F.col("v"), F.col("qv")).alias("dist"))
+    slim = index.filter("cell IS NOT NULL").select(F.col(id_col).alias("id"), F.col(embedding).alias("v"), "cell")
+    sizes = dict(slim.groupBy("cell").count().collect())
+    parts = F.array(*(F.lit(max(1, -(-sizes.get(i, 0) // PART_ROWS))) for i in range(len(centres))))[F.col("cell")]
+    asked = queries.filter(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("qid"), F.col(query_vector).alias("qv"))
+    groups = max(1, -(-asked.count() // PART_QUESTIONS))
+    asked = asked.select("qid", "qv", F.pmod(F.xxhash64("qid"), F.lit(groups)).cast("int").alias("group"), F.explode(nearest_cells("qv")).alias("cell"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    slim = slim.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    key, kinds = ["cell", "part", "group"], (asked.schema["qid"].dataType.simpleString(), slim.schema["id"].dataType.simpleString())
+    found = slim.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(lambda a, b: run(a, b), f"qid {kinds[0]}, id {kinds[1]}, dist double")
     w = Window.partitionBy("qid").orderBy("dist", "id")
-    return scored.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+    return found.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)

@@ -135,6 +135,26 @@ def test_recall_of_cells(spark, sf_dir):
     assert all(len(x) == 10 for x in found.values())
 
 
+def test_cells_make_no_pairs(spark, monkeypatch):
+    """Cells of many rows, one of them with most, in parts: no join of questions with rows, and all cells together are exact. Questions without a vector find nothing."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 6)).astype(np.float32)
+    x[200:600] = x[200]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(990, None)]
+    store = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    asked = store.filter("id % 30 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("qv"))
+    monkeypatch.setattr(search, "PART_ROWS", 100, raising=False)
+    monkeypatch.setattr(search, "PART_QUESTIONS", 9, raising=False)
+    centres = search.fit_centres(store, cells=7)
+    found = search.approximate_batch(search.with_cells(store, centres), centres, asked, 5, probes=7)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r.rk):
+        got.setdefault(r.qid, []).append(r.id)
+    v = x.astype(float)
+    assert got == {q: list(np.lexsort((np.arange(900), np.sqrt(np.square(v - v[q]).sum(axis=1))))[:5]) for q in range(0, 900, 30)}
+
+
 @pytest.mark.parametrize("scale", [None, 1, 100])
 def test_lsh_recall_of_the_registered_query(spark, sf_dir, scale):
     """Recall at 10 with the default tables, over every vector whose id is divisible by 50; also for norms of 1 to 3 and of 100 to 300."""
