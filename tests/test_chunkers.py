@@ -243,3 +243,25 @@ def test_cpp_in_linear_time():
     assert found[-1].name == "last" and found[-1].docstring == "first" and seconds < 5
     deep, seconds = timed("cpp", "namespace a {\n" * 3000 + "int f() { return 1; }\n" + "}\n" * 3000)
     assert [c.name for c in deep] == ["f"] and deep[0].metadata.namespace.count("::") == 2999 and seconds < 5
+
+
+def test_few_files_at_a_time():
+    """Sources and chunks that a task holds don't grow with the batches that Spark sends; a long file is one slice, a null one gives no chunk."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    from chunkspark.operators import chunk
+    from chunkspark.schema import CODE_CHUNK
+
+    sources = [f"class A{i} {{ }} class B{i} {{ }}" for i in range(3000)]
+    sources[7], sources[1500] = None, "class Long { /* " + "x" * 3_000_000 + " */ } " + " ".join(f"class L{i} {{ }}" for i in range(2500))
+    n = len(sources)
+    batch = pa.record_batch([pa.array(list(map(str, range(n)))), pa.array(["d"] * n), pa.array(["p"] * n), pa.array(["csharp"] * n), pa.array(sources)], names=["id", "domain_id", "file_path", "language", "source"])
+    kind = to_arrow_schema(CODE_CHUNK).append(pa.field("domain_id", pa.string()))
+    slices = list(chunk._few(batch))
+    assert [x for s in slices for x in s.column("id").to_pylist()] == list(map(str, range(n)))
+    assert all(s.num_rows <= 256 for s in slices) and [s.num_rows for s in slices if len(s.column("source")[0].as_py() or "") > 1 << 20] == [1]
+    out = list(chunk.parsed(iter([batch]), kind))
+    assert max(b.num_rows for b in out) <= 1024
+    names = [x for b in out for x in b.column("name").to_pylist()]
+    assert names == [x for i in range(n) if i != 7 for x in ((f"A{i}", f"B{i}") if i != 1500 else ("Long", *(f"L{j}" for j in range(2500))))]
